@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact
+from . import bpe, decontam, exact, licenses
 from .common import table
+from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
 
+#: Runs of alphanumeric words in the SQL twins.
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -22,11 +25,30 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_decontamination": op9_decontamination,
+    "op10_license_scan": op10_license_scan,
 }
 
+
+
+def sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+PHRASE_ROWS = ", ".join(f"('{label}', {sql_list(p.split())})" for p, label in PHRASES)
+TEMPLATE_ROWS = ", ".join(f"('{label}', {sql_list(template_words(t))})" for label, t in TEMPLATES)
+
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": f"""
         WITH d AS (
@@ -34,4 +56,53 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op9_decontamination": f"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS w
+            FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS w
+            FROM benchmark),
+        bw AS (
+            SELECT item_id, list_slice(w, s, s + 12) AS win
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT len(win) AS n FROM bw),
+        dw AS (
+            SELECT doc_id, s, n, list_slice(w, s, s + n - 1) AS win
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+        hits AS (SELECT doc_id, s, n, item_id FROM dw JOIN bw USING (win)),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+            SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
+               sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_license_scan": f"""
+        WITH d AS (
+            SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t,
+                   regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS w
+            FROM documents),
+        p(label, ws) AS (VALUES {PHRASE_ROWS}),
+        m(label, ws) AS (VALUES {TEMPLATE_ROWS}),
+        places AS (
+            SELECT doc_id, label, s - 1 AS at FROM (
+                SELECT doc_id, label, w, ws, unnest(range(1, len(w) - len(ws) + 2)) AS s
+                FROM d, p WHERE len(w) >= len(ws) AND contains(t, ws[1]))
+            WHERE list_slice(w, s, s + len(ws) - 1) = ws),
+        base AS (
+            SELECT doc_id, count(*) AS n, min(at) AS a, max(at) AS z, list(DISTINCT label) AS ls
+            FROM places GROUP BY doc_id),
+        blocks AS (
+            SELECT doc_id, regexp_extract_all(line, '{ALNUM}') AS ws
+            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+        joined AS (
+            SELECT doc_id, label, len(list_intersect(blocks.ws, m.ws)) / len(m.ws) AS c FROM blocks, m
+            WHERE len(list_intersect(blocks.ws, m.ws)) >= ceil({THRESHOLD} * len(m.ws) - 1e-9)),
+        found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(c) AS best FROM joined GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word,
+               coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(base.ls, found.ls))), ','), '') AS labels,
+               CASE WHEN n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+        FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)""",
 }
