@@ -86,12 +86,12 @@ ORACLES: dict[str, str] = {
         p(label, ws) AS (VALUES {PHRASE_ROWS}),
         m(label, ws) AS (VALUES {TEMPLATE_ROWS}),
         places AS (
-            SELECT doc_id, label, s - 1 AS at FROM (
+            SELECT doc_id, label, s - 1 AS place FROM (
                 SELECT doc_id, label, w, ws, unnest(range(1, len(w) - len(ws) + 2)) AS s
                 FROM d, p WHERE len(w) >= len(ws) AND contains(t, ws[1]))
             WHERE list_slice(w, s, s + len(ws) - 1) = ws),
         base AS (
-            SELECT doc_id, count(*) AS n, min(at) AS a, max(at) AS z, list(DISTINCT label) AS ls
+            SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS z, list(DISTINCT label) AS ls
             FROM places GROUP BY doc_id),
         blocks AS (
             SELECT doc_id, regexp_extract_all(line, '{ALNUM}') AS ws
