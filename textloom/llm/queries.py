@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, licenses
+from . import bpe, decontam, exact, licenses, substring
 from .common import table
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
 
@@ -21,6 +22,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -35,6 +41,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
@@ -50,6 +57,20 @@ PHRASE_ROWS = ", ".join(f"('{label}', {sql_list(p.split())})" for p, label in PH
 TEMPLATE_ROWS = ", ".join(f"('{label}', {sql_list(template_words(t))})" for label, t in TEMPLATES)
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        wins AS (
+            SELECT doc_id, s, sha256(array_to_string(list_slice(w, s, s + 34), ' ')) AS h
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p
+            FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY h) AS n FROM wins) WHERE n > 1),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+            FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op8_exact_dedup": f"""
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents)
