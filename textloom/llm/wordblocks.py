@@ -50,10 +50,10 @@ def in_blocks(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("block"))
 
 
-def ordered(docs: pa.Table) -> list[tuple]:
-    """A block's (doc_id, text) in an order that doesn't depend on how its rows arrived."""
-    rows = zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True)
-    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+def ordered(docs: pa.Table, *more: str) -> list[tuple]:
+    """A block's (doc_id, text, more columns) in an order that doesn't depend on how its rows arrived."""
+    rows = zip(*(docs.column(c).to_pylist() for c in ("doc_id", "text", *more)), strict=True)
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "", *r[2:]))
 
 
 def deltas(positions: np.ndarray) -> bytes:
