@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, langid, licenses, lm, minhash, substring
+from . import bpe, decontam, exact, langid, licenses, lm, minhash, substring, tokenstore
 from .common import table
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
 
@@ -31,6 +31,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return tokenstore.stored(table(spark, sf_dir, "documents"), path, end_id=2).withColumnRenamed("digest", "ids_crc32")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, lm.remainder("doc_id", 5) != 0)
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_token_store": op4_token_store,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
     "op8_exact_dedup": op8_exact_dedup,
