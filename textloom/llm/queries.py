@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, langid, licenses, lm, minhash, substring, tokenstore
+from . import bpe, decontam, exact, langid, licenses, lm, minhash, substring, tokenstore, warc
 from .common import table
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
 
@@ -47,6 +47,12 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"), lm.remainder("doc_id", 7) == 2)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The pages have no time of capture; one second after another by page_id stands in.
+    captured = F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0))
+    return warc.archived(table(spark, sf_dir, "pages"), captured)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_store": op4_token_store,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
+    "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
