@@ -1,23 +1,17 @@
 """Every registered query of the library with its SQL twin for DuckDB."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query; sql gives the same rows in DuckDB, where SQL can express it."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
+from . import (  # noqa: F401  importing registers
+    answer_queries,
+    cache_queries,
+    chunk_queries,
+    evaluation_queries,
+    ingest_queries,
+    lexical_queries,
+    page_queries,
+    reliability_queries,
+    rule_queries,
+    vector_queries,
+)
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
