@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 
@@ -145,39 +146,39 @@ def list_items(root: Node) -> list[str]:
     return [t for t in (li.text() for li in root.all("li")) if t != fixed.MISSING]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def page_text(html: pd.Series) -> pd.Series:
     """The text without noise."""
     return html.map(lambda h: parsed(h).text())
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def page_labels(html: pd.Series) -> pd.Series:
     return html.map(lambda h: labels(parsed(h)))
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def page_sections(html: pd.Series) -> pd.Series:
     return html.map(lambda h: headed_sections(parsed(h)))
 
 
-@F.pandas_udf("array<map<string,string>>")
+@F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
 def page_tables(html: pd.Series) -> pd.Series:
     return html.map(lambda h: table_rows(parsed(h)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def page_list_items(html: pd.Series) -> pd.Series:
     return html.map(lambda h: list_items(parsed(h)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(text: pd.Series) -> pd.Series:
     """The composed form, blanks collapsed, and the marker for nothing."""
     return text.map(lambda t: cleaned(t or ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def joined_url(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", x or "") for b, x in zip(base, link, strict=True)])
 

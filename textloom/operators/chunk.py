@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.text import space_tokens
@@ -114,12 +115,23 @@ def by_sections(text: str, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CH
     return [("\n\n".join(f"{h}\n{b}" for h, b in g), [h.rstrip(":") for h, _ in g], True) for g in groups]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _recursive(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.Series:
     return pd.Series([recursive(t or "", s, o) for t, s, o in zip(texts, sizes, overlaps, strict=True)])
 
 
-@F.pandas_udf("array<struct<chunk:string,headers:array<string>,by_sections:boolean>>")
+_CHUNKS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("chunk", T.StringType()),
+            T.StructField("headers", T.ArrayType(T.StringType())),
+            T.StructField("by_sections", T.BooleanType()),
+        ]
+    )
+)
+
+
+@F.pandas_udf(_CHUNKS)
 def _by_sections(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"chunk": c, "headers": h, "by_sections": s} for c, h, s in by_sections(t or "")] for t in texts])
 

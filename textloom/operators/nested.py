@@ -30,11 +30,14 @@ def by_semester(rows: DataFrame, id: str, matrix: str) -> DataFrame:
     """id, semester, position, subjects: a curriculum grouped by semester in order of first appearance."""
     each = rows.select(id, F.posexplode(matrix).alias("pos", "row"))
     semester = F.coalesce(F.try_element_at("row", F.lit("semestre")), F.lit("Sem semestre"))
+    # Maps have no order, so positions are sorted and their rows looked up.
     groups = each.groupBy(id, semester.alias("semester")).agg(
         F.min("pos").alias("position"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "row"))), lambda s: s["row"]).alias("subjects"),
+        F.sort_array(F.collect_list("pos")).alias("order"),
+        F.map_from_entries(F.collect_list(F.struct("pos", "row"))).alias("at"),
     )
-    return groups
+    subjects = F.transform("order", lambda p: F.element_at("at", p)).alias("subjects")
+    return groups.select(id, "semester", "position", subjects)
 
 
 def formatted_subjects(subjects: Column) -> Column:

@@ -1 +1,108 @@
-"""Queries."""
+"""Queries of retrieval and generation quality."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import lcs_length, space_tokens
+from ..operators import evaluate, lexical
+from ..sources.io import table
+from .lexical_queries import BM25, questions
+from .registry import query
+
+JUDGED = f"""
+    {BM25},
+    j AS (
+        SELECT query_id, rank, contains(lower(d.text), lower(b.text)) OR contains(lower(b.text), lower(d.text)) AS rel
+        FROM bmr JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 5),
+    x AS (SELECT query_id, min(rank) FILTER (rel) AS first_rank, count(*) FILTER (rel) AS hits, count(rank) AS returned FROM j GROUP BY query_id)"""
+
+
+def details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    found = lexical.bm25(asked, docs, 5).select("query_id", "doc_id", "rank")
+    joined = found.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", F.col("text").alias("wanted")), "query_id")
+    judged = joined.select("query_id", "rank", evaluate.relevant_by_text(F.col("text"), F.col("wanted")).alias("relevant"))
+    return evaluate.ranking_details(judged)
+
+
+@query("ranking_details", f"WITH {JUDGED} SELECT * FROM x")
+def ranking_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return details(spark, sf_dir)
+
+
+@query(
+    "mrr_recall_precision",
+    f"""WITH {JUDGED} SELECT count(*) AS queries, round(avg(coalesce(1 / first_rank, 0)), 6) AS mrr,
+    round(avg((hits > 0)::INT), 6) AS recall, round(avg(hits / returned), 6) AS precision FROM x""",
+)
+def mrr_recall_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality = evaluate.ranking_quality(details(spark, sf_dir))
+    return quality.select("queries", *[F.round(c, 6).alias(c) for c in ("mrr", "recall", "precision")])
+
+
+@query(
+    "recall_precision_at_k",
+    """
+    WITH o AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey) AS rec,
+        list(o_orderkey) FILTER (o_totalprice > 250000) AS rel FROM orders GROUP BY o_custkey)
+    SELECT o_custkey,
+           round(CASE WHEN len(rel) > 0 THEN len(list_intersect(rec[1:3], rel)) / len(rel) ELSE 0 END, 6) AS recall_3,
+           round(len(list_intersect(rec[1:3], coalesce(rel, []))) / 3, 6) AS precision_3 FROM o""",
+)
+def recall_precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's latest orders as results, the dear ones as relevant."""
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.sort_array(F.collect_list(F.struct(-F.unix_micros(F.col("o_orderdate").cast("timestamp")), "o_orderkey"))).alias("by"),
+        F.collect_list(F.when(F.col("o_totalprice") > 250000, F.col("o_orderkey"))).alias("rel"),
+    )
+    rec = F.transform("by", lambda s: s["o_orderkey"])
+    return per.select(
+        "o_custkey",
+        F.round(evaluate.recall_at(F.col("rel"), rec, 3), 6).alias("recall_3"),
+        F.round(evaluate.precision_at(F.col("rel"), rec, 3), 6).alias("precision_3"),
+    )
+
+
+@query("rouge_l")
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer against the question before it; a fold over both texts' words."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    pairs = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    r = evaluate.rouge_l(F.col("text"), F.col("question"))
+    return pairs.select("conv_id", "turn", r.alias("r")).select(
+        "conv_id", "turn", *[F.round(f"r.{c}", 4).alias(c) for c in ("precision", "recall", "f1")]
+    )
+
+
+@query(
+    "lcs_of_part_names",
+    """
+    WITH p AS (SELECT DISTINCT p_name, p_type FROM part)
+    SELECT p_name, p_type, len(list_intersect(string_split(p_name, ' '), string_split(lower(p_type), ' '))) AS common FROM p""",
+)
+def lcs_of_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest common subsequences of short word lists (for a one-word type the same as common words)."""
+    parts = table(spark, sf_dir, "part").select("p_name", "p_type").distinct()
+    common = lcs_length(space_tokens(F.col("p_name")), space_tokens(F.lower("p_type")))
+    return parts.select("p_name", "p_type", common.cast("long").alias("common"))
+
+
+@query(
+    "answer_groundedness",
+    """
+    WITH a AS (
+        SELECT a.conv_id, a.turn, list_distinct(regexp_extract_all(lower(a.text), '[a-z0-9]+')) AS w,
+               regexp_extract_all(lower(q.text), '[a-z0-9]+') AS c
+        FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1
+        WHERE a.role = 'assistant' AND q.role = 'user')
+    SELECT conv_id, turn, round(CASE WHEN len(w) > 0 THEN len(list_intersect(w, c)) / len(w) ELSE 0 END, 6) AS share FROM a""",
+)
+def answer_groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    pairs = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    share = evaluate.groundedness(F.col("text"), F.col("question"))
+    return pairs.select("conv_id", "turn", F.round(share, 6).alias("share"))

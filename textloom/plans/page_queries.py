@@ -1 +1,74 @@
-"""Queries."""
+"""Queries over web pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import pages
+from ..sources.io import table
+from .registry import query
+
+
+@query("page_title", "SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title FROM pages")
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", pages.page_title(F.col("html")).alias("title"))
+
+
+@query(
+    "page_links_distinct",
+    """
+    SELECT href, count(*) AS n FROM (
+        SELECT regexp_replace(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '#.*$', '') AS href FROM pages)
+    WHERE href <> '' GROUP BY href""",
+)
+def page_links_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "pages").select(F.explode(pages.page_links(F.col("html"))).alias("link"))
+    return links.groupBy(pages.normalized_url(F.col("link")).alias("href")).agg(F.count("*").alias("n")).where("href <> ''")
+
+
+@query("page_url_normalize", "SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages")
+def page_url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", pages.normalized_url(F.col("url")).alias("url"))
+
+
+@query(
+    "page_host_counts",
+    "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",
+)
+def page_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1))
+    return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("page_absolute_links")
+def page_absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(pages.page_links(F.col("html"))).alias("link"))
+    return links.select("page_id", pages.joined_url("url", "link").alias("link")).distinct()
+
+
+@query("page_text_strip_noise")
+def page_text_strip_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", pages.page_text("html").alias("text"))
+
+
+@query("page_label_map")
+def page_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(pages.page_labels("html")).alias("label", "value"))
+    return found
+
+
+@query("page_sections")
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(pages.page_sections("html")).alias("heading", "body"))
+
+
+@query("page_table_rows")
+def page_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(pages.page_tables("html")).alias("row_no", "row"))
+    return rows.select("page_id", "row_no", F.to_json("row").alias("row"))
+
+
+@query("page_list_items")
+def page_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(pages.page_list_items("html")).alias("item_no", "item"))
