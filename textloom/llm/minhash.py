@@ -4,24 +4,29 @@ Every permutation of a document's shingle hashes gives two signature values, its
 half the permutations make a signature of a given length. Bands of ROWS values each send similar documents to
 common buckets. Sets that are equal are one class from the start. In each bucket every class is first compared
 with the bucket's smallest one only; where a bucket still holds several components after that, all pairs of
-classes between the different components are compared too, so no link that any bucket offers is lost. Links
-are confirmed on the full sets of shingle hashes (64 bits each).
+classes between the different components are compared too, so no link that any bucket offers is lost. As a
+bucket can hold many classes that are alike, but not alike enough, these pairs are not put out as rows: blocks
+of classes are compared by long sketches inside tasks, each pair in its first common band only, and only pairs
+that the sketches can't rule out go on. Links are confirmed on the full sets of shingle hashes (64 bits each).
 
 With PERMUTATIONS = 120 and ROWS = 6 there are 40 bands: a pair at similarity 0.8 is missed with probability
-(1 - 0.8**6)**40, about 5 in a million, and a pair at 0.1 meets with 4 in a hundred thousand.
+(1 - 0.8**6)**40, about 5 in a million, and a pair at 0.1 meets with 4 in a hundred thousand. A sketch has the
+low bytes of 2 * SKETCH values and rules a pair out below SIGMAS standard deviations under the threshold, which
+happens to a linked pair about once in ten million.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 from .components import components
 from .wordblocks import hashes, mix, split_words
 
@@ -30,12 +35,21 @@ SHINGLE = 5
 #: Least similarity in percent.
 PERCENT = 80
 PERMUTATIONS, ROWS = 120, 6
+#: Permutations of a sketch, and how far under the threshold it rules pairs out.
+SKETCH, SIGMAS = 960, 5.2
+#: Classes in a block of sketches.
+BLOCK = 1024
 #: Shingles hashed at a time; bounds memory only.
 CHUNK = 2048
 
-_seeds = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64))
-_FACTOR = (_seeds[:PERMUTATIONS] >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
-_SHIFT = (_seeds[PERMUTATIONS:] >> np.uint64(32)).astype(np.uint32)[:, None]
+
+def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and shifts."""
+    drawn = (mix(np.arange(seed, seed + 2 * n, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)[:, None]
+    return drawn[:n] | np.uint32(1), drawn[n:]
+
+
+_BANDED, _SKETCHED = _permutations(PERMUTATIONS, 1), _permutations(SKETCH, 1_000_001)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -50,18 +64,23 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(rolled)
 
 
-def signature(of: np.ndarray) -> np.ndarray:
+def signature(of: np.ndarray, permutations: tuple[np.ndarray, np.ndarray] = _BANDED) -> np.ndarray:
     """The minima under all permutations, then the maxima. A set's 32-bit values are permuted by odd factors."""
-    values = (of >> np.uint64(32)).astype(np.uint32)
-    least, most = np.full(PERMUTATIONS, 2**32 - 1, np.uint32), np.zeros(PERMUTATIONS, np.uint32)
+    values, (factor, shift) = (of >> np.uint64(32)).astype(np.uint32), permutations
+    least, most = np.full(len(factor), 2**32 - 1, np.uint32), np.zeros(len(factor), np.uint32)
     for k in range(0, len(values), CHUNK):
-        permuted = _FACTOR * values[k : k + CHUNK] + _SHIFT
+        permuted = factor * values[k : k + CHUNK] + shift
         permuted ^= permuted >> np.uint32(15)
         np.minimum(least, permuted.min(1), out=least)
         np.maximum(most, permuted.max(1), out=most)
     return np.concatenate([least, most])
 
 
+def sketch(of: np.ndarray) -> bytes:
+    """One byte of each value of a long signature."""
+    return (mix(signature(of, _SKETCHED).astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
 def band_keys(values: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band; bands never share keys but by chance. A band's rows are of one kind each."""
     rows = values.reshape(-1, ROWS).astype(np.uint64)
@@ -75,7 +94,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit digest of the whole set; null if empty), bands."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, keys, bands = [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), size)
@@ -94,29 +113,74 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """rep, shingles: the full set of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [shingles(text.as_py(), size).view(np.int64) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
     return docs.select("rep", "text").mapInArrow(rows, "rep long, shingles array<long>")
 
 
-def close_sizes(a: str, b: str, percent: int) -> Column:
-    """Sets of such sizes can be similar enough."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives whose full sets are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep"))
-    sets = written(shingle_sets(texts.agg(F.max("text").alias("text")), size), "shingle-sets")
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b")), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """rep, sketch."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            made = [sketch(np.array(x.values).view(np.uint64)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["rep", "sketch"])
+
+    return sets.select("rep", "shingles").mapInArrow(rows, "rep long, sketch binary")
+
+
+def across_components(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components in a bucket that their sizes and sketches don't rule out.
+
+    members: band, nth, rep, n, component, bands, sketch, size (of the bucket). A bucket is dealt to blocks, and
+    each pair of blocks is a task's work, so a bucket's size bounds no task's memory.
+    """
+    p = percent / 100
+    least = p - SIGMAS * math.sqrt(p * (1 - p) / (2 * SKETCH))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = own.select("*", other).select(
+        "nth", "rep", "n", "component", "bands", "sketch", "own", "band",
+        F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        column = lambda name: np.array(table.column(name))
+        rep, n, component, block = column("rep"), column("n"), column("component"), column("own")
+        nth = table.column("nth")[0].as_py()
+        bands = np.stack(table.column("bands").to_numpy(zero_copy_only=False))
+        marks = np.stack([np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()])
+        left, right = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("x", "y"))
+        a, b = left[:, None], right[None, :]
+        open_ = (component[a] != component[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        for k in range(nth):  # met before
+            open_ &= bands[left, k][:, None] != bands[right, k][None, :]
+        i, j = np.nonzero(open_)
+        i, j = left[i], right[j]
+        ordered = rep[i] < rep[j] if table.column("x")[0].as_py() == table.column("y")[0].as_py() else np.ones(len(i), bool)
+        i, j = i[ordered], j[ordered]
+        keep = [np.empty(0, np.int64)]
+        for k in range(0, len(i), 20_000):
+            part = slice(k, k + 20_000)
+            keep.append(k + np.flatnonzero((marks[i[part]] == marks[j[part]]).mean(1) >= least))
+        keep = np.concatenate(keep)
+        low, high = np.minimum(rep[i[keep]], rep[j[keep]]), np.maximum(rep[i[keep]], rep[j[keep]])
+        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+
+    return dealt.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long")
+
+
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id linked with it), kept.
 
@@ -131,26 +195,29 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     classes = written(classes, "classes")
-    spread = classes.select("rep", "n", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
-    shared = shared.select("band", "hub")
+    spread = classes.select("rep", "n", F.posexplode("bands").alias("nth", "band"))
+    shared = spread.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("size"))
+    shared = shared.where("hub <> last").select("band", "hub", "size")
     members = written(spread.join(shared, "band"), "band-members")
+    # The same plan at every size: texts go by doc_id to the list of those that share a bucket.
+    needed = members.select("rep").distinct().hint("merge")
+    texts = docs.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep"))
+    sets = written(shingle_sets(texts.agg(F.max("text").alias("text")), size), "shingle-sets")
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(confirmed(written(stars, "stars"), docs, size, percent), "star-links")
+    links = written(confirmed(stars, sets, percent), "star-links")
     labels = components(links)
     labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "band", "rep", "n", F.coalesce("component", "rep").alias("component")
+        "band", "nth", "rep", "n", "size", F.coalesce("component", "rep").alias("component")
     )
     labelled = written(labelled, "labelled-members")
     mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    apart = labelled.join(mixed.select("band"), "band", "left_semi")
-    other = apart.toDF("band", "rep_b", "n_b", "component_b")
-    rest = apart.join(other, "band").where(F.col("component") < F.col("component_b"))
-    rest = rest.where(close_sizes("n", "n_b", percent)).select(
-        F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")
+    apart = written(labelled.join(mixed.select("band"), "band", "left_semi"), "mixed-buckets")
+    left = apart.select("rep").distinct()
+    left = classes.select("rep", "bands").join(left, "rep", "left_semi").join(
+        sketches(sets.join(left, "rep", "left_semi")), "rep"
     )
-    rest = written(rest.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    more = written(confirmed(rest, docs, size, percent), "rest-links")
+    rest = across_components(apart.join(left, "rep"), percent)
+    more = written(confirmed(rest.distinct(), sets, percent), "rest-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     # A class's component goes to its members.
