@@ -201,7 +201,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     members = written(spread.join(shared, "band"), "band-members")
     # The same plan at every size: texts go by doc_id to the list of those that share a bucket.
     needed = members.select("rep").distinct().hint("merge")
-    texts = docs.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep"))
+    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep"))
     sets = written(shingle_sets(texts.agg(F.max("text").alias("text")), size), "shingle-sets")
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = written(confirmed(stars, sets, percent), "star-links")
