@@ -72,3 +72,38 @@ def page_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_list_items")
 def page_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(pages.page_list_items("html")).alias("item_no", "item"))
+
+
+@query("page_records")
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed records of all pages; the kind goes by the page's number, as addresses don't tell it."""
+    from ..operators.records import FIELDS, all_records
+
+    kinds = F.array(*[F.lit(k) for k in FIELDS])
+    kind = F.element_at(kinds, (F.col("page_id") % len(FIELDS) + 1).cast("int"))
+    found = all_records(table(spark, sf_dir, "pages"), kind, F.lit("2025-01-01").cast("date"))
+    return found.select("id", "tipo", "titulo", "embedding_text", "dados_completos")
+
+
+@query(
+    "people_in_area",
+    """
+    WITH d AS (SELECT 'n' || (doc_id % 97) AS name, source AS url, text AS content, doc_id FROM documents),
+    hit AS (SELECT *, content ILIKE '%secret%' OR content ILIKE '%token%' AS h FROM d),
+    p AS (SELECT DISTINCT name, url, content FROM hit WHERE h AND doc_id % 2 = 0 ORDER BY name, url, content LIMIT 50),
+    q AS (SELECT DISTINCT name, url, content FROM hit WHERE h AND doc_id % 2 = 1 ORDER BY name, url, content LIMIT 5),
+    pn AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY url, content) AS n,
+        coalesce(nullif(instr(lower(content), 'secret'), 0), nullif(instr(lower(content), 'token'), 0)) AS x FROM p),
+    qn AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY url, content) AS n FROM q)
+    SELECT 'person' AS part, name, url, substr(content, greatest(x - 100, 1), x + 300 - greatest(x - 100, 1)) AS excerpt FROM pn WHERE n = 1
+    UNION ALL SELECT 'project', name, url, left(content, 300) FROM qn WHERE n = 1""",
+)
+def people_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of even numbers as people, of odd ones as projects."""
+    from ..operators import records
+
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("n"), (F.col("doc_id") % 97).cast("string")).alias("name"), F.col("source").alias("url"), F.col("text").alias("content"), "doc_id"
+    )
+    people, projects = docs.where("doc_id % 2 = 0").drop("doc_id"), docs.where("doc_id % 2 = 1").drop("doc_id")
+    return records.people_in_area(people, projects, ["secret", "token"])
