@@ -22,10 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small
+
 #: No such pair.
 NONE = np.int32(2**31 - 1)
 #: Pre-tokens that a worker remembers; beyond it the older half is forgotten. Bounds memory only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of pre-tokens in one block of the queue. Bounds memory only.
 BLOCK_BYTES = 8_000_000
 
@@ -253,7 +255,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, decode: bool = True) -> Da
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(path, pattern)
-        for batch in batches:
+        for batch in small(batches, 2500):
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 ids = list(use.encode(texts[a:b]))
@@ -274,7 +276,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(path, pattern)
-        for batch in batches:
+        for batch in small(batches, 2500):
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 n, coded, back = [], [], []

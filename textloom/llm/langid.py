@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Bounds of the training sample: rows of each language, and bytes of a sampled text.
 ROWS_PER_LANGUAGE, SAMPLE_BYTES = 1000, 20_000
 #: Languages that the model can learn: those with the most labelled rows.
@@ -31,7 +33,7 @@ SURE = 0.5
 #: The language of texts without letters.
 UNKNOWN = "und"
 #: Characters featurised at a time; bounds memory only.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 
 @functools.cache
@@ -175,7 +177,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = shared.value
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             todo = [k for k, t in enumerate(texts) if use and any(map(str.isalpha, t))]
