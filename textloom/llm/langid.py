@@ -28,8 +28,8 @@ ROWS_PER_LANGUAGE, SAMPLE_BYTES = 1000, 20_000
 LANGUAGES = 500
 BUCKET_BITS, DIMENSIONS, LONGEST = 16, 16, 4
 EPOCHS, RATE, SEED = 6, 0.5, 7
-#: A text is never rejected at or above this probability.
-SURE = 0.5
+#: A text is never rejected at or above this multiple of an even guess, so mixed and short texts stay.
+NEAR_CHANCE = 1.25
 #: The language of texts without letters.
 UNKNOWN = "und"
 #: Characters featurised at a time; bounds memory only.
@@ -145,7 +145,7 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
         model.temperature = float(min(np.geomspace(0.05, 20, 60), key=cost))
         p = softmax(logits / model.temperature)
         sure = np.sort(p.max(1)[p.argmax(1) == right])
-        model.threshold = min(SURE, float(sure[len(sure) // 1000])) if len(sure) else 0.0
+        model.threshold = min(NEAR_CHANCE / len(languages), float(sure[len(sure) // 1000])) if len(sure) else 0.0
     return model
 
 
