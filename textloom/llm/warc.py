@@ -276,7 +276,8 @@ def archived(pages: DataFrame, captured: Column, least_bytes: int = 0) -> DataFr
         "run", "offset", "url_key", "captured", (F.col("start") + F.col("place")).alias("position")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = runs.select("run").distinct().repartition(parts, "run")
-    return read(spark, names, folder).join(placed, ["run", "offset"]).select(
+    # One row for each archive, dealt out to as many tasks as there are; its records are not to be broadcast.
+    names = runs.where("seq = 0").select("run").repartition(parts, "run")
+    return read(spark, names, folder).join(placed.hint("merge"), ["run", "offset"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position"
     )
