@@ -55,9 +55,9 @@ THRESHOLD = 0.9
 
 
 def spaced(text: Column) -> Column:
-    """' word word word ', lower-cased; '' if there are no words."""
-    words = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), ALNUM_BREAK, " "))
-    return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+    """' word word word ', lower-cased; ' ' if there are no words. The text is gone through once."""
+    line = F.concat(F.lit(" "), ascii_lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+    return F.regexp_replace(line, ALNUM_BREAK, " ")
 
 
 def spaces(text: Column) -> Column:
@@ -175,7 +175,7 @@ def license_scan(
     base = base.select(
         "doc_id",
         "text_key",
-        F.greatest(spaces(F.col("words")) - 1, F.lit(0)).cast("long").alias("n_words"),
+        (spaces(F.col("words")) - 1).cast("long").alias("n_words"),
         total.cast("long").alias("n_base"),
         pick(F.least, 1).cast("long").alias("first_word"),
         pick(F.greatest, 2).cast("long").alias("last_word"),
