@@ -17,7 +17,7 @@ def one(spark, column, **values):
 
 def test_tokens(spark):
     assert one(spark, text.tokens(F.col("t")), t="Olá, mundo!") == ["olá", "mundo"]
-    assert one(spark, text.tokens(F.col("t")), t="A escola fica em Pelotas.") == ["a", "escola", "fica", "em", "pelotas"]
+    assert one(spark, text.tokens(F.col("t")), t="A escola fica em Lisboa.") == ["a", "escola", "fica", "em", "lisboa"]
     assert one(spark, text.ascii_tokens(F.col("t")), t="Ação 2") == ["a", "o", "2"]
     assert one(spark, text.space_tokens(F.col("t")), t="  a B,  c ") == ["a", "B,", "c"]
     assert one(spark, text.space_tokens(F.col("t")), t="") == []
