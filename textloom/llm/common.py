@@ -30,10 +30,12 @@ def ascii_lower(col: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is spark.checkpoint.dir; only where that is unset (local tests) a temporary folder stands in.
+    It is spark.checkpoint.dir; only where that is unset in local mode (tests) a temporary folder stands in.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
