@@ -26,7 +26,7 @@ from .common import small
 
 #: No such pair.
 NONE = np.int32(2**31 - 1)
-#: Pre-tokens that a worker remembers; beyond it the older half is forgotten. Bounds memory only.
+#: Pre-tokens of a generation of a worker's memory. Bounds memory only.
 REMEMBERED = 200_000
 #: Bytes of pre-tokens in one block of the queue. Bounds memory only.
 BLOCK_BYTES = 8_000_000
@@ -186,20 +186,39 @@ class Merges:
         return np.split(ids[alive].astype("<u4"), np.searchsorted(owner[alive], np.arange(1, len(pieces))))
 
 
+class Recent:
+    """Remembers values by key in two generations: what the old one has and is asked for again moves to the new
+    one, so keys that recur stay and the others go."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """The keys without a value; the others are in `new` until the next call."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        absent = [k for k in keys if k not in new]
+        if old:
+            new.update({k: old[k] for k in absent if k in old})
+            absent = [k for k in absent if k not in new]
+        return absent
+
+
 class Encoder:
     """Encodes whole texts; remembers the ids of pre-tokens between texts."""
 
     def __init__(self, merges: Merges, pattern: str):
         self.merges, self.split = merges, regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.memory = Recent(REMEMBERED)
         self.token_list = [merges.tokens.get(i, b"") for i in range(max(merges.tokens) + 1)]
 
     def learn(self, pieces: Iterable[str]) -> None:
         block, size = [], 0
-        for piece in pieces:
+        for piece in self.memory.missing(pieces):
             raw = piece.encode()
             if raw in self.merges.ranks:
-                self.known[piece] = self.merges.ranks[raw].to_bytes(4, "little")
+                self.memory.new[piece] = self.merges.ranks[raw].to_bytes(4, "little")
                 continue
             block.append((piece, raw))
             size += len(raw)
@@ -211,17 +230,15 @@ class Encoder:
     def merge(self, block: list[tuple[str, bytes]]) -> None:
         if block:
             for (piece, _), ids in zip(block, self.merges.encode_block([raw for _, raw in block]), strict=True):
-                self.known[piece] = ids.tobytes()
+                self.memory.new[piece] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) for t in texts]
-        known = self.known
-        self.learn({p for pieces in split for p in pieces if p not in known})
+        self.learn(set().union(*split))
+        known = self.memory.new.__getitem__
         for pieces in split:
-            yield b"".join([known[p] for p in pieces])
-        if len(known) > REMEMBERED:
-            self.known = dict(list(known.items())[-REMEMBERED // 2 :])
+            yield b"".join(map(known, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join([self.token_list[i] for i in np.frombuffer(ids, "<u4").tolist()])
