@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,13 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .bpe import slices
+from .common import scratch, small, written
 from .files import Reader, opened
+from .substring import BASE, INVERSE, powers
+from .wordblocks import mix
 
 #: Ids that the rolling hash covers, mean ids of a chunk beyond them, and most ids of a chunk.
-ROLLING, MEAN, MOST = 8, 512, 8192
-#: Bytes of one final pack's staging group; words that a worker remembers. Both bound memory only.
-REMEMBERED = 300_000
+ROLLING, MEAN, MOST = 8, 2048, 16_384
+#: Words that a worker remembers, rows and characters encoded at a time. They bound memory only.
+WORDS, ROWS, CHUNK = 1_500_000, 2500, 2_000_000
+#: What stands between words in a line for the library.
+MARK = "\u2400"
 
 _GEAR = np.random.default_rng(11).integers(0, 2**32, 65_536, dtype=np.uint32)
 
@@ -70,31 +76,124 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_VALUES = np.random.default_rng(5).integers(1, 2**63, (2, 256), dtype=np.uint64)
+
+
+@functools.cache
+def _first_powers(base: int) -> np.ndarray:
+    return powers(base, 1 << 22)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return _first_powers(base)[:n] if n <= 1 << 22 else powers(base, n)
+
+
+def words_in(line: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and two 64-bit hashes of a line's words, which ASCII white space parts: polynomials over
+    random values of the bytes, from running sums."""
+    code = np.frombuffer(line, np.uint8)
+    edges = np.flatnonzero(np.diff(~_SPACE[code], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(BASE, len(code)), _powers(INVERSE, len(code))
+    keys = []
+    for values in _VALUES:
+        run = np.append(np.uint64(0), np.cumsum(values[code] * up, dtype=np.uint64))
+        keys.append(mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+    return starts, ends, *keys
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, white space apart; remembers the ids of what lies between.
 
-    Right for tokenizers that drop white space, as then no token reaches over it.
+    Right for tokenizers that drop white space, as then no token reaches over it. Words are found, told apart (by
+    128 bits of hashes) and put together as arrays; the library gets each new word once, many in one line, with a
+    mark between them that no word has.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.encode().split() for t in texts]  # at ASCII white space
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, f"<u{self.width}").tobytes()
-        for words in split:
-            yield b"".join([known[w] for w in words])
-        if len(known) > REMEMBERED:
-            self.known = dict(list(known.items())[-REMEMBERED // 2 :])
+        self.kind = np.dtype(f"<u{self.width}")
+        self.between = np.array(self.ids(MARK), self.kind)
+        # By word, in order of the first hash: both hashes, and the place and number of its ids in flat.
+        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.begin, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, self.kind)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
+        parts, lengths = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            line = f" {MARK} ".join(some)
+            ids, size = np.array(self.ids(line), self.kind), len(self.between)
+            marks = np.ones(max(len(ids) - size + 1, 0), bool)
+            for n, x in enumerate(self.between):
+                marks &= ids[n : len(ids) - size + 1 + n] == x
+            at = np.flatnonzero(marks)
+            if line.count(MARK) != len(some) - 1 or len(at) != len(some) - 1:  # a word has the mark
+                each = [self.ids(w) for w in some]
+                parts += [np.array(x, self.kind) for x in each]
+                lengths.append(np.array([len(x) for x in each], np.int64))
+                continue
+            keep = np.ones(len(ids), bool)
+            for n in range(size):
+                keep[at + n] = False
+            parts.append(ids[keep])
+            lengths.append(np.append(at, len(ids)) - np.append(0, at + size))
+        return np.concatenate(parts), np.concatenate(lengths)
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        raw = [t.encode() for t in texts]
+        line = b" ".join([*raw, b""])
+        starts, ends, keys, checks = words_in(line)
+        # How many words begin before each text's end.
+        until = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
+        distinct, first, number = np.unique(keys, return_index=True, return_inverse=True)
+        if (checks != checks[first][number]).any():  # two words with one hash: none is told apart or remembered
+            distinct, first, number = keys, np.arange(len(keys)), np.arange(len(keys))
+            found, at = np.zeros(len(keys), bool), None
+        else:
+            at = np.searchsorted(self.keys, distinct)
+            inside = np.minimum(at, max(len(self.keys) - 1, 0))
+            same = self.keys[inside] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+            found = same.copy()
+            found[same] = self.checks[inside[same]] == checks[first[same]]
+        new = first[~found]
+        ids, lengths = self.library([line[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        length, begin = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        if at is not None and len(self.keys):
+            length[found], begin[found] = self.length[inside[found]], self.begin[inside[found]]
+        length[~found] = lengths
+        begin[~found] = len(self.flat) + np.cumsum(lengths) - lengths
+        flat = np.concatenate([self.flat, ids])
+        if at is not None:
+            self.remember(flat, distinct, checks[first], begin, length, found, at, same)
+        # Each word's ids follow those of the word before.
+        n = length[number]
+        stop = np.cumsum(n)
+        where = np.repeat(begin[number] - (stop - n), n) + np.arange(int(n.sum()))
+        yield from np.split(flat[where], np.append(0, stop)[until][:-1])
+
+    def remember(self, flat, keys, checks, begin, length, found, at, same) -> None:
+        if len(self.keys) > WORDS:  # only what these texts have
+            n = length
+            where = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            self.keys, self.checks, self.length = keys, checks, length
+            self.flat, self.begin = flat[where], np.cumsum(n) - n
+            return
+        add = ~same
+        self.flat = flat
+        for name, values in (("keys", keys), ("checks", checks), ("begin", begin), ("length", length)):
+            setattr(self, name, np.insert(getattr(self, name), at[add], values[add]))
 
 
 @functools.cache
@@ -123,17 +222,18 @@ def build(docs: DataFrame, tokenizer_path: str, end_id: int, store: str) -> None
         use = word_encoder(tokenizer_path)
         name = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}.zst"
         where, path = opened(f"{staging}/{name}")
-        end = np.array([end_id], f"<u{use.width}").tobytes()
+        end = np.array([end_id], f"<u{use.width}")
         place = count = 0
         with where.open_output_stream(path) as raw, zstandard.ZstdCompressor(level=1).stream_writer(raw, closefd=False) as out:
-            for batch in batches:
+            for batch in small(batches, ROWS):
                 doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
                 rows = {k: [] for k in ("doc_id", "row", "n_tokens", "seq", "digest", "staged", "place", "size")}
                 # Digests of this batch's chunks: a copy of one needs no second place in the staging pack.
                 seen: dict[bytes, int] = {}
-                for doc_id, data in zip(doc_ids, use.encode(texts), strict=True):
-                    data += end
-                    ids = np.frombuffer(data, f"<u{use.width}")
+                ids_of_texts = (ids for a, b in slices(texts, CHUNK) for ids in use.encode(texts[a:b]))
+                for doc_id, ids in zip(doc_ids, ids_of_texts, strict=True):
+                    ids = np.append(ids, end)
+                    data = ids.tobytes()
                     bounds = [0, *(cuts(ids) * use.width).tolist()]
                     row = f"{name}#{count}"
                     count += 1
@@ -205,7 +305,9 @@ def build(docs: DataFrame, tokenizer_path: str, end_id: int, store: str) -> None
             n = np.array(batch.column("n_tokens"), np.int64)
             starts = before + np.cumsum(n) - n
             before += int(n.sum())
-            roots = [merkle([c["digest"] for c in x]) for x in batch.column("chunks").to_pylist()]
+            chunks = batch.column("chunks")
+            digests, ends = chunks.flatten().field("digest").to_pylist(), np.cumsum(chunks.value_lengths())
+            roots = [merkle(digests[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part] * len(n), pa.int32()),
@@ -241,20 +343,22 @@ def read(spark: SparkSession, store: str, width: int, digest: Callable[[bytes],
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
-        for batch in batches:
+        for batch in small(batches):
             digests = []
-            wanted = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root", "chunks")), strict=True)
-            for doc_id, n, root, chunks in wanted:
-                parts, at = [], 0
-                while at < len(chunks):  # neighbours in a pack are read at once
+            nested = batch.column("chunks")
+            packs, offsets, sizes = (nested.flatten().field(c).to_pylist() for c in ("pack", "offset", "size"))
+            ends = np.cumsum(nested.value_lengths()).tolist()
+            wanted = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root")), [0, *ends[:-1]], ends, strict=True)
+            for doc_id, n, root, at, end in wanted:
+                parts = []
+                while at < end:  # neighbours in a pack are read at once
                     run = at + 1
-                    while run < len(chunks) and chunks[run]["pack"] == chunks[at]["pack"] and chunks[run]["offset"] == chunks[run - 1]["offset"] + chunks[run - 1]["size"]:
+                    while run < end and packs[run] == packs[at] and offsets[run] == offsets[run - 1] + sizes[run - 1]:
                         run += 1
-                    size = sum(c["size"] for c in chunks[at:run])
-                    data = reader.read(f"{store}/packs/{chunks[at]['pack']}", chunks[at]["offset"], size)
-                    for c in chunks[at:run]:
-                        parts.append(data[: c["size"]])
-                        data = data[c["size"] :]
+                    data = reader.read(f"{store}/packs/{packs[at]}", offsets[at], sum(sizes[at:run]))
+                    for size in sizes[at:run]:
+                        parts.append(data[:size])
+                        data = data[size:]
                     at = run
                 if merkle([hashlib.sha256(p).digest() for p in parts]) != root:
                     raise ValueError(f"document {doc_id}: what was read doesn't match its Merkle root")
