@@ -171,8 +171,8 @@ def across_components(members: DataFrame, percent: int) -> DataFrame:
         ordered = rep[i] < rep[j] if table.column("x")[0].as_py() == table.column("y")[0].as_py() else np.ones(len(i), bool)
         i, j = i[ordered], j[ordered]
         keep = [np.empty(0, np.int64)]
-        for k in range(0, len(i), 20_000):
-            part = slice(k, k + 20_000)
+        for k in range(0, len(i), 4_000):
+            part = slice(k, k + 4_000)
             keep.append(k + np.flatnonzero((marks[i[part]] == marks[j[part]]).mean(1) >= least))
         keep = np.concatenate(keep)
         low, high = np.minimum(rep[i[keep]], rep[j[keep]]), np.maximum(rep[i[keep]], rep[j[keep]])
