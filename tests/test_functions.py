@@ -69,6 +69,16 @@ def test_lcs_and_rouge(spark):
     assert (r["precision"], r["recall"], r["f1"]) == (pytest.approx(2 / 3), 1.0, pytest.approx(0.8))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
+def test_common_subsequence(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    assert evaluate.common_subsequence(a, b) == table[-1][-1]
+
+
 def test_recall_precision(spark):
     rel, rec = F.array(*map(F.lit, "ABC")), F.array(*map(F.lit, "AXBYC"))
     for k, recall, precision in ((1, 1 / 3, 1), (3, 2 / 3, 2 / 3), (5, 1, 0.6), (0, 0, 0)):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import ascii_tokens, f_measure, lcs_length
+from ..functions.text import ascii_tokens, f_measure
 
 
 def relevant_by_text(text: Column, wanted: Column) -> Column:
@@ -46,10 +48,28 @@ def precision_at(relevant: Column, returned: Column, k: int) -> Column:
     return F.size(F.filter(F.slice(returned, 1, k), lambda x: F.array_contains(relevant, x))) / F.lit(float(k))
 
 
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """The length of the longest common subsequence, a row of the table at a time as the bits of one number."""
+    places: dict[str, int] = {}
+    for k, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    row = every
+    for word in b:
+        met = row & places.get(word, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(T.IntegerType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([common_subsequence(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+
+
 def rouge_l(candidate: Column, reference: Column) -> Column:
     """A struct of precision, recall and f1 of the longest common subsequence of words."""
     a, b = ascii_tokens(candidate), ascii_tokens(reference)
-    common = lcs_length(a, b)
+    common = _common(a, b)
     precision = F.when(F.size(a) > 0, common / F.size(a)).otherwise(0.0)
     recall = F.when(F.size(b) > 0, common / F.size(b)).otherwise(0.0)
     return F.struct(precision.alias("precision"), recall.alias("recall"), f_measure(precision, recall).alias("f1"))
