@@ -1,5 +1,7 @@
 import hashlib
 import math
+import random
+import string
 import zlib
 from collections import Counter
 
@@ -148,6 +150,19 @@ def test_language_held_out_accuracy(spark):
     assert right[0] > 0.97 and right[1] < 0.02
 
 
+
+def test_unlearned_languages_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    model = langid.train(docs, (F.col("lang") != "fr") & (lm.remainder("doc_id", 5) != 0))
+    short = F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("text")
+    pick = random.Random(4)
+    noise = [(k, " ".join("".join(pick.choices(string.ascii_lowercase, k=pick.randint(2, 9))) for _ in range(30))) for k in range(100)]
+    share = lambda df: langid.predicted(df, model).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    known = docs.where(F.col("lang") != "fr").where(lm.remainder("doc_id", 5) == 0)
+    assert share(known) < 0.02 and share(known.select("doc_id", short)) < 0.03
+    assert share(docs.where("lang = 'fr' AND length(text) > 200")) > 0.8
+    assert share(spark.createDataFrame(noise, "doc_id long, text string")) > 0.95
+
 PAGES = [(1, "http://a.org/x", "<p>1</p>"), (2, "https://www.A.org:443/x#f", "<p>1</p>"), (3, None, None), (4, "b.org/?q=1", ""), (5, "http://a.org/a\nb", "é" * 100_000), (6, "http://a.org/x", "é" * 100_000), (None, "c.net", "<p>1</p>"), (6, "http://a.org/x", "é" * 100_000)]
 
 

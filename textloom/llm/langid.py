@@ -4,9 +4,12 @@ A text is lower-cased; everything but letters becomes a space, and its runs of 1
 included) are hashed to buckets. A bucket has an embedding; a text's vector is the average over all its
 subwords, and a linear softmax gives the languages' probabilities. The model is fitted by stochastic gradient
 descent in numpy on a bounded sample of labelled rows; a part of the sample is set aside to calibrate it: a
-temperature makes the probabilities honest, and the rejection threshold is set where at most one in a thousand
-rightly predicted texts would fall. As averaging is linear, embeddings and output weights are multiplied out
-once, and prediction adds up one row of class scores per subword of the whole text.
+temperature makes the probabilities honest. A softmax is sure of a language even where it has learned none like it,
+so rejection has a second measure: how usual a text's subwords are in the learned texts (their mean log
+frequency, all languages weighing the same). Both have a threshold for each length of text, set where about one in
+a thousand of the texts set aside, cut to pieces of all lengths and mixed of two languages, would fall. As averaging
+is linear, embeddings and output weights are multiplied out once, and prediction adds up one row of class scores
+per subword of the whole text.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ ROWS_PER_LANGUAGE, SAMPLE_BYTES = 1000, 20_000
 LANGUAGES = 500
 BUCKET_BITS, DIMENSIONS, LONGEST = 16, 16, 4
 EPOCHS, RATE, SEED = 6, 0.5, 7
-#: A text is never rejected at or above this multiple of an even guess, so mixed and short texts stay.
-NEAR_CHANCE = 1.25
+#: The share of good texts that a threshold lets fall, and as many standard deviations under a normal mean.
+FALL, DEVIATIONS = 1000, 3.09
+#: Words of the pieces that thresholds are calibrated on, besides whole texts.
+PIECES = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144)
 #: The language of texts without letters.
 UNKNOWN = "und"
 #: Characters featurised at a time; bounds memory only.
@@ -71,22 +76,32 @@ class Model:
     languages: list[str]
     scores: np.ndarray  # of each bucket and language
     bias: np.ndarray
+    usual: np.ndarray  # log frequency of each bucket in the learned texts
     temperature: float = 1.0
-    threshold: float = 0.0
+    #: By the binary logarithm of a text's number of subwords: the least log probability and the least usualness.
+    thresholds: np.ndarray | None = None
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+    def measures(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's logits, usualness and number of subwords."""
+        total, count, usual = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts))
         for buckets, owner in subwords(texts):
             count += np.bincount(owner, minlength=len(texts))
+            usual += np.bincount(owner, self.usual[buckets], len(texts))
             for k in range(len(self.languages)):
                 total[:, k] += np.bincount(owner, self.scores[:, k][buckets], len(texts))
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        n = np.maximum(count, 1)
+        return total / n[:, None] + self.bias, usual / n, n
 
-    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's language number and its calibrated probability."""
-        p = softmax(self.logits(texts) / self.temperature)
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's language number, its calibrated probability, and whether it is rejected."""
+        logits, usual, n = self.measures(texts)
+        p = softmax(logits / self.temperature)
         best = p.argmax(1)
-        return best, p[np.arange(len(texts)), best]
+        p = p[np.arange(len(texts)), best]
+        if self.thresholds is None:
+            return best, p, np.zeros(len(texts), bool)
+        least = self.thresholds[np.minimum(np.log2(n).astype(int), len(self.thresholds) - 1)]
+        return best, p, (np.log(p) < least[:, 0]) | (usual < least[:, 1])
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -136,19 +151,53 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
             ):
                 seen[name][where] += slope**2
                 table[where] -= RATE * slope / np.sqrt(seen[name][where])
-    model = Model(languages, embeddings @ out, bias)
+    counts = np.zeros((len(languages), 2**BUCKET_BITS))
+    for k in learn[learn < len(rows)]:
+        counts[y[k]][features[k][0]] += features[k][1][:, 0]
+    counts /= np.maximum(counts.sum(1, keepdims=True), 1e-12)
+    learned = sum(len(features[k][0]) for k in learn[learn < len(rows)])
+    usual = np.log(counts.mean(0) + 1 / max(learned, 2**BUCKET_BITS))
+    model = Model(languages, embeddings @ out, bias, usual)
     texts = [*rows, *pieces]
     if calibrate:
-        logits, right = model.logits([texts[k][0] for k in calibrate]), y[calibrate]
+        logits, right = model.measures([texts[k][0] for k in calibrate])[0], y[calibrate]
         row = np.arange(len(right))
         cost = lambda t: -np.log(softmax(logits / t)[row, right] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.05, 20, 60), key=cost))
-        p = softmax(logits / model.temperature)
-        sure = np.sort(p.max(1)[p.argmax(1) == right])
-        model.threshold = min(NEAR_CHANCE / len(languages), float(sure[len(sure) // 1000])) if len(sure) else 0.0
+        model.thresholds = thresholds(model, rows[:held], random)
     return model
 
 
+def thresholds(model: Model, rows: list[tuple[str, str]], random: np.random.Generator) -> np.ndarray | None:
+    """The least log probability and usualness that good texts have, by the logarithm of their number of subwords."""
+    good: list[tuple[str, tuple[str, ...]]] = []
+    for k, (text, lang) in enumerate(rows):
+        other, other_lang = rows[k - 1]
+        words, others = text.split(), other.split()
+        good.append((text, (lang,)))
+        for n in PIECES:
+            at, place = int(random.integers(max(len(words) - n, 0) + 1)), int(random.integers(max(len(others) - n, 0) + 1))
+            good.append((" ".join(words[at : at + n]), (lang,)))
+            good.append((" ".join(words[at : at + n] + others[place : place + n]), (lang, other_lang)))
+    good = [g for g in good if any(map(str.isalpha, g[0]))]
+    sizes, values = [], []
+    for part in pieces_of(list(range(len(good))), [t for t, _ in good]):
+        logits, usual, n = model.measures([good[k][0] for k in part])
+        p = softmax(logits / model.temperature)
+        right = np.array([model.languages[b] in good[k][1] for k, b in zip(part, p.argmax(1).tolist(), strict=True)], bool)
+        sizes.append(np.log2(n[right]).astype(int))
+        values.append(np.stack([np.log(p.max(1)), usual], 1)[right])
+    if not values or not len(size := np.concatenate(sizes)):
+        return None
+    value, least = np.concatenate(values), []
+    for k in range(size.max() + 1):
+        # Lengths with few texts share those of their neighbours; few texts alone say little about the thousandth.
+        near = np.abs(size - k)
+        here = value[near <= np.sort(near)[min(len(near), FALL) - 1]]
+        least.append(np.minimum(np.quantile(here, 1 / FALL, axis=0, method="lower"), here.mean(0) - DEVIATIONS * here.std(0)))
+    return np.array(least)
+
+
 def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
     """About `rows` labelled rows of each language, chosen by the hash of their text; at most twice as many."""
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
@@ -170,7 +219,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     """Per row of docs: doc_id, lang_pred, score, rejected. Only text is used.
 
     Texts that are null or have no letter are `und` with score 0 and rejected; without any labelled row to
-    learn from, so is every text. rejected marks probabilities below the model's threshold. Rows are judged one
+    learn from, so is every text. rejected marks texts below a threshold of the model for their length. Rows are judged one
     by one, so repeated rows get equal answers; other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -179,13 +228,12 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
         use = shared.value
         for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            lang, score, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
             todo = [k for k, t in enumerate(texts) if use and any(map(str.isalpha, t))]
             for part in pieces_of(todo, texts):
-                best, p = use.predict([texts[k] for k in part])
-                for k, b, x in zip(part, best.tolist(), p.tolist(), strict=True):
-                    lang[k], score[k] = use.languages[b], x
-            rejected = [code == UNKNOWN or x < use.threshold for code, x in zip(lang, score, strict=True)]
+                best, p, out = use.predict([texts[k] for k in part])
+                for k, b, x, gone in zip(part, best.tolist(), p.tolist(), out.tolist(), strict=True):
+                    lang[k], score[k], rejected[k] = use.languages[b], x, gone
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"],
