@@ -163,6 +163,17 @@ def test_unlearned_languages_and_noise_are_rejected(spark):
     assert share(docs.where("lang = 'fr' AND length(text) > 200")) > 0.8
     assert share(spark.createDataFrame(noise, "doc_id long, text string")) > 0.95
 
+
+def test_language_sample_of_copies_and_long_texts(spark):
+    hot = [(k, "one text with many copies", "en") for k in range(400)]
+    own = [(1000 + k, f"text number {k} of its own", "en") for k in range(300)] + [(2000 + k, f"texto de {k % 20}", "es") for k in range(300)]
+    long = [(3000 + k, f"sehr langer text {k} " * 3000, "de") for k in range(5)]
+    docs = spark.createDataFrame(hot + own + long, "doc_id long, text string, lang string")
+    got = langid.sample(docs, rows=50)
+    assert Counter(lang for _, lang in got) == {"en": 50, "es": 20, "de": 5}
+    assert len(set(got)) == len(got) and max(len(t.encode()) for t, _ in got) <= langid.SAMPLE_BYTES
+    assert sorted(got) == sorted(langid.sample(docs.repartition(7, "doc_id"), rows=50))
+
 PAGES = [(1, "http://a.org/x", "<p>1</p>"), (2, "https://www.A.org:443/x#f", "<p>1</p>"), (3, None, None), (4, "b.org/?q=1", ""), (5, "http://a.org/a\nb", "é" * 100_000), (6, "http://a.org/x", "é" * 100_000), (None, "c.net", "<p>1</p>"), (6, "http://a.org/x", "é" * 100_000)]
 
 

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import small
 
-#: Bounds of the training sample: rows of each language, and bytes of a sampled text.
+#: Bounds of the training sample: distinct texts of each language, and bytes of a sampled text or piece.
 ROWS_PER_LANGUAGE, SAMPLE_BYTES = 1000, 20_000
-#: Languages that the model can learn: those with the most labelled rows.
+#: Languages that the model can learn: those with the most distinct labelled texts.
 LANGUAGES = 500
 BUCKET_BITS, DIMENSIONS, LONGEST = 16, 16, 4
 EPOCHS, RATE, SEED = 6, 0.5, 7
@@ -199,15 +199,26 @@ def thresholds(model: Model, rows: list[tuple[str, str]], random: np.random.Gene
 
 
 def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About `rows` labelled rows of each language, chosen by the hash of their text; at most twice as many."""
-    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """Of each language the `rows` distinct texts with the smallest hashes, or all if there are fewer.
+
+    However often a text is repeated, it counts once. Of a text over SAMPLE_BYTES a piece from its middle is taken.
+    """
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = usable.select("lang", "h").distinct().groupBy("lang").count()
+    counts = counts.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return []
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], rows / r["count"])])
-    chance = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    found = usable.where(chance < shares[F.col("lang")]).select("text", "lang").limit(2 * rows * len(counts))
-    return [(r["text"], r["lang"]) for r in found.collect()]
+    # So many more that, as hashes are even, a language hardly ever gets fewer than `rows` of its distinct texts.
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], (1.2 * rows + 50) / r["count"])])
+    chance = F.pmod("h", F.lit(1_000_003)) / 1_000_003.0
+    size = SAMPLE_BYTES // 4  # characters have at most four bytes
+    middle = F.substring("text", F.floor((F.char_length("text") - size) / 2).cast("int") + 1, F.lit(size))
+    piece = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(middle)
+    some = usable.where(chance < shares[F.col("lang")]).select("lang", "h", chance.alias("chance"), piece.alias("text"))
+    found: dict[str, list[tuple[float, int, str]]] = {}
+    for r in some.groupBy("lang", "h").agg(F.min("chance").alias("chance"), F.min("text").alias("text")).collect():
+        found.setdefault(r["lang"], []).append((r["chance"], r["h"], r["text"]))
+    return [(text, lang) for lang, texts in found.items() for _, _, text in sorted(texts)[:rows]]
 
 
 def train(docs: DataFrame, learn: Column) -> Model | None:
