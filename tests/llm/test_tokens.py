@@ -127,3 +127,37 @@ def test_a_changed_pack_is_found(spark):
             f.write(bytes(data))
     with pytest.raises(Exception, match="Merkle"):
         tokenstore.read(spark, store, 2, zlib.crc32).collect()
+
+
+def test_lost_and_changed_recipes_are_found(spark):
+    from pyarrow import fs
+    from pyspark.sql import functions as F
+
+    from textloom.llm.common import scratch
+    from textloom.llm.files import opened
+
+    store = scratch(spark, "recipes")
+    tokenstore.build(table(spark, ROWS), STORE_PATH, 2, store)
+    assert tokenstore.read(spark, store, 2, zlib.crc32).count() == len(ROWS)
+    recipes = spark.read.parquet(f"{store}/recipes").cache()
+    one = F.col("doc_id") == 3
+    first, other = (recipes.where(f"doc_id = {d}").first() for d in (1, 3))
+    swapped = [F.when(one, F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in (("root", bytes(first["root"])), ("n_tokens", first["n_tokens"]))]
+    assert first["root"] != other["root"]
+    changes = {
+        "row": recipes.where("doc_id IS NULL OR doc_id <> 3"),
+        "id": recipes.withColumn("doc_id", F.when(one, 99).otherwise(F.col("doc_id"))),
+        "swap": recipes.select("part", "doc_id", "start_in_part", swapped[1], swapped[0], "chunks"),
+    }
+    for name, changed in changes.items():
+        damaged = f"{store}-{name}"
+        spark.read.parquet(f"{store}/manifest").write.parquet(f"{damaged}/manifest")
+        changed.write.parquet(f"{damaged}/recipes")
+        with pytest.raises(ValueError, match="recipe files"):
+            tokenstore.verify(spark, damaged)
+    recipes.unpersist()
+    where, path = opened(f"{store}/recipes")
+    files = [f for f in where.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet")]
+    where.delete_file(max(files, key=lambda f: f.size).path)
+    with pytest.raises(ValueError, match="recipe files"):
+        tokenstore.read(spark, store, 2, zlib.crc32).collect()

@@ -9,7 +9,8 @@ The store is a folder:
 * packs/<name>.ids   chunks one after the other, ids as little-endian unsigned integers of 2 or 4 bytes;
 * chunks             a table: digest (SHA-256 of the chunk's bytes), pack, offset, size;
 * recipes            a table in ascending doc_id order: doc_id, start, n_tokens, root and the chunks' places;
-* manifest           a table: each recipe file's number of documents, first id's place, ids and Merkle root.
+* manifest           a table: each recipe file's number of documents, first id's place, ids and Merkle root over its
+                     rows (doc_id, place, ids, root), and the root over all these rows.
 
 Building it takes two passes over the ids but one over the texts: texts are encoded into compressed staging
 packs; the chunks' digests (not their bytes) meet in Spark to choose each chunk's first place in doc_id order;
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -204,6 +205,10 @@ def word_encoder(path: str) -> WordEncoder:
 
 STAGED = "doc_id long, row string, n_tokens long, seq int, digest binary, staged string, place long, size int"
 CHUNKS = "digest binary, pack string, offset long, size int"
+RECIPES = (
+    "part int, doc_id long, start_in_part long, n_tokens long, root binary, "
+    "chunks array<struct<seq:int,digest:binary,pack:string,offset:long,size:int>>"
+)
 
 
 def build(docs: DataFrame, tokenizer_path: str, end_id: int, store: str) -> None:
@@ -320,25 +325,60 @@ def build(docs: DataFrame, tokenizer_path: str, end_id: int, store: str) -> None
                 ["part", "doc_id", "start_in_part", "n_tokens", "root", "chunks"],
             )
 
-    chunk_type = "array<struct<seq:int,digest:binary,pack:string,offset:long,size:int>>"
-    numbered = ranged.select("doc_id", "n_tokens", "chunks").mapInArrow(
-        number, f"part int, doc_id long, start_in_part long, n_tokens long, root binary, chunks {chunk_type}"
-    )
+    numbered = ranged.select("doc_id", "n_tokens", "chunks").mapInArrow(number, RECIPES)
     numbered.write.parquet(f"{store}/recipes")
-    files = spark.read.parquet(f"{store}/recipes").groupBy("part").agg(
-        F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.max("start_in_part").alias("last")
-    )
-    # One row for each recipe file, so this window is small however large the store.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files.select(
-        "part", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")
-    ).coalesce(1).write.parquet(f"{store}/manifest")
+    # One row for each recipe file, as many as there are tasks.
+    parts = recipe_parts(spark.read.parquet(f"{store}/recipes"))
+    root = store_root(parts)
+    rows = [(*r, root) for r in parts]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{store}/manifest")
+
+
+MANIFEST = "part int, n_docs long, n_tokens long, root binary, start long, store_root binary"
+
+
+def recipe_parts(recipes: DataFrame) -> list[tuple]:
+    """What the manifest has to say of the recipes: part, n_docs, n_tokens, root and start of each recipe file."""
+
+    def summed(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("start_in_part", "ascending"), ("root", "ascending")])
+        columns = [table.column(c).to_pylist() for c in ("doc_id", "start_in_part", "n_tokens", "root")]
+        leaves = [f"{d} {start} {n} ".encode() + root for d, start, n, root in zip(*columns, strict=True)]
+        found = (table.column("part")[0].as_py(), len(leaves), sum(columns[2]), merkle(leaves))
+        return pa.table([pa.array([x], t) for x, t in zip(found, types, strict=True)], names)
+
+    names, types = ["part", "n_docs", "n_tokens", "root"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    rows = recipes.select("part", "doc_id", "start_in_part", "n_tokens", "root")
+    found = rows.groupBy("part").applyInArrow(summed, "part int, n_docs long, n_tokens long, root binary")
+    out, start = [], 0
+    for part, n_docs, n_tokens, root in sorted(tuple(r) for r in found.collect()):
+        out.append((part, n_docs, n_tokens, bytes(root), start))
+        start += n_tokens
+    return out
+
+
+def store_root(parts: list[tuple]) -> bytes:
+    return merkle([f"{part} {n_docs} {n_tokens} {start} ".encode() + root for part, n_docs, n_tokens, root, start in parts])
+
+
+def verify(spark: SparkSession, store: str) -> None:
+    """Fails if the manifest isn't whole or the recipe files aren't those that it lists."""
+    rows = [tuple(r) for r in spark.read.schema(MANIFEST).parquet(f"{store}/manifest").collect()]
+    listed = sorted((*r[:3], bytes(r[3]), r[4]) for r in rows)
+    root = store_root(listed)
+    if any(bytes(r[5]) != root for r in rows):
+        raise ValueError(f"{store}: the manifest doesn't match its Merkle root")
+    there = recipe_parts(spark.read.schema(RECIPES).parquet(f"{store}/recipes"))
+    if wrong := sorted({r[0] for r in set(listed) ^ set(there)}):
+        raise ValueError(f"{store}: recipe files {wrong} don't match the manifest's counts and Merkle roots")
 
 
 def read(spark: SparkSession, store: str, width: int, digest: Callable[[bytes], int]) -> DataFrame:
     """Reads every document back from the files: doc_id, start, n_tokens, digest (of its ids as unsigned
-    little-endian 32-bit integers) and merkle_root. Digests, sizes and roots are verified on the way."""
-    recipes = spark.read.parquet(f"{store}/recipes")
+    little-endian 32-bit integers) and merkle_root. The manifest and the recipe files are verified at once, chunks,
+    sizes and documents' roots on the way."""
+    verify(spark, store)
+    recipes = spark.read.schema(RECIPES).parquet(f"{store}/recipes")
     manifest = spark.read.parquet(f"{store}/manifest").select("part", F.col("start").alias("part_start"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
