@@ -110,6 +110,23 @@ def test_chunks_follow_the_content():
     assert tokenstore.cuts(ids[:0]).tolist() == []
 
 
+def test_documents_that_share_a_passage_share_chunks(spark):
+    from textloom.llm.common import scratch
+
+    pick = random.Random(6)
+    some = lambda n: ["".join(pick.choices("abcdefghij", k=6)) for _ in range(n)]
+    passage = some(250)
+    rows = [(d, " ".join([*some(60), *passage, *some(60)])) for d in (1, 2)]
+    store = scratch(spark, "passage")
+    tokenstore.build(table(spark, rows), STORE_PATH, 2, store)
+    own = [{bytes(c["digest"]): c["size"] for c in r["chunks"]} for r in spark.read.parquet(f"{store}/recipes").collect()]
+    shared = own[0].keys() & own[1].keys()
+    ids = len(Tokenizer.from_file(STORE_PATH).encode(" ".join(passage), add_special_tokens=False).ids)
+    assert sum(own[0][d] for d in shared) > ids  # of two bytes each: over half of the passage
+    stored = spark.read.parquet(f"{store}/chunks").agg({"size": "sum"}).first()[0]
+    assert stored == sum((own[0] | own[1]).values())
+
+
 def test_a_changed_pack_is_found(spark):
     from textloom.llm.common import scratch
     from textloom.llm.files import opened

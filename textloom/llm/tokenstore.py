@@ -40,8 +40,9 @@ from .files import Reader, opened
 from .substring import BASE, INVERSE, powers
 from .wordblocks import mix
 
-#: Ids that the rolling hash covers, mean ids of a chunk beyond them, and most ids of a chunk.
-ROLLING, MEAN, MOST = 8, 2048, 16_384
+#: Ids that the rolling hash covers, mean ids of a chunk beyond them, and most ids of a chunk. Most documents have
+#: some hundred ids, so chunks are short enough for several in each.
+ROLLING, MEAN, MOST = 8, 128, 1024
 #: Words that a worker remembers, rows and characters encoded at a time. They bound memory only.
 WORDS, ROWS, CHUNK = 1_500_000, 2500, 2_000_000
 #: What stands between words in a line for the library.
