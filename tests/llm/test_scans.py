@@ -89,6 +89,16 @@ def test_licenses_of_all_cases(spark):
     assert licenses.license_scan(table(spark, [])).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by"
+    before = "some words of\nanother kind " * 40
+    rows = [(1, mit), (2, bsd), (3, gpl), (4, before + mit), (5, before + gpl.replace(" ", "\n") + before), (6, bsd.replace("without\n", "without\n\n"))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(table(spark, rows)).collect()}
+    assert [got[k][0] for k in range(1, 7)] == ["mit", "bsd", "gpl", "mit", "gpl", ""]
+    assert all(got[k][1] >= 0.9 for k in range(1, 6))
+
 def test_lm_of_all_cases(spark):
     held = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 == 2
     tokens = [(d, [*data.words(t, lower=True), None]) for d, t in ROWS]

@@ -1,6 +1,8 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with license notices.
 
-A block is a line of a text. A template matches a block if at least `threshold` of the template's distinct
+A block is a line of a text, or a window of a paragraph's words. Windows are three times as long as the longest
+template and begin as many words apart as it has, so a notice is found however it is wrapped, with as many other
+words between as it has itself. Blank lines part paragraphs. A template matches a block if at least `threshold` of the template's distinct
 words stand in it, in any order. The join finds every such pair without comparing all pairs:
 
 * template words are ordered by their frequency over the whole corpus, rarest first;
@@ -50,6 +52,9 @@ TEMPLATES = (
     ("public-domain", "This is free and unencumbered software released into the public domain"),
 )
 
+#: What parts paragraphs: lines without anything but white space.
+BLANK_LINE = r"\n[ \t\r]*\n"
+
 #: The least share of a template's distinct words that a block must hold.
 THRESHOLD = 0.9
 
@@ -79,6 +84,10 @@ def template_words(notice: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(ALNUM_BREAK, lowered) if w))
 
 
+def word_count(notice: str) -> int:
+    return len([w for w in re.split(ALNUM_BREAK, notice.lower()) if w])
+
+
 def word_counts(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
     """How often each word of the vocabulary stands in the corpus."""
     found = docs.select(F.explode(F.split(spaced(F.col("text")), " ")).alias("word"))
@@ -111,10 +120,25 @@ def license_blocks(
     )
     ranks = F.create_map(*[F.lit(x) for w, k in order.items() for x in (w, k)])
     vocabulary = F.array(*[F.lit(w) for w in order])
-    blocks = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")))
-    blocks = blocks.select("doc_id", "text_key", F.col("pos").alias("block_no"), spaced(F.col("col")).alias("line"))
-    blocks = blocks.withColumn("words", F.split("line", " ")).where(
-        F.arrays_overlap("words", F.array(*[F.lit(w) for w in rare]))
+    has_rare = F.arrays_overlap("words", F.array(*[F.lit(w) for w in rare]))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    lines = keyed.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")))
+    lines = lines.select("doc_id", "text_key", F.col("pos").alias("block_no"), F.split(spaced(F.col("col")), " ").alias("words"))
+    # Paragraphs of one line are blocks already. Windows have numbers below zero: paragraph and place in one long.
+    wrapped = keyed.where(F.contains("text", F.lit("\n"))).select("doc_id", "text_key", F.posexplode(F.split("text", BLANK_LINE)))
+    wrapped = wrapped.where(F.contains(F.trim(F.col("col"), F.lit("\n")), F.lit("\n")))
+    wrapped = wrapped.select(
+        "doc_id", "text_key", F.col("pos").alias("paragraph"), F.split(F.trim(spaced(F.col("col"))), " ").alias("words")
+    ).where(has_rare)
+    step = max((word_count(notice) for _, notice in templates), default=1)
+    begins = F.sequence(F.lit(1), F.size("words"), F.lit(step))
+    windows = F.transform(begins, lambda k: F.slice("words", k, 3 * step))
+    wrapped = wrapped.select("doc_id", "text_key", "paragraph", F.posexplode(windows).alias("place", "words"))
+    number = -1 - (F.col("paragraph").cast("long") * F.lit(1 << 31) + F.col("place"))
+    blocks = (
+        lines.withColumn("block_no", F.col("block_no").cast("long"))
+        .unionByName(wrapped.select("doc_id", "text_key", number.alias("block_no"), "words"))
+        .where(has_rare)
     )
     # The block's words of the vocabulary, rarest first; words of no template can never be common.
     known = F.array_sort(
