@@ -60,7 +60,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes to shared storage and reads back, so lost executors cost no recomputation."""
     where = scratch(df.sparkSession, label)
     df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    out = df.sparkSession.read.schema(df.schema).parquet(where)
+    _WRITTEN[id(out)] = (out, where)
+    return out
+
+
+#: What `written` has stored and `free` not yet deleted.
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more. Whatever else is passed stays."""
+    for df in tables:
+        if id(df) in _WRITTEN:
+            remove(df.sparkSession, _WRITTEN.pop(id(df))[1])
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -6,14 +6,14 @@ roots over chunk digests, documents and recipe files verify whatever is read bac
 
 The store is a folder:
 
-* packs/<name>.ids   chunks one after the other, ids as little-endian unsigned integers of 2 or 4 bytes;
+* packs/<number>.ids chunks one after the other, ids as little-endian unsigned integers of 2 or 4 bytes;
 * chunks             a table: digest (SHA-256 of the chunk's bytes), pack, offset, size;
 * recipes            a table in ascending doc_id order: doc_id, start, n_tokens, root and the chunks' places;
 * manifest           a table: each recipe file's number of documents, first id's place, ids and Merkle root over its
                      rows (doc_id, place, ids, root), and the root over all these rows.
 
 Building it takes two passes over the ids but one over the texts: texts are encoded into compressed staging
-packs; the chunks' digests (not their bytes) meet in Spark to choose each chunk's first place in doc_id order;
+packs; the chunks' digests (not their bytes) meet in Spark to choose one place for each chunk;
 the chosen chunks are then copied from staging packs to final ones. Every file has a name of its own, and only
 files that finished tasks report are ever read, so tasks can fail and run again.
 """
@@ -21,46 +21,61 @@ files that finished tasks report are ever read, so tasks can fail and run again.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import scratch, small, written
+from .common import free, scratch, small, written
 from .files import Reader, opened
-from .substring import BASE, INVERSE, powers
-from .wordblocks import mix
 
 #: Ids that the rolling hash covers, mean ids of a chunk beyond them, and most ids of a chunk. Most documents have
 #: some hundred ids, so chunks are short enough for several in each.
 ROLLING, MEAN, MOST = 8, 128, 1024
-#: Words that a worker remembers, rows and characters encoded at a time. They bound memory only.
-WORDS, ROWS, CHUNK = 1_500_000, 2500, 2_000_000
+#: Words and pieces that a worker remembers, rows and characters encoded at a time, and bytes of a pack read at once.
+#: They bound memory only.
+WORDS, ROWS, CHUNK, READ = 500_000, 2500, 2_000_000, 8_000_000
 #: What stands between words in a line for the library.
 MARK = "\u2400"
+#: A chunk's place among all staging packs is one long: the task attempt that wrote the pack, then the byte in it.
+PLACE_BITS = 38
 
 _GEAR = np.random.default_rng(11).integers(0, 2**32, 65_536, dtype=np.uint32)
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Where chunks end: where the rolling hash of the last ids says so, after MOST ids at the latest, and at the end."""
-    if len(ids) <= ROLLING:
-        return np.array([len(ids)] if len(ids) else [], np.int64)
-    gear = _GEAR[ids & 0xFFFF] ^ (ids >> 16).astype(np.uint32) * np.uint32(0x9E3779B1)
-    rolled = np.zeros(len(ids) - ROLLING, np.uint32)
-    for k in range(ROLLING):
-        rolled = rolled * np.uint32(0x01000193) + gear[k : len(ids) - ROLLING + k]
-    rolled ^= rolled >> np.uint32(16)
-    ends = np.append(np.flatnonzero(rolled % np.uint32(MEAN) == 0) + ROLLING, len(ids))
+def cuts(ids: np.ndarray, stops: np.ndarray | None = None) -> np.ndarray:
+    """Where chunks end: where the rolling hash of the last ids says so, after MOST ids at the latest, and at stops.
+
+    stops: where the texts end that ids has in a row (ascending; one text if left out). What lies before a text's
+    start never bears on its chunks.
+    """
+    stops = np.unique(np.array([len(ids)]) if stops is None else stops)
+    stops = stops[stops > 0]
+    if not len(stops):
+        return np.empty(0, np.int64)
+    ends = stops
+    if len(ids) > ROLLING:
+        gear = _GEAR[ids & 0xFFFF] ^ (ids >> 16).astype(np.uint32) * np.uint32(0x9E3779B1)
+        rolled = np.zeros(len(ids) - ROLLING, np.uint32)
+        for k in range(ROLLING):
+            rolled = rolled * np.uint32(0x01000193) + gear[k : len(ids) - ROLLING + k]
+        rolled ^= rolled >> np.uint32(16)
+        found = np.flatnonzero(rolled % np.uint32(MEAN) == 0) + ROLLING
+        begins = np.append(0, stops)[np.searchsorted(stops, found, side="right")]
+        ends = np.union1d(found[found - begins >= ROLLING], stops)
     wide = np.diff(ends, prepend=0) > MOST
     if wide.any():
         begins = np.append(0, ends[:-1])
@@ -78,60 +93,51 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_VALUES = np.random.default_rng(5).integers(1, 2**63, (2, 256), dtype=np.uint64)
-
-
-@functools.cache
-def _first_powers(base: int) -> np.ndarray:
-    return powers(base, 1 << 22)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return _first_powers(base)[:n] if n <= 1 << 22 else powers(base, n)
-
-
-def words_in(line: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and two 64-bit hashes of a line's words, which ASCII white space parts: polynomials over
-    random values of the bytes, from running sums."""
-    code = np.frombuffer(line, np.uint8)
-    edges = np.flatnonzero(np.diff(~_SPACE[code], prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(BASE, len(code)), _powers(INVERSE, len(code))
-    keys = []
-    for values in _VALUES:
-        run = np.append(np.uint64(0), np.cumsum(values[code] * up, dtype=np.uint64))
-        keys.append(mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
-    return starts, ends, *keys
+#: A word of these characters alone is normal but for its case, and all libraries agree on its classes.
+_PLAIN = regex.compile(r"[\x21-\x7E\xA1-\u024F]+")
 
 
 class WordEncoder:
     """Encodes texts with the tokenizers library, white space apart; remembers the ids of what lies between.
 
-    Right for tokenizers that drop white space, as then no token reaches over it. Words are found, told apart (by
-    128 bits of hashes) and put together as arrays; the library gets each new word once, many in one line, with a
-    mark between them that no word has.
+    Right for tokenizers that drop white space, as then no token reaches over it. New words go to the library once,
+    many in one line, with a mark between them that no word has. Where the tokenizer lower-cases words and cuts
+    them by a pattern to pieces of bytes, plain words are cut here by its own pattern, and its model gets each
+    new piece once: words differ far more often than their pieces.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.between = np.array(self.ids(MARK), self.kind)
-        # By word, in order of the first hash: both hashes, and the place and number of its ids in flat.
-        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)", regex.IGNORECASE)
+        with open(path, encoding="utf-8") as f:
+            self.pattern = None if any(map(str.isalpha, added)) else piece_pattern(json.load(f))
+        if self.pattern:
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            # The library's letter for each byte of the plain characters.
+            each = {c: level.pre_tokenize_str(chr(c)) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))}
+            self.letters = {c: found[0][0] for c, found in each.items()}
+        self.pieces: dict[str, list[int]] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.number: dict[bytes, int] = {}
+        # By word number: the place and number of its ids in flat.
         self.begin, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, self.kind)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in a row, and how many each has."""
-        parts, lengths = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
+    def library(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word."""
+        out: list[list[int]] = []
         for k in range(0, len(words), 2000):
             some = words[k : k + 2000]
             line = f" {MARK} ".join(some)
@@ -141,61 +147,85 @@ class WordEncoder:
                 marks &= ids[n : len(ids) - size + 1 + n] == x
             at = np.flatnonzero(marks)
             if line.count(MARK) != len(some) - 1 or len(at) != len(some) - 1:  # a word has the mark
-                each = [self.ids(w) for w in some]
-                parts += [np.array(x, self.kind) for x in each]
-                lengths.append(np.array([len(x) for x in each], np.int64))
+                out += [self.ids(w) for w in some]
                 continue
-            keep = np.ones(len(ids), bool)
-            for n in range(size):
-                keep[at + n] = False
-            parts.append(ids[keep])
-            lengths.append(np.append(at, len(ids)) - np.append(0, at + size))
-        return np.concatenate(parts), np.concatenate(lengths)
+            ids = ids.tolist()
+            out += [ids[a:b] for a, b in zip([0, *(at + size).tolist()], [*at.tolist(), len(ids)], strict=True)]
+        return out
+
+    def piece(self, piece: str) -> list[int]:
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+        if len(self.pieces) > WORDS:
+            self.pieces.clear()
+        self.pieces[piece] = ids
+        return ids
+
+    def new_words(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word, by pieces where it is plain."""
+        texts = [w.decode() for w in words]
+        if not self.pattern:
+            return self.library(texts)
+        out: list[list[int] | None] = []
+        plain, find, known, added = _PLAIN.fullmatch, self.pattern.findall, self.pieces, self.added.search
+        for text in texts:
+            low = text.lower()
+            if not (low.isascii() and low.isprintable() or plain(low)):
+                out.append(None)
+            elif low.isalpha():
+                out.append(known.get(low) or self.piece(low))
+            elif added(low):
+                out.append(None)
+            else:
+                out.append([x for piece in find(low) for x in known.get(piece) or self.piece(piece)])
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self.library([texts[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        if len(self.number) > WORDS:
+            self.reset()
+        split = [t.encode().split() for t in texts]
+        words = list(chain.from_iterable(split))
+        number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(number < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys([words[k] for k in missing]))
+            ids = self.new_words(new)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.begin = np.append(self.begin, len(self.flat) + np.cumsum(lengths) - lengths)
+            self.length = np.append(self.length, lengths)
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), self.kind, int(lengths.sum())))
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            number[missing] = [self.number[words[k]] for k in missing]
+        # Each word's ids follow those of the word before.
+        n = self.length[number]
+        stop = np.cumsum(n)
+        where = np.repeat(self.begin[number] - (stop - n), n) + np.arange(int(n.sum()))
+        until = np.append(0, stop)[np.cumsum([0, *map(len, split)])]
+        return self.flat[where], np.diff(until)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        raw = [t.encode() for t in texts]
-        line = b" ".join([*raw, b""])
-        starts, ends, keys, checks = words_in(line)
-        # How many words begin before each text's end.
-        until = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
-        distinct, first, number = np.unique(keys, return_index=True, return_inverse=True)
-        if (checks != checks[first][number]).any():  # two words with one hash: none is told apart or remembered
-            distinct, first, number = keys, np.arange(len(keys)), np.arange(len(keys))
-            found, at = np.zeros(len(keys), bool), None
-        else:
-            at = np.searchsorted(self.keys, distinct)
-            inside = np.minimum(at, max(len(self.keys) - 1, 0))
-            same = self.keys[inside] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-            found = same.copy()
-            found[same] = self.checks[inside[same]] == checks[first[same]]
-        new = first[~found]
-        ids, lengths = self.library([line[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-        length, begin = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        if at is not None and len(self.keys):
-            length[found], begin[found] = self.length[inside[found]], self.begin[inside[found]]
-        length[~found] = lengths
-        begin[~found] = len(self.flat) + np.cumsum(lengths) - lengths
-        flat = np.concatenate([self.flat, ids])
-        if at is not None:
-            self.remember(flat, distinct, checks[first], begin, length, found, at, same)
-        # Each word's ids follow those of the word before.
-        n = length[number]
-        stop = np.cumsum(n)
-        where = np.repeat(begin[number] - (stop - n), n) + np.arange(int(n.sum()))
-        yield from np.split(flat[where], np.append(0, stop)[until][:-1])
-
-    def remember(self, flat, keys, checks, begin, length, found, at, same) -> None:
-        if len(self.keys) > WORDS:  # only what these texts have
-            n = length
-            where = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            self.keys, self.checks, self.length = keys, checks, length
-            self.flat, self.begin = flat[where], np.cumsum(n) - n
-            return
-        add = ~same
-        self.flat = flat
-        for name, values in (("keys", keys), ("checks", checks), ("begin", begin), ("length", length)):
-            setattr(self, name, np.insert(getattr(self, name), at[add], values[add]))
+        ids, lengths = self.encode_all(texts)
+        yield from np.split(ids, np.cumsum(lengths)[:-1])
+
+
+def piece_pattern(description: dict):
+    """The pattern that cuts a tokenizer's words to pieces, if it is of the kind that `WordEncoder` can cut: texts
+    are composed and lower-cased, what the pattern matches is kept, and its bytes go to a BPE model. Else None."""
+    normal, cut = description.get("normalizer") or {}, description.get("pre_tokenizer") or {}
+    steps, parts, model = normal.get("normalizers", []), cut.get("pretokenizers", []), description["model"]
+    blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if steps != [{"type": "NFC"}, blank, {"type": "Lowercase"}] or [p["type"] for p in parts] != ["Split", "ByteLevel"]:
+        return None
+    split, level = parts
+    if split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"]:
+        return None
+    if model["type"] != "BPE" or model.get("dropout"):
+        return None
+    return regex.compile(split["pattern"]["Regex"])
 
 
 @functools.cache
@@ -204,14 +234,22 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-STAGED = "doc_id long, row string, n_tokens long, seq int, digest binary, staged string, place long, size int"
-CHUNKS = "digest binary, pack string, offset long, size int"
+STAGED = "doc_id long, file long, nth long, n_tokens long, chunks array<struct<digest:binary,place:long,size:int>>"
+CHUNKS = "digest binary, pack long, offset long, size int"
 RECIPES = (
     "part int, doc_id long, start_in_part long, n_tokens long, root binary, "
-    "chunks array<struct<seq:int,digest:binary,pack:string,offset:long,size:int>>"
+    "chunks array<struct<seq:int,digest:binary,pack:long,offset:long,size:int>>"
 )
 
 
+def staging_pack(staging: str, file: int) -> str:
+    return f"{staging}/{file}.zst"
+
+
+def pack_file(store: str, pack: int) -> str:
+    return f"{store}/packs/{pack:016x}.ids"
+
+
 def build(docs: DataFrame, tokenizer_path: str, end_id: int, store: str) -> None:
     """Writes the store of docs (doc_id, text); null text is empty, so only its end id is stored.
 
@@ -226,83 +264,119 @@ def build(docs: DataFrame, tokenizer_path: str, end_id: int, store: str) -> None
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = word_encoder(tokenizer_path)
-        name = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}.zst"
-        where, path = opened(f"{staging}/{name}")
-        end = np.array([end_id], f"<u{use.width}")
+        gc.disable()  # nothing here has cycles, and the encoder's memory is slow to go through
+        file = TaskContext.get().taskAttemptId()
+        if file >> (62 - PLACE_BITS):
+            raise ValueError(f"task attempt {file} has no room in a chunk's place")
+        where, path = opened(staging_pack(staging, file))
         place = count = 0
         with where.open_output_stream(path) as raw, zstandard.ZstdCompressor(level=1).stream_writer(raw, closefd=False) as out:
             for batch in small(batches, ROWS):
-                doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                rows = {k: [] for k in ("doc_id", "row", "n_tokens", "seq", "digest", "staged", "place", "size")}
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                n_tokens, n_chunks, digests, places, sizes = [], [], [], [], []
                 # Digests of this batch's chunks: a copy of one needs no second place in the staging pack.
                 seen: dict[bytes, int] = {}
-                ids_of_texts = (ids for a, b in slices(texts, CHUNK) for ids in use.encode(texts[a:b]))
-                for doc_id, ids in zip(doc_ids, ids_of_texts, strict=True):
-                    ids = np.append(ids, end)
-                    data = ids.tobytes()
-                    bounds = [0, *(cuts(ids) * use.width).tolist()]
-                    row = f"{name}#{count}"
-                    count += 1
-                    for seq, (a, b) in enumerate(zip(bounds, bounds[1:])):  # noqa: B905
-                        digest = hashlib.sha256(data[a:b]).digest()
-                        if digest not in seen:
-                            seen[digest] = place
-                            out.write(data[a:b])
-                            place += b - a
-                        for k, v in zip(rows, (doc_id, row, len(ids), seq, digest, name, seen[digest], b - a), strict=True):
-                            rows[k].append(v)
-                yield pa.RecordBatch.from_pydict(rows, staged_schema)
-
-    staged_schema = pa.schema(
-        [("doc_id", pa.int64()), ("row", pa.string()), ("n_tokens", pa.int64()), ("seq", pa.int32())]
-        + [("digest", pa.binary()), ("staged", pa.string()), ("place", pa.int64()), ("size", pa.int32())]
-    )
+                for a, b in slices(texts, CHUNK):
+                    ids, lengths = use.encode_all(texts[a:b])
+                    stops = np.cumsum(lengths)
+                    ids = np.insert(ids, stops, end_id)
+                    stops += np.arange(1, len(stops) + 1)
+                    ends = cuts(ids, stops)
+                    data = memoryview(ids.tobytes())
+                    n_tokens.append(lengths + 1)
+                    n_chunks.append(np.diff(np.searchsorted(ends, stops, side="right"), prepend=0))
+                    bounds = (ends * use.width).tolist()
+                    sizes.append(np.diff(ends, prepend=0) * use.width)
+                    fresh = []
+                    for x, y in zip([0, *bounds[:-1]], bounds, strict=True):
+                        digest = hashlib.sha256(data[x:y]).digest()
+                        at = seen.get(digest)
+                        if at is None:
+                            at = seen[digest] = place
+                            fresh.append(data[x:y])
+                            place += y - x
+                        digests.append(digest)
+                        places.append(at)
+                    out.write(b"".join(fresh))
+                rows, ends = len(texts), np.append(0, np.cumsum(np.concatenate(n_chunks)))
+                chunks = pa.StructArray.from_arrays(
+                    [
+                        pa.array(digests, pa.binary()),
+                        pa.array(np.array(places, np.int64) + (file << PLACE_BITS), pa.int64()),
+                        pa.array(np.concatenate(sizes).astype(np.int32), pa.int32()),
+                    ],
+                    ["digest", "place", "size"],
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array(np.full(rows, file), pa.int64()),
+                        pa.array(np.arange(count, count + rows), pa.int64()),
+                        pa.array(np.concatenate(n_tokens), pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks),
+                    ],
+                    ["doc_id", "file", "nth", "n_tokens", "chunks"],
+                )
+                count += rows
+        gc.enable()
+        if place >> PLACE_BITS:
+            raise ValueError(f"a staging pack of {place} bytes is too large")
+
     staged = written(docs.select("doc_id", "text").mapInArrow(stage, STAGED), "staged")
 
-    # One place for each unique chunk: the first in doc_id order.
-    first = F.min(F.struct("doc_id", "staged", "place", "size")).alias("first")
-    owned = staged.groupBy("digest").agg(first).select("digest", "first.staged", "first.place", "first.size")
+    # One place for each unique chunk: the least.
+    chunk = F.explode("chunks").alias("chunk")
+    owned = staged.select(chunk).groupBy(F.col("chunk.digest").alias("digest"))
+    owned = owned.agg(F.min("chunk.place").alias("place"), F.max("chunk.size").alias("size"))
+    owned = owned.withColumn("file", F.shiftright("place", PLACE_BITS))
 
     def copy(table: pa.Table) -> pa.Table:
         """Copies a staging pack's chosen chunks to a final pack, in their order."""
         table = table.sort_by("place")
-        name = f"{uuid.uuid4().hex}.ids"
-        source, source_path = opened(f"{staging}/{table.column('staged')[0].as_py()}")
-        target, target_path = opened(f"{store}/packs/{name}")
-        offsets, at, done = [], 0, 0
+        pack = uuid.uuid4().int >> 65
+        places = np.array(table.column("place"), np.int64) & ((1 << PLACE_BITS) - 1)
+        sizes = np.array(table.column("size"), np.int64)
+        # Neighbours are copied at once.
+        first = np.append(True, places[1:] != places[:-1] + sizes[:-1])
+        begin = places[first]
+        end = (places + sizes)[np.append(first[1:], True)]
+        source, source_path = opened(staging_pack(staging, table.column("file")[0].as_py()))
+        target, target_path = opened(pack_file(store, pack))
+        at = 0
         with (
             source.open_input_stream(source_path) as raw,
             zstandard.ZstdDecompressor().stream_reader(raw, closefd=False) as packed,
             target.open_output_stream(target_path) as out,
         ):
-            for place, size in zip(table.column("place").to_pylist(), table.column("size").to_pylist(), strict=True):
-                while at < place:
-                    at += len(packed.read(min(place - at, 1 << 20)))
-                out.write(packed.read(size))
-                at += size
-                offsets.append(done)
-                done += size
+            for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                while at < b:
+                    data = packed.read(min((a if at < a else b) - at, 1 << 20))
+                    if not data:
+                        raise OSError(f"{source_path} ends at {at}, expected {b}")
+                    if at >= a:
+                        out.write(data)
+                    at += len(data)
         return pa.table(
             {
                 "digest": table.column("digest"),
-                "pack": pa.array([name] * len(offsets), pa.string()),
-                "offset": pa.array(offsets, pa.int64()),
+                "pack": pa.array(np.full(len(sizes), pack), pa.int64()),
+                "offset": pa.array(np.cumsum(sizes) - sizes, pa.int64()),
                 "size": table.column("size"),
             }
         )
 
-    owned.groupBy("staged").applyInArrow(copy, CHUNKS).write.parquet(f"{store}/chunks")
+    owned.groupBy("file").applyInArrow(copy, CHUNKS).write.parquet(f"{store}/chunks")
     where, path = opened(staging)
     where.delete_dir(path)
     chunks = spark.read.parquet(f"{store}/chunks")
-    placed = staged.select("doc_id", "row", "n_tokens", "seq", "digest").join(chunks, "digest")
-    recipes = placed.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_tokens").alias("n_tokens"),
-        F.array_sort(F.collect_list(F.struct("seq", "digest", "pack", "offset", "size"))).alias("chunks"),
+    placed = staged.select("doc_id", "file", "nth", "n_tokens", F.posexplode("chunks").alias("seq", "chunk"))
+    placed = placed.withColumn("digest", F.col("chunk.digest")).drop("chunk").join(chunks, "digest")
+    recipes = placed.groupBy("file", "nth", "doc_id", "n_tokens").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "digest", "pack", "offset", "size"))).alias("chunks")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = recipes.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    order = ["doc_id", "file", "nth"]
+    ranged = recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds each document's Merkle root and the ids before it in its recipe file."""
@@ -328,6 +402,7 @@ def build(docs: DataFrame, tokenizer_path: str, end_id: int, store: str) -> None
 
     numbered = ranged.select("doc_id", "n_tokens", "chunks").mapInArrow(number, RECIPES)
     numbered.write.parquet(f"{store}/recipes")
+    free(staged)
     # One row for each recipe file, as many as there are tasks.
     parts = recipe_parts(spark.read.parquet(f"{store}/recipes"))
     root = store_root(parts)
@@ -385,28 +460,30 @@ def read(spark: SparkSession, store: str, width: int, digest: Callable[[bytes],
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in small(batches):
-            digests = []
             nested = batch.column("chunks")
-            packs, offsets, sizes = (nested.flatten().field(c).to_pylist() for c in ("pack", "offset", "size"))
+            flat = nested.flatten()
+            packs, offsets, sizes = (np.array(flat.field(c), np.int64) for c in ("pack", "offset", "size"))
+            # Neighbours in a pack are read at once, up to a bound.
+            first = np.append(True, (packs[1:] != packs[:-1]) | (offsets[1:] != offsets[:-1] + sizes[:-1]))
+            total = np.cumsum(sizes) - sizes
+            first |= np.diff(total // READ, prepend=-1) > 0
+            begins = np.flatnonzero(first)
+            n_bytes = np.add.reduceat(sizes, begins) if len(begins) else sizes
+            read = zip(packs[begins].tolist(), offsets[begins].tolist(), n_bytes.tolist(), strict=True)
+            data = b"".join([reader.read(pack_file(store, pack), offset, size) for pack, offset, size in read])
+            view, bounds = memoryview(data), [0, *np.cumsum(sizes).tolist()]
+            found = [hashlib.sha256(view[a:b]).digest() for a, b in zip(bounds, bounds[1:])]  # noqa: B905
+            ids = memoryview(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes())
+            digests = []
             ends = np.cumsum(nested.value_lengths()).tolist()
             wanted = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root")), [0, *ends[:-1]], ends, strict=True)
             for doc_id, n, root, at, end in wanted:
-                parts = []
-                while at < end:  # neighbours in a pack are read at once
-                    run = at + 1
-                    while run < end and packs[run] == packs[at] and offsets[run] == offsets[run - 1] + sizes[run - 1]:
-                        run += 1
-                    data = reader.read(f"{store}/packs/{packs[at]}", offsets[at], sum(sizes[at:run]))
-                    for size in sizes[at:run]:
-                        parts.append(data[:size])
-                        data = data[size:]
-                    at = run
-                if merkle([hashlib.sha256(p).digest() for p in parts]) != root:
+                if merkle(found[at:end]) != root:
                     raise ValueError(f"document {doc_id}: what was read doesn't match its Merkle root")
-                ids = np.frombuffer(b"".join(parts), f"<u{width}").astype("<u4")
-                if len(ids) != n:
-                    raise ValueError(f"document {doc_id}: {len(ids)} ids, expected {n}")
-                digests.append(digest(ids.tobytes()))
+                a, b = bounds[at] // width, bounds[end] // width
+                if b - a != n:
+                    raise ValueError(f"document {doc_id}: {b - a} ids, expected {n}")
+                digests.append(digest(ids[4 * a : 4 * b]))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("part", "doc_id", "start_in_part", "n_tokens")), pa.array(digests, pa.int64())]
                 + [batch.column("root")],
