@@ -1,16 +1,18 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with license notices.
 
-A block is a line of a text, or a window of a paragraph's words. Windows are three times as long as the longest
-template and begin as many words apart as it has, so a notice is found however it is wrapped, with as many other
-words between as it has itself. Blank lines part paragraphs. A template matches a block if at least `threshold` of the template's distinct
-words stand in it, in any order. The join finds every such pair without comparing all pairs:
+A block is a run of a paragraph's words, twice as long as the template that it is held against, so a notice is
+found however it is wrapped and with as many other words between as it has itself, while words scattered over a
+long text or line are none. Blank lines part paragraphs. A template matches a block if at least `threshold` of the
+template's distinct words stand in it, in any order. Blocks are looked for in windows: three times as long as the
+longest template, beginning as many words apart as it has, so every block lies whole in one. The join finds every
+matching pair without comparing all pairs:
 
 * template words are ordered by their frequency over the whole corpus, rarest first;
-* prefix filter: a block that holds o of a template's n words holds one of its n - o + 1 rarest;
-* length filter: a block needs at least o words of the vocabulary;
-* positional filter: after the first common word, at i in the template and at j in the block, at most
-  min(n - 1 - i, m - 1 - j) more can be common (m: the block's words of the vocabulary);
-* what passes is counted in full.
+* prefix filter: a window that holds o of a template's n words holds one of its n - o + 1 rarest;
+* length filter: a window needs at least o words of the vocabulary;
+* positional filter: after the first common word, at i in the template and at j in the window, at most
+  min(n - 1 - i, m - 1 - j) more can be common (m: the window's words of the vocabulary);
+* what passes is counted in full, block by block.
 
 Only DataFrame operations are used. The templates are a parameter and bounded by what a person lists, so their
 words and counts are plain literals; nothing that grows with the corpus reaches the driver.
@@ -25,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BREAK, ascii_lower
+from .common import ALNUM_BREAK, ascii_lower, text_key
 
 #: Phrases of consecutive words and their labels (fixed by the contract).
 PHRASES = (
@@ -46,6 +48,23 @@ TEMPLATES = (
     ("agpl", "Licensed under the GNU Affero General Public License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    ),
+    (
+        "apache-2",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+        'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
+    ),
+    (
+        "gpl",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
+    ),
     ("cc-by", "Licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
@@ -98,10 +117,11 @@ def word_counts(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
 def license_blocks(
     docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """Every (block, template) at or above the threshold: doc_id, text_key, block_no, template_no, label, containment.
+    """Every (window, template) with a block at or above the threshold: doc_id, text_key, paragraph, place,
+    template_no, label, containment (that of the best block).
 
-    text_key is xxhash64 of the text, which tells rows with one doc_id apart. Repeated rows give repeated
-    answers' keys once each; null and empty texts have no blocks.
+    text_key tells rows with one doc_id apart. Repeated rows give repeated answers' keys once each; null and empty
+    texts have no blocks.
     """
     words = [template_words(t) for _, t in templates]
     counts = word_counts(docs, sorted({w for ws in words for w in ws}))
@@ -115,41 +135,31 @@ def license_blocks(
     rare = sorted({w for w, _, _ in prefixes})
     index = spark.createDataFrame(prefixes, "word string, template_no int, i int")
     full = spark.createDataFrame(
-        [(k, label, ws, needed[k]) for k, ((label, _), ws) in enumerate(zip(templates, words, strict=True))],
-        "template_no int, label string, template array<string>, needed int",
+        [(k, label, ws, needed[k], 2 * word_count(t)) for k, ((label, t), ws) in enumerate(zip(templates, words, strict=True))],
+        "template_no int, label string, template array<string>, needed int, block int",
     )
     ranks = F.create_map(*[F.lit(x) for w, k in order.items() for x in (w, k)])
     vocabulary = F.array(*[F.lit(w) for w in order])
     has_rare = F.arrays_overlap("words", F.array(*[F.lit(w) for w in rare]))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    lines = keyed.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")))
-    lines = lines.select("doc_id", "text_key", F.col("pos").alias("block_no"), F.split(spaced(F.col("col")), " ").alias("words"))
-    # Paragraphs of one line are blocks already. Windows have numbers below zero: paragraph and place in one long.
-    wrapped = keyed.where(F.contains("text", F.lit("\n"))).select("doc_id", "text_key", F.posexplode(F.split("text", BLANK_LINE)))
-    wrapped = wrapped.where(F.contains(F.trim(F.col("col"), F.lit("\n")), F.lit("\n")))
-    wrapped = wrapped.select(
+    paragraphs = docs.select("doc_id", text_key(docs).alias("text_key"), F.posexplode(F.split(docs["text"], BLANK_LINE)))
+    paragraphs = paragraphs.select(
         "doc_id", "text_key", F.col("pos").alias("paragraph"), F.split(F.trim(spaced(F.col("col"))), " ").alias("words")
     ).where(has_rare)
     step = max((word_count(notice) for _, notice in templates), default=1)
     begins = F.sequence(F.lit(1), F.size("words"), F.lit(step))
     windows = F.transform(begins, lambda k: F.slice("words", k, 3 * step))
-    wrapped = wrapped.select("doc_id", "text_key", "paragraph", F.posexplode(windows).alias("place", "words"))
-    number = -1 - (F.col("paragraph").cast("long") * F.lit(1 << 31) + F.col("place"))
-    blocks = (
-        lines.withColumn("block_no", F.col("block_no").cast("long"))
-        .unionByName(wrapped.select("doc_id", "text_key", number.alias("block_no"), "words"))
-        .where(has_rare)
-    )
-    # The block's words of the vocabulary, rarest first; words of no template can never be common.
+    blocks = paragraphs.select("doc_id", "text_key", "paragraph", F.posexplode(windows).alias("place", "words")).where(has_rare)
+    # The window's words of the vocabulary, rarest first; words of no template can never be common.
     known = F.array_sort(
         F.transform(F.array_intersect(vocabulary, "words"), lambda w: F.struct(ranks[w].alias("rank"), w.alias("word")))
     )
-    blocks = blocks.select("doc_id", "text_key", "block_no", known.alias("known"))
+    keys = ["doc_id", "text_key", "paragraph", "place"]
+    blocks = blocks.select(*keys, "words", known.alias("known"))
     found = blocks.select("*", F.posexplode("known").alias("j", "at")).withColumn("word", F.col("at.word"))
     pairs = (
         found.join(F.broadcast(index), "word")
-        .groupBy("doc_id", "text_key", "block_no", "template_no")
-        .agg(F.min(F.struct("i", "j")).alias("first"), F.first("known").alias("known"))
+        .groupBy(*keys, "template_no")
+        .agg(F.min(F.struct("i", "j")).alias("first"), F.first("known").alias("known"), F.first("words").alias("words"))
         .join(F.broadcast(full), "template_no")
         .where(F.size("known") >= F.col("needed"))
         .where(
@@ -157,11 +167,13 @@ def license_blocks(
             + F.least(F.size("template") - 1 - F.col("first.i"), F.size("known") - 1 - F.col("first.j"))
             >= F.col("needed")
         )
+        .where(F.size(F.array_intersect("template", F.transform("known", lambda s: s["word"]))) >= F.col("needed"))
     )
-    common = F.size(F.array_intersect("template", F.transform("known", lambda s: s["word"])))
-    return pairs.where(common >= F.col("needed")).select(
-        "doc_id", "text_key", "block_no", "template_no", "label", (common / F.size("template")).alias("containment")
-    )
+    # Blocks that begin with a word of the template: others hold no more than the next one of these.
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda k: F.array_contains("template", F.get("words", k - 1)))
+    common = F.transform(starts, lambda k: F.size(F.array_intersect("template", F.slice("words", k, F.col("block")))))
+    counted = pairs.withColumn("common", F.array_max(common)).where("common >= needed")
+    return counted.select(*keys, "template_no", "label", (F.col("common") / F.size("template")).alias("containment"))
 
 
 def license_scan(
@@ -181,7 +193,7 @@ def license_scan(
         .groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     )
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), spaced(F.col("text")).alias("words"))
+    base = docs.select("doc_id", text_key(docs).alias("text_key"), spaced(docs["text"]).alias("words"))
     places = {p: phrase_places(F.col("words"), p) for p, _ in phrases}
     by_label: dict[str, list[Column]] = {}
     for phrase, label in phrases:
