@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import string
 import zlib
 from collections import Counter
@@ -40,7 +41,7 @@ def contaminated(rows, items, size=13):
 def test_contamination_of_all_cases(spark, size):
     items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("terms", F.lit("clash"))
     got = decontam.contamination(table(spark), items, size)
-    assert Counter(tuple(r) for r in got.collect()) == Counter(contaminated(ROWS, ITEMS, size))
+    assert Counter(tuple(r)[:6] for r in got.collect()) == Counter(contaminated(ROWS, ITEMS, size))
     assert not any(r["contaminated"] for r in decontam.contamination(table(spark), items.where("item_id < 0"), size).collect())
     assert decontam.contamination(table(spark, []), items, size).count() == 0
 
@@ -49,19 +50,53 @@ def test_shuffled_instead_of_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontam, "sized", lambda df, rows=0: df)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontam.contamination(table(spark), items)
-    assert Counter(tuple(r) for r in got.collect()) == Counter(contaminated(ROWS, ITEMS))
+    assert Counter(tuple(r)[:6] for r in got.collect()) == Counter(contaminated(ROWS, ITEMS))
 
 
-def test_proximity(spark):
-    docs = table(spark, [(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "alpha x x x beta gamma")])
-    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    near = decontam.proximity_matches(docs, items, slop=1)
-    assert {r["doc_id"] for r in near.where("off = 0").collect()} >= {1}
-    assert 3 not in {r["doc_id"] for r in near.where("window = 'alpha beta gamma'").collect() if abs(r["off"]) > 1}
+def near_windows(rows, items, size, slop):
+    """Per row, how many distinct windows have all their terms at most slop words off their places."""
+    windows = {tuple(w[k : k + size]) for i, t in items if i is not None and (w := data.alnum(t)) for k in range(max(len(w) - size + 1, 1))}
+    out = []
+    for d, t in rows:
+        w = data.alnum(t)
+        there = lambda s, win: all(x in w[max(s + k - slop, 0) : max(s + k + slop + 1, 0)] for k, x in enumerate(win))  # noqa: B023, E731
+        out.append((d, sum(any(there(s, win) for s in range(-slop, len(w) + slop)) for win in windows)))
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity_checks_every_term(spark, slop):
+    pick = random.Random(8)
+    rows = [(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "alpha beta zzz yyy"), (4, "beta alpha delta gamma"), (5, None), (6, "x alpha x x beta gamma x delta"), (7, "delta")]
+    rows += [(100 + k, " ".join(pick.choices(["alpha", "beta", "gamma", "delta", "x"], k=12))) for k in range(60)]
+    items = [(1, "alpha beta gamma delta"), (2, "gamma gamma x"), (3, "delta")]
+    got = decontam.contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), 4, slop)
+    assert sorted((r["doc_id"], r["n_near"]) for r in got.collect()) == near_windows(rows, items, 4, slop)
+
+
+def test_filters_judge_each_row_by_its_own_text(spark):
+    """Repeated ids over other texts, null ids, and columns named like those that the filters use inside."""
+    from textloom.llm import exact, minhash
+
+    rows = [(1, "same text"), (1, "unique other text of id one"), (2, "Same text"), (2, BASE), (3, BASE + " tail"), (None, "12345"), (None, "good words here"), (None, "same text"), (1, "12345")]
+    docs = table(spark, rows)
+    for name in ("dropped_id", "rejected_id", "bad_id", "gone_id", "gone_key", "text_key"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    left = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    kept = exact.exact_dedup(docs)
+    assert kept.columns == docs.columns and left(kept) == Counter(r for r in rows if r not in [(1, "same text"), (None, "same text"), (None, "12345")])
+    kept = minhash.near_dedup(docs)
+    assert kept.columns == docs.columns and left(kept) == Counter(r for r in rows if r not in [(2, "Same text"), (3, BASE + " tail")])
+    items = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    kept = decontam.decontaminated(docs, items)
+    assert kept.columns == docs.columns and left(kept) == Counter(r for r in rows if r[1][:5] != "word0")
+    model = langid.train(table(spark, [(k, f"good words here {k}") for k in range(20)]), F.lit(True))
+    kept = langid.not_rejected(docs, model)
+    assert kept.columns == docs.columns and left(kept)[None, "12345"] == 0 and left(kept)[None, "good words here"] == 1
 
 
 def license_model(rows):
-    templates = [(label, set(licenses.template_words(t))) for label, t in licenses.TEMPLATES]
+    templates = [(label, set(licenses.template_words(t)), 2 * len(data.alnum(t))) for label, t in licenses.TEMPLATES]
     out = []
     for d, t in rows:
         w = data.alnum(t)
@@ -72,12 +107,15 @@ def license_model(rows):
             at += places
             base |= {label} if places else set()
         found, best = set(base), 0.0
-        for line in (t or "").split("\n"):
-            have = set(data.alnum(line))
-            for label, words in templates:
-                if len(have & words) >= math.ceil(licenses.THRESHOLD * len(words) - 1e-9):
+        for paragraph in re.split(licenses.BLANK_LINE, t or ""):
+            have = data.alnum(paragraph)
+            for label, words, block in templates:
+                if not words <= set(have) and len(words & set(have)) < math.ceil(licenses.THRESHOLD * len(words) - 1e-9):
+                    continue
+                most = max(len(set(have[k : k + block]) & words) for k in range(len(have)))
+                if most >= math.ceil(licenses.THRESHOLD * len(words) - 1e-9):
                     found.add(label)
-                    best = max(best, len(have & words) / len(words))
+                    best = max(best, most / len(words))
         out.append((d, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(found)), 1.0 if base else best))
     return out
 
@@ -98,6 +136,24 @@ def test_wrapped_notices_are_found(spark):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(table(spark, rows)).collect()}
     assert [got[k][0] for k in range(1, 7)] == ["mit", "bsd", "gpl", "mit", "gpl", ""]
     assert all(got[k][1] >= 0.9 for k in range(1, 6))
+    assert Counter((r["doc_id"], r["labels"], round(r["score"], 9)) for r in licenses.license_scan(table(spark, rows)).collect()) == Counter(
+        (r[0], r[6], round(r[7], 9)) for r in license_model(rows)
+    )
+
+
+def test_scattered_words_are_no_notice(spark):
+    pick = random.Random(2)
+    filler = lambda n: " ".join(pick.choices(["river", "stone", "of", "and", "tree"], k=n))
+    words = ["released", "under", "the", "MIT", "license"]
+    rows = [
+        (1, " ".join(f"{filler(120)} {w}" for w in words)),
+        (2, f"{filler(300)} released it under the old MIT license {filler(300)}"),
+        (3, " ".join(f"{filler(5)} {w}" for w in words)),
+        (4, "\n".join(f"{filler(120)} {w}" for w in words)),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(table(spark, rows)).collect()}
+    assert got == {1: "", 2: "mit", 3: "", 4: ""}
+    assert got == {r[0]: r[6] for r in license_model(rows)}
 
 def test_lm_of_all_cases(spark):
     held = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 == 2

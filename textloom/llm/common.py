@@ -76,6 +76,26 @@ def free(*tables: DataFrame) -> None:
             remove(df.sparkSession, _WRITTEN.pop(id(df))[1])
 
 
+def text_key(docs: DataFrame) -> Column:
+    """Tells rows with one doc_id apart by their texts."""
+    return F.xxhash64(docs["text"])
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id and text are not those of a row of gone.
+
+    gone: doc_id and text_key (see above). Null doc_ids equal each other, so each row is judged by its own text.
+    """
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("gone_id", "gone_key"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    listed = gone.select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1])).distinct()
+    here = docs["doc_id"].eqNullSafe(listed[names[0]]) & (text_key(docs) == listed[names[1]])
+    return docs.join(listed, here, "left_anti")
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, so that what a task builds from one stays small.
 

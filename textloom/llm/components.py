@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = written(both.where("a <> b").distinct(), "links")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-    labels = written(labels.select("node", F.least("node", "least").alias("component")), "labels")
+    labels = stored = written(labels.select("node", F.least("node", "least").alias("component")), "labels")
     while True:
         offers = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("other"))
         offers = offers.agg(F.min("component").alias("offer"))
@@ -29,6 +29,9 @@ def components(links: DataFrame) -> DataFrame:
         new = written(
             hooked.join(jump, "hook").select("node", "was", F.least("hook", "further").alias("component")), "labels"
         )
-        labels = new.select("node", "component")
-        if new.where("component <> was").isEmpty():
+        done = new.where("component <> was").isEmpty()
+        free(stored)
+        stored, labels = new, new.select("node", "component")
+        if done:
+            free(both)
             return labels

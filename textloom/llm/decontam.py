@@ -3,8 +3,8 @@
 1. Benchmark texts become windows of consecutive words; each distinct window is kept once with its items.
 2. The windows' terms are counted over the corpus; a window with a term that the corpus lacks cannot occur.
 3. The postings (term, document, position) of every window's two rarest terms are stored.
-4. The rarest term's list, adjusted by the term's offset in the window, is intersected with the second's;
-   what is left is checked in full against the document's words.
+4. The rarest term's list, adjusted by the term's offset in the window, is intersected with the second's (for
+   proximity, at every distance that its slop allows); what is left is checked in full against the document's words.
 
 A list is joined by (term, document, position) after the first term, so a passage that thousands of documents
 share is spread by document. Only DataFrame operations are used.
@@ -15,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BREAK, ascii_lower, written
+from .common import ALNUM_BREAK, ascii_lower, text_key, without_rows, written
 
 #: Words of a window; an item with fewer is one window.
 WINDOW = 13
-#: The benchmark side of a join is broadcast up to so many rows (a few MB), and shuffled beyond.
-BROADCAST_ROWS = 100_000
+#: Words that a term may stand off its place in a proximity match.
+SLOP = 1
+#: The benchmark side of a join is broadcast up to so many bytes, all its columns written out, and shuffled beyond.
+BROADCAST_BYTES = 32_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -29,9 +31,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(words, "")
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written table for broadcast if it is counted to be small; else joins shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a written table for broadcast if its rows, summed up, are small; else joins shuffle. Rows are the same."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -48,8 +51,8 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def keyed_words(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (tells rows with one doc_id apart), words."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
+    """doc_id, text_key, words."""
+    return docs.select("doc_id", text_key(docs).alias("text_key"), words_of(docs["text"]).alias("words"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -95,9 +98,10 @@ def index(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tuple[Da
 
 
 def intersected(rare: DataFrame, lists: DataFrame, slop: int = 0) -> DataFrame:
-    """Where the two rarest terms of a window stand in place: doc_id, text_key, window, start, off.
+    """Where a window's two rarest terms may stand in place: doc_id, text_key, window, start.
 
-    off is the second term's distance from its place: 0 for a phrase, up to slop for proximity.
+    start is where the window begins if the rarest term is in place. With slop either term can be off its own
+    place by so many words, so the second one's distance can be off by twice as many.
     """
     first = lists.join(sized(rare), F.col("term") == F.col("term1")).select(
         "doc_id", "text_key", "window", "term2", "offset2", (F.col("position") - F.col("offset1")).alias("start")
@@ -105,44 +109,58 @@ def intersected(rare: DataFrame, lists: DataFrame, slop: int = 0) -> DataFrame:
     second = lists.select(
         F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.col("term").alias("term2"), "position"
     )
-    shifts = F.explode(F.array(*[F.lit(k) for k in range(-slop, slop + 1)]))
-    first = first.select("*", shifts.alias("off")).withColumn("at", F.col("start") + F.col("offset2") + F.col("off"))
+    shifts = F.explode(F.array(*[F.lit(k) for k in range(-2 * slop, 2 * slop + 1)])).alias("off")
+    first = first.select("*", shifts).withColumn("at", F.col("start") + F.col("offset2") + F.col("off"))
     here = (
         first["doc_id"].eqNullSafe(second["id"])
         & (first["text_key"] == second["key"])
         & (first["term2"] == second["term2"])
         & (first["at"] == second["position"])
     )
-    found = first.join(second, here).select("doc_id", "text_key", "window", "start", "off")
-    return found if slop else found.where("start >= 0")
+    # Repeated rows and several second terms about one place give one candidate.
+    return first.join(second, here).select("doc_id", "text_key", "window", "start").distinct()
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, size: int = WINDOW) -> DataFrame:
-    """Windows whose two rarest terms stand within slop words of their distance: doc_id, window, start, off."""
-    _, rare, lists = index(docs, benchmark, size)
-    return intersected(rare, lists, slop).drop("text_key").distinct()
+def near_window(words: Column, terms: Column, start: Column, slop: int) -> Column:
+    """Whether every term of a window that begins at start stands at most slop words off its place."""
 
+    def there(term: Column, offset: Column) -> Column:
+        low = F.greatest(start + offset - slop, F.lit(0))
+        return F.array_contains(F.slice(words, low + 1, F.greatest(start + offset + slop + 1 - low, F.lit(0))), term)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    return F.aggregate(
+        F.transform(terms, lambda t, k: there(t, k)), F.lit(True), lambda all_of, one: all_of & one
+    )
 
-    A word inside any occurrence of a benchmark window is hit; a document is contaminated if at least one in 20
-    of its words is hit. Null and empty texts have no words and are clean; items without words or with a null
-    id have no windows; an empty benchmark leaves all clean. Repeated rows get equal answers; rows with one
-    doc_id are told apart by their texts; other columns are ignored.
-    """
+
+def judged(docs: DataFrame, benchmark: DataFrame, size: int, slop: int) -> DataFrame:
+    """The columns of contamination, and text_key."""
     windows, rare, lists = index(docs, benchmark, size)
-    candidates = intersected(rare, lists).distinct().join(sized(windows), "window")
+    candidates = intersected(rare, lists, slop).join(sized(windows), "window")
     by_document = candidates.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(
         F.array_sort(F.collect_list(F.struct("start", "terms", "items"))).alias("places")
     )
     # Texts are joined as they are, and split to words after: arrays of words take over twice the room.
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    texts = docs.select("doc_id", "text", text_key(docs).alias("text_key"))
     joined = texts.join(
         by_document, texts["doc_id"].eqNullSafe(by_document["id"]) & (texts["text_key"] == by_document["key"]), "left"
-    ).select("doc_id", words_of(F.col("text")).alias("words"), "places")
-    exact = F.filter("places", lambda p: F.slice("words", p["start"] + 1, F.size(p["terms"])) == p["terms"])
-    joined = joined.select("doc_id", F.size("words").cast("long").alias("n_words"), exact.alias("places"))
+    ).select("doc_id", "text_key", words_of(F.col("text")).alias("words"), "places")
+    exact = F.filter(
+        "places",
+        lambda p: (p["start"] >= 0) & (F.slice("words", F.greatest(p["start"], F.lit(0)) + 1, F.size(p["terms"])) == p["terms"]),
+    )
+    starts = [F.lit(k) for k in range(-slop, slop + 1)]
+    near = F.filter(
+        "places",
+        lambda p: F.exists(F.array(*starts), lambda k: near_window(F.col("words"), p["terms"], p["start"] + k, slop)),
+    )
+    joined = joined.select(
+        "doc_id",
+        "text_key",
+        F.size("words").cast("long").alias("n_words"),
+        exact.alias("places"),
+        F.coalesce(F.size(F.array_distinct(F.transform(near, lambda p: p["terms"]))), F.lit(0)).cast("long").alias("n_near"),
+    )
     # Places are in order of their start, so what each adds to the words hit follows from the furthest end so far.
     hit = F.aggregate(
         "places",
@@ -155,23 +173,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
         ),
     )["n"]
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda p: p["items"]))))
-    judged = joined.select(
+    counted = joined.select(
         "doc_id",
+        "text_key",
         "n_words",
         F.coalesce(hit, F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(items, F.array().cast("array<string>")).alias("items"),
+        "n_near",
     )
-    return judged.select(
+    return counted.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "n_near",
+        "text_key",
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
+
+    A word inside any occurrence of a benchmark window is hit; a document is contaminated if at least one in 20
+    of its words is hit. n_near counts the distinct windows that match by proximity: for some start in the text every
+    term stands at most slop words off its place; exact phrases are among them. Null and empty texts have no words
+    and are clean; items without words or with a null id have no windows; an empty benchmark leaves all clean.
+    Repeated rows get equal answers; rows with one doc_id are told apart by their texts; other columns are ignored.
+    """
+    return judged(docs, benchmark, size, slop).drop("text_key")
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns. A null doc_id always stays."""
-    bad = contamination(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("bad_id"), "left_anti")
+    """The rows of docs that are not contaminated, with all their columns, whatever their names. Each row is judged
+    by its own text, those of one doc_id and those without any alike."""
+    return without_rows(docs, judged(docs, benchmark, size, 0).where("contaminated"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, text_key, without_rows, written
 
 #: Counters of the Misra-Gries summary; also the most rows that the broadcast side can have.
 SLOTS = 200
@@ -32,15 +32,10 @@ def winners(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
 
 
-def exact_groups(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z; null text is the empty text, and empty texts form
-    one group. The largest doc_id of a group stays; a null doc_id stays only in a group without any other.
-    Rows that repeat a doc_id with an equal text are one document listed again: they count in group_size and
-    get the same answer. Other columns are ignored, whatever their names; an empty table gives no rows.
-    """
-    keyed = written(docs.select("doc_id", text_digest(F.col("text")).alias("text_sha256")), "digests")
+def judged(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The columns of exact_groups, and text_key."""
+    keyed = docs.select("doc_id", text_digest(F.col("text")).alias("text_sha256"), text_key(docs).alias("text_key"))
+    keyed = written(keyed, "digests")
     heavy = written(heavy_digests(keyed, slots), "heavy-digests")
     verified = winners(keyed.join(F.broadcast(heavy), "text_sha256")).where("group_size > 1")
     verified = written(verified, "heavy-winners")  # at most `slots` rows
@@ -51,18 +46,30 @@ def exact_groups(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     ordinary = rest.join(repeated, "text_sha256", "left").select(
         "text_sha256",
         "doc_id",
+        "text_key",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
     )
     return frequent.select(*ordinary.columns).unionByName(ordinary).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_key"
     )
 
 
+def exact_groups(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; null text is the empty text, and empty texts form
+    one group. The largest doc_id of a group stays; a null doc_id stays only in a group without any other.
+    Rows that repeat a doc_id with an equal text are one document listed again: they count in group_size and
+    get the same answer. Other columns are ignored, whatever their names; an empty table gives no rows.
+    """
+    return judged(docs, slots).drop("text_key")
+
+
 def exact_dedup(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """The rows of `docs` that exact_groups keeps, with all their columns.
+    """The rows of `docs` that exact_groups keeps, with all their columns, whatever their names.
 
-    doc_id identifies a document; rows that repeat both doc_id and text all stay, as they are one document.
+    Each row is judged by its own text: of rows that repeat a doc_id with other texts each is kept or not as its
+    text's group has it. Rows that repeat both doc_id and text all stay, as they are one document.
     """
-    dropped = exact_groups(docs, slots).where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+    return without_rows(docs, judged(docs, slots).where("NOT kept"))

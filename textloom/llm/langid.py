@@ -236,15 +236,8 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = shared.value
         for batch in small(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            lang, score, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-            todo = [k for k, t in enumerate(texts) if use and any(map(str.isalpha, t))]
-            for part in pieces_of(todo, texts):
-                best, p, out = use.predict([texts[k] for k in part])
-                for k, b, x, gone in zip(part, best.tolist(), p.tolist(), out.tolist(), strict=True):
-                    lang[k], score[k], rejected[k] = use.languages[b], x, gone
+            lang, score, rejected = judged(batch.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 ["doc_id", "lang_pred", "score", "rejected"],
@@ -254,6 +247,18 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
 
+def judged(texts: list[str | None], model: Model | None) -> tuple[list[str], list[float], list[bool]]:
+    """Each text's language, score, and whether it is rejected."""
+    lang, score, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
+    texts = [t or "" for t in texts]
+    todo = [k for k, t in enumerate(texts) if model and any(map(str.isalpha, t))]
+    for part in pieces_of(todo, texts):
+        best, p, out = model.predict([texts[k] for k in part])
+        for k, b, x, gone in zip(part, best.tolist(), p.tolist(), out.tolist(), strict=True):
+            lang[k], score[k], rejected[k] = model.languages[b], x, gone
+    return lang, score, rejected
+
+
 def pieces_of(todo: list[int], texts: list[str]) -> Iterator[list[int]]:
     part, size = [], 0
     for k in todo:
@@ -267,6 +272,16 @@ def pieces_of(todo: list[int], texts: list[str]) -> Iterator[list[int]]:
 
 
 def not_rejected(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs with all their columns, but those that the model rejects. A null doc_id always stays."""
-    gone = predicted(docs, model).where("rejected").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("rejected_id"), "left_anti")
+    """The rows of docs with all their columns, whatever their names, but those that the model rejects.
+
+    Each row is judged by its own text as it passes, so nothing is shuffled and repeated or null doc_ids don't matter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            rejected = judged(batch.column(at).to_pylist(), shared.value)[2]
+            yield batch.filter(pa.array([not gone for gone in rejected], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)

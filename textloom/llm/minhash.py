@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import free, small, text_key, without_rows, written
 from .components import components
 from .wordblocks import hashes, mix, split_words
 
@@ -91,26 +91,27 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit digest of the whole set; null if empty), bands."""
+    """doc_id, text_key, n_shingles, set_key (128-bit digest of the whole set; null if empty), bands."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             n, keys, bands = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingles(text.as_py(), size)
                 n.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 bands.append(band_keys(signature(found)) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n_shingles", "set_key", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    schema = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
+    return docs.select("doc_id", text_key(docs).alias("text_key"), "text").mapInArrow(rows, schema)
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """rep, shingles: the full set of each document."""
+    """rep, shingles: the full set of each class, by its representative's text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -181,58 +182,86 @@ def across_components(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id linked with it), kept.
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The columns of near_groups, and text_key.
 
-    Documents are linked if 100 * |common shingles| >= percent * |all shingles of both|. Texts without words
-    have no shingles and no links. A null doc_id has a null component_id and is kept, as it can't be named in a
-    link. Rows that repeat a doc_id are one document if their texts are equal; with other texts each row's
-    links are found, but confirmed on the largest text. Other columns are ignored.
+    A class has a number, `rep` in what follows; a number's order means nothing, so a component's smallest doc_id
+    is found at the end. Rows that repeat a doc_id with other texts are in classes of their own.
     """
     marked = written(signed(docs, size), "signatures")
     named = marked.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = named.groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min(F.struct("doc_id", "text_key")).alias("least"),
+        F.first("n_shingles").alias("n"),
+        F.first("bands").alias("bands"),
     )
-    classes = written(classes, "classes")
+    classes = classes.select(
+        F.monotonically_increasing_id().alias("rep"), "set_key", "least.doc_id", "least.text_key", "n", "bands"
+    )
+    classes = written(classes, "classes")  # stored, so numbers stay
     spread = classes.select("rep", "n", F.posexplode("bands").alias("nth", "band"))
     shared = spread.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("size"))
     shared = shared.where("hub <> last").select("band", "hub", "size")
     members = written(spread.join(shared, "band"), "band-members")
     # The same plan at every size: texts go by doc_id to the list of those that share a bucket.
-    needed = members.select("rep").distinct().hint("merge")
-    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep"))
-    sets = written(shingle_sets(texts.agg(F.max("text").alias("text")), size), "shingle-sets")
-    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(confirmed(stars, sets, percent), "star-links")
+    needed = members.select("rep").distinct()
+    needed = classes.select("rep", F.col("doc_id").alias("id"), F.col("text_key").alias("key")).join(needed, "rep", "left_semi")
+    texts = docs.select("doc_id", "text").hint("merge").join(
+        needed, (F.col("doc_id") == F.col("id")) & (text_key(docs) == F.col("key"))
+    )
+    # Rows that repeat a document have one text.
+    texts = texts.groupBy("id", "key", "rep").agg(F.max("text").alias("text"))
+    sets = written(shingle_sets(texts, size), "shingle-sets")
+    sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("n_hub"))
+    stars = members.where("rep <> hub").groupBy("hub", "rep").agg(F.max("n").alias("n")).join(sizes, "hub")
+    # Sets of too different sizes can't be linked, so a hub's set is hardly larger than the one that it is sent to.
+    stars = stars.where(100 * F.least("n", "n_hub") >= percent * F.greatest("n", "n_hub"))
+    links = written(confirmed(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")), sets, percent), "star-links")
     labels = components(links)
     labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select(
         "band", "nth", "rep", "n", "size", F.coalesce("component", "rep").alias("component")
     )
     labelled = written(labelled, "labelled-members")
+    free(members)
     mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     apart = written(labelled.join(mixed.select("band"), "band", "left_semi"), "mixed-buckets")
+    free(labelled)
     left = apart.select("rep").distinct()
     left = classes.select("rep", "bands").join(left, "rep", "left_semi").join(
         sketches(sets.join(left, "rep", "left_semi")), "rep"
     )
     rest = across_components(apart.join(left, "rep"), percent)
     more = written(confirmed(rest.distinct(), sets, percent), "rest-links")
+    free(apart, sets)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    # A class's component goes to its members.
-    classed = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component_id")
-    )
+    # A class's component goes to its members, by its smallest doc_id.
+    linked = classes.select("rep", "doc_id").join(labels, F.col("rep") == F.col("node"))
+    smallest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = linked.select("rep", "component").join(smallest, "component").select("rep", "component_id")
+    classed = classes.select("rep", "set_key", "doc_id").join(named, "rep", "left")
+    classed = classed.select("set_key", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = marked.join(classed, "set_key", "left").select(
         "doc_id",
+        "text_key",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id linked with it), kept.
+
+    Documents are linked if 100 * |common shingles| >= percent * |all shingles of both|. Texts without words
+    have no shingles and no links. A null doc_id has a null component_id and is kept, as it can't be named in a
+    link. Rows that repeat a doc_id are one document if their texts are equal; with other texts each row has its own
+    links and its own component. Other columns are ignored.
+    """
+    return grouped(docs, size, percent).drop("text_key")
+
+
 def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that near_groups keeps, with all their columns: one document of each group."""
-    dropped = near_groups(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+    """The rows of docs that near_groups keeps, with all their columns, whatever their names: one document of each
+    group. Each row is judged by its own text; rows that repeat both doc_id and text all stay or go."""
+    return without_rows(docs, grouped(docs, size, percent).where("NOT kept"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontam, exact, langid, licenses, lm, minhash, substring, tokenstore, warc
 from .common import table
-from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
+from .decontam import SLOP
+from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words, word_count
 
 #: Runs of alphanumeric words in the SQL twins.
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,7 +86,7 @@ def sql_list(words: list[str]) -> str:
 
 
 PHRASE_ROWS = ", ".join(f"('{label}', {sql_list(p.split())})" for p, label in PHRASES)
-TEMPLATE_ROWS = ", ".join(f"('{label}', {sql_list(template_words(t))})" for label, t in TEMPLATES)
+TEMPLATE_ROWS = ", ".join(f"('{label}', {sql_list(template_words(t))}, {2 * word_count(t)})" for label, t in TEMPLATES)
 
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": r"""
@@ -125,18 +126,32 @@ ORACLES: dict[str, str] = {
         hits AS (SELECT doc_id, s, n, item_id FROM dw JOIN bw USING (win)),
         words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
             SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
-        items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+        items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY doc_id),
+        terms AS (SELECT DISTINCT doc_id, unnest(w) AS t FROM d),
+        seen AS (SELECT t, count(*) AS n FROM terms GROUP BY t),
+        rare AS (
+            SELECT win, arg_min(t, coalesce(n, 0)) AS t FROM (SELECT DISTINCT win, unnest(win) AS t FROM bw)
+            LEFT JOIN seen USING (t) GROUP BY win),
+        likely AS (SELECT doc_id, w, win FROM rare JOIN terms USING (t) JOIN d USING (doc_id) WHERE list_has_all(w, win)),
+        near AS (
+            SELECT doc_id, count(*) AS n_near FROM likely
+            WHERE len(list_filter(range(-{SLOP}, len(w) + {SLOP}), lambda s: len(list_filter(
+                range(0, len(win)),
+                lambda k: NOT list_contains(list_slice(w, greatest(s + k - {SLOP}, 0) + 1, s + k + {SLOP} + 1), win[k + 1])
+            )) = 0)) > 0
+            GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
                sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
-               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+               coalesce(n_near, 0) AS n_near
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op10_license_scan": f"""
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t,
                    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS w
             FROM documents),
         p(label, ws) AS (VALUES {PHRASE_ROWS}),
-        m(label, ws) AS (VALUES {TEMPLATE_ROWS}),
+        m(label, ws, block) AS (VALUES {TEMPLATE_ROWS}),
         places AS (
             SELECT doc_id, label, s - 1 AS place FROM (
                 SELECT doc_id, label, w, ws, unnest(range(1, len(w) - len(ws) + 2)) AS s
@@ -145,12 +160,17 @@ ORACLES: dict[str, str] = {
         base AS (
             SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS z, list(DISTINCT label) AS ls
             FROM places GROUP BY doc_id),
-        blocks AS (
-            SELECT doc_id, regexp_extract_all(line, '{ALNUM}') AS ws
-            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+        paragraphs AS (
+            SELECT doc_id, regexp_extract_all(paragraph, '{ALNUM}') AS ws
+            FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\\n[ \\t\\r]*\\n')) AS paragraph FROM d)),
+        likely AS (
+            SELECT doc_id, label, paragraphs.ws AS w, m.ws AS ws, block, ceil({THRESHOLD} * len(m.ws) - 1e-9) AS needed
+            FROM paragraphs, m WHERE len(list_intersect(m.ws, paragraphs.ws)) >= ceil({THRESHOLD} * len(m.ws) - 1e-9)),
         joined AS (
-            SELECT doc_id, label, len(list_intersect(blocks.ws, m.ws)) / len(m.ws) AS c FROM blocks, m
-            WHERE len(list_intersect(blocks.ws, m.ws)) >= ceil({THRESHOLD} * len(m.ws) - 1e-9)),
+            SELECT doc_id, label, c / len(ws) AS c FROM (
+                SELECT doc_id, label, ws, needed, len(list_intersect(ws, list_slice(w, s, s + block - 1))) AS c
+                FROM (SELECT *, unnest(range(1, len(w) + 1)) AS s FROM likely))
+            WHERE c >= needed),
         found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(c) AS best FROM joined GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word,
                coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
