@@ -266,6 +266,29 @@ def test_archives_of_all_cases(spark):
     assert {r["page_id"] for r in small.where("record_type = 'revisit'").collect()} == {6}
 
 
+@pytest.mark.parametrize("fan_in", [2, 64])
+def test_runs_merge_block_by_block(spark, monkeypatch, fan_in):
+    from textloom.llm.common import scratch
+
+    pick = random.Random(7)
+    rows = [(k if k % 9 else None, f"http://h{pick.randrange(12)}.org/{pick.randrange(5)}", f"p{pick.randrange(150)}") for k in range(600)]
+    rows += [(700, "http://h1.org/", "same")] * 20
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(warc, "ARCHIVE_RECORDS", 25)
+        patch.setattr(warc, "BLOCK", 4)
+        folder = scratch(spark, "merge")
+        runs = warc.write(pages, F.lit(5), folder)
+        got = warc.merged(runs, folder, fan_in).orderBy("part", "place").collect()
+    assert runs.count() > 20 and len(got) == len(rows)
+    keys = [tuple(r)[: warc.KEY] for r in got]
+    assert keys == sorted(keys) and len({r["record_id"] for r in got}) == len(rows)
+    assert len({(r["run"], r["offset"]) for r in got}) == len(rows)
+    for part in {r["part"] for r in got}:
+        here = [r["place"] for r in got if r["part"] == part]
+        assert here == list(range(len(here)))
+
+
 def test_url_keys():
     assert warc.url_key("https://www.Example.com:443/a?b=1#c") == "com,example)/a?b=1"
     assert warc.url_key("http://example.com") == "com,example)/"

@@ -27,8 +27,9 @@ from .common import small
 
 #: Bounds of the training sample: distinct texts of each language, and bytes of a sampled text or piece.
 ROWS_PER_LANGUAGE, SAMPLE_BYTES = 1000, 20_000
-#: Languages that the model can learn: those with the most distinct labelled texts.
-LANGUAGES = 500
+#: Bound of the whole sample: with more languages than SAMPLE_ROWS / ROWS_PER_LANGUAGE each gets an equal share of it.
+#: Every language that a label names is learned, so labels must be a set that a driver can hold.
+SAMPLE_ROWS = 40_000
 BUCKET_BITS, DIMENSIONS, LONGEST = 16, 16, 4
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: The share of good texts that a threshold lets fall, and as many standard deviations under a normal mean.
@@ -140,17 +141,18 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
         random.shuffle(learn)
         for k in learn:
             at, share = features[k]
-            hidden = (embeddings[at] * share).sum(0)
+            here = embeddings[at]
+            hidden = (share.T @ here)[0]
             error = softmax(hidden @ out + bias)
             error[y[k]] -= 1
-            down = out @ error
-            for name, table, where, slope in (
-                ("o", out, slice(None), np.outer(hidden, error)),
-                ("b", bias, slice(None), error),
-                ("e", embeddings, at, share * down * len(at)),
-            ):
-                seen[name][where] += slope**2
-                table[where] -= RATE * slope / np.sqrt(seen[name][where])
+            # Each slope is divided by the root of its squares so far.
+            slope = (share * len(at)) * (out @ error)
+            squares = seen["e"][at] + slope * slope
+            seen["e"][at] = squares
+            embeddings[at] = here - RATE * slope / np.sqrt(squares)
+            for name, table, slope in (("o", out, np.outer(hidden, error)), ("b", bias, error)):
+                seen[name] += slope**2
+                table -= RATE * slope / np.sqrt(seen[name])
     counts = np.zeros((len(languages), 2**BUCKET_BITS))
     for k in learn[learn < len(rows)]:
         counts[y[k]][features[k][0]] += features[k][1][:, 0]
@@ -204,17 +206,17 @@ def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> list[tuple[str, st
     However often a text is repeated, it counts once. Of a text over SAMPLE_BYTES a piece from its middle is taken.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = usable.select("lang", "h").distinct().groupBy("lang").count()
-    counts = counts.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = usable.select("lang", "h").distinct().groupBy("lang").count().collect()
     if not counts:
         return []
+    rows = max(min(rows, SAMPLE_ROWS // len(counts)), 1)
     # So many more that, as hashes are even, a language hardly ever gets fewer than `rows` of its distinct texts.
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], (1.2 * rows + 50) / r["count"])])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], (1.2 * rows + 50) / r["count"]) for r in counts], "lang string, share double")
     chance = F.pmod("h", F.lit(1_000_003)) / 1_000_003.0
     size = SAMPLE_BYTES // 4  # characters have at most four bytes
     middle = F.substring("text", F.floor((F.char_length("text") - size) / 2).cast("int") + 1, F.lit(size))
     piece = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(middle)
-    some = usable.where(chance < shares[F.col("lang")]).select("lang", "h", chance.alias("chance"), piece.alias("text"))
+    some = usable.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("lang", "h", chance.alias("chance"), piece.alias("text"))
     found: dict[str, list[tuple[float, int, str]]] = {}
     for r in some.groupBy("lang", "h").agg(F.min("chance").alias("chance"), F.min("text").alias("text")).collect():
         found.setdefault(r["lang"], []).append((r["chance"], r["h"], r["text"]))

@@ -1,17 +1,21 @@
 """Web archives (WARC 1.1, one gzip member per record) and the merge of their indexes.
 
 Tasks write archives of bounded size. Of equal payloads one is stored; the others are revisit records. Every
-archive comes with a run: its captures sorted by URL key, time and id. The runs are merged to one index in
-global order: ranges of keys are dealt to tasks, and in each range the runs' segments go through a k-way merge
-by a loser tree. The archives are then read back record by record, digests are verified, and each record is
-matched with its entry in the merged index.
+archive comes with a run in a file of its own: its captures sorted by URL key, time and id, in blocks. The runs are
+merged to one index in global order: ranges of keys are dealt to tasks, and in each range the runs' segments go
+through a k-way merge by a loser tree, which holds one block of each segment at a time. A task with more segments
+than it may open merges some of them to longer runs in shared storage first, as external sorting does. The archives
+are then read back record by record, digests are verified, and each record is matched with its entry in the
+merged index.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -28,10 +32,19 @@ from .files import opened
 
 #: An archive is closed after so many compressed bytes or records; bounds a run's memory.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 64_000_000, 50_000
+#: Captures in a block of a run, and runs that a merge reads at once.
+BLOCK, FAN_IN = 1000, 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RUN = (
-    "run string, seq long, url_key string, captured long, page_id long, record_id string, "
-    "record_type string, digest string, offset long, length long"
+#: A capture in a run and in the index; the first four are its key, and record ids are unique.
+CAPTURE = pa.schema(
+    [("url_key", pa.string()), ("captured", pa.int64()), ("page_id", pa.int64()), ("record_id", pa.string())]
+    + [("run", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
+)
+KEY = 4
+#: A run: its archive's name, and the key that each of its blocks begins with.
+RUN = "run string, blocks array<struct<url_key:string,captured:long,page_id:long,record_id:string>>"
+INDEX = (
+    "url_key string, captured long, page_id long, record_id string, run string, offset long, length long, part int, place long"
 )
 READ = (
     "run string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -56,28 +69,36 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_uri(page_id: int | None, row: str) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id}' if page_id is not None else f'row {row}')}"
+def record_uri(archive: str, offset: int) -> str:
+    """Of each record its own, however often a page or payload is repeated."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{archive} {offset}')}"
 
 
 def iso(seconds: int | None) -> str:
     return datetime.fromtimestamp(seconds or 0, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record(page_id, url, payload: bytes, captured, digest: str, first_id, uri: str, offset: int) -> bytes:
-    """A response record, or a revisit record of page first_id. A field's value keeps no control characters."""
+def uri_of(url: str | None) -> str | None:
+    """A field's value keeps no control characters."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else None
+
+
+def record(page_id, url, payload: bytes, captured, digest: str, first: tuple | None, uri: str, offset: int) -> bytes:
+    """A response record, or a revisit record of another page, first: (page_id, url, captured)."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if first_id is not None else http + payload
+    block = http if first else http + payload
+    first_id, first_url, first_captured = first or (None, None, None)
     fields = [
-        ("WARC-Type", "response" if first_id is None else "revisit"),
+        ("WARC-Type", "revisit" if first else "response"),
         ("WARC-Record-ID", f"<{uri}>"),
         ("WARC-Date", iso(captured)),
-        ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else None),
+        ("WARC-Target-URI", uri_of(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Offset", offset),
         ("X-Page-ID", page_id),
-        ("WARC-Profile", PROFILE if first_id is not None else None),
-        ("WARC-Refers-To", f"<{record_uri(first_id, '')}>" if first_id is not None else None),
+        ("WARC-Profile", PROFILE if first else None),
+        ("WARC-Refers-To-Target-URI", uri_of(first_url)),
+        ("WARC-Refers-To-Date", iso(first_captured) if first else None),
         ("X-Refers-To-Page-ID", first_id),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", len(block)),
@@ -126,16 +147,60 @@ class LoserTree:
 
 
 def with_first_copies(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """pages with first_id: the smallest page_id of an equal payload, where that is another page."""
-    known = pages.withColumn("sha1", F.sha1(F.encode("html", "utf-8")))
-    copies = known.where(F.octet_length("html") >= least_bytes).groupBy("sha1")
-    first = copies.agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = known.join(first, "sha1", "left")
-    return joined.withColumn("first_id", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")))
+    """pages (page_id, url, html, captured) with first: page_id, url and captured of the page with the smallest
+    page_id that has an equal payload; null for that page itself.
+
+    Only ids and digests meet by payload, so copies of one payload are no burden; pages are then joined to what was
+    found by id and digest.
+    """
+    digest = F.sha1(F.encode("html", "utf-8"))
+    known = pages.where((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull())
+    known = known.select(digest.alias("sha1"), F.struct("page_id", "url", "captured").alias("page"))
+    firsts = known.groupBy("sha1").agg(F.min("page").alias("first"), F.max("page.page_id").alias("last"))
+    firsts = firsts.where("first.page_id <> last").drop("last")
+    revisits = known.join(firsts, "sha1").where("page.page_id <> first.page_id")
+    revisits = revisits.select(F.col("page.page_id").alias("id"), F.col("sha1").alias("its_sha1"), "first")
+    revisits = revisits.dropDuplicates(["id", "its_sha1"])
+    here = (pages["page_id"] == revisits["id"]) & (digest == revisits["its_sha1"])
+    return pages.join(revisits, here, "left").select("page_id", "url", "html", "captured", "first")
+
+
+def batches_of(rows: Iterable[tuple], size: int) -> Iterator[list[tuple]]:
+    rows = iter(rows)
+    while some := list(itertools.islice(rows, size)):
+        yield some
+
+
+def capture_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(CAPTURE)  # noqa: B905
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, CAPTURE.types, strict=True)], schema=CAPTURE)
+
+
+def store_run(uri: str, captures: Iterable[tuple], size: int) -> list[tuple]:
+    """Writes captures that are in order to a run's file, so many in a block; the keys that its blocks begin with."""
+    keys = []
+    where, path = opened(uri)
+    with where.open_output_stream(path) as out, pa.ipc.new_file(out, CAPTURE) as file:
+        for rows in batches_of(captures, size):
+            keys.append(rows[0][:KEY])
+            file.write_batch(capture_batch(rows))
+    return keys
+
+
+def segment(uri: str, first: int, last: int, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """The captures of a run's blocks first..last whose keys are from low up to, not with, high. Reads block by block."""
+    where, path = opened(uri)
+    with where.open_input_file(path) as source, pa.ipc.open_file(source) as file:
+        for k in range(first, last + 1):
+            for row in zip(*(c.to_pylist() for c in file.get_batch(k).columns), strict=True):
+                if high is not None and row[:KEY] >= high:
+                    return
+                if low is None or row[:KEY] >= low:
+                    yield row
 
 
 def write(pages: DataFrame, captured: Column, folder: str, least_bytes: int = 0) -> DataFrame:
-    """Writes archives of pages (page_id, url, html) and returns their runs, stored.
+    """Writes archives of pages (page_id, url, html), with a run beside each, and returns the list of the runs, stored.
 
     captured: seconds since 1970 (null: 0). A null html is the empty payload, a null url is left out. Of equal
     payloads of at least least_bytes bytes the one with the smallest page_id is a response and the others are
@@ -144,72 +209,95 @@ def write(pages: DataFrame, captured: Column, folder: str, least_bytes: int = 0)
     """
     where, path = opened(folder)
     where.create_dir(path, recursive=True)
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), captured.alias("captured"))
-    rows = with_first_copies(rows, least_bytes).select("page_id", "url", "html", "captured", "first_id")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), captured.cast("long").alias("captured"))
+    rows = with_first_copies(rows, least_bytes).select(
+        "page_id", "url", "html", "captured", F.col("first.page_id").alias("a"), F.col("first.url").alias("b"), F.col("first.captured").alias("c")
+    )
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, run, name, offset = None, [], "", 0
 
-        def closed() -> Iterator[pa.RecordBatch]:
-            """The finished archive's run: its captures in order."""
+        def closed() -> pa.RecordBatch:
+            """Writes the finished archive's run: its captures in order."""
             out.close()
             run.sort()
-            columns = [[name] * len(run), range(len(run)), *zip(*run)]  # noqa: B905
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+            keys = [dict(zip(CAPTURE.names, key)) for key in store_run(f"{folder}/{name}.run", run, BLOCK)]  # noqa: B905
+            blocks = pa.array([keys], pa.list_(pa.struct(list(CAPTURE)[:KEY])))
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), blocks], ["run", "blocks"])
 
         for batch in batches:
-            for n, (page_id, url, html, when, first_id) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            for page_id, url, html, when, *first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     name, offset, run = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, []
                     target, target_path = opened(f"{folder}/{name}")
                     out = target.open_output_stream(target_path)
                 payload = html.encode()
-                digest = base32_sha1(payload)
-                uri = record_uri(page_id, f"{name} {offset}")
-                data = gzipped(record(page_id, url, payload, when, digest, first_id, uri, offset))
+                uri = record_uri(name, offset)
+                copied = tuple(first) if first[0] is not None else None
+                data = gzipped(record(page_id, url, payload, when, base32_sha1(payload), copied, uri, offset))
                 out.write(data)
-                kind = "response" if first_id is None else "revisit"
-                run.append((url_key(url), when or 0, -1 if page_id is None else page_id, uri, kind, digest, offset, len(data)))
+                run.append((url_key(url), when or 0, -1 if page_id is None else page_id, uri, name, offset, len(data)))
                 offset += len(data)
                 if offset >= ARCHIVE_BYTES or len(run) >= ARCHIVE_RECORDS:
-                    yield from closed()
+                    yield closed()
                     out = None
         if out is not None:
-            yield from closed()
+            yield closed()
 
-    text, whole = pa.string(), pa.int64()
-    names = [x.split()[0] for x in RUN.split(", ")]
-    schema = pa.schema(list(zip(names, [text, whole, text, whole, whole, text, text, text, whole, whole], strict=True)))
     return written(rows.mapInArrow(archives, RUN), "runs")
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """The index of all runs in global order: url_key, captured, page_id, record_id, run, offset, length, part,
-    place (in the part; parts follow each other). Stored. A key of any number of captures can span parts."""
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["url_key", "captured", "page_id", "record_id"]
-    ranged = runs.repartitionByRange(parts, *keys).sortWithinPartitions("run", "seq")
+def merged(runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
+    """The index of all runs in global order: the columns of a capture, part, and place (in the part; parts follow
+    each other). Stored. A URL key of any number of captures can span parts, as whole keys are dealt to ranges."""
+    spark = runs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = CAPTURE.names[:KEY]
+    fences = runs.select(F.explode("blocks").alias("block")).select("block.*").repartitionByRange(parts, *names)
+    # One row for each range: the key that it begins with.
+    lows = fences.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*names)).alias("low")).select("low.*")
+    edges = sorted(tuple(r) for r in lows.collect())[1:]  # the first range begins before all keys
+    shared = spark.sparkContext.broadcast(edges)
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which blocks of each run can have captures of which range."""
+        edges = shared.value
+        for batch in batches:
+            out = []
+            for run, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = [tuple(b.values()) for b in blocks]
+                for part in range(bisect.bisect_right(edges, keys[0]), len(edges) + 1):
+                    first = max(bisect.bisect_right(keys, edges[part - 1]) - 1, 0) if part else 0
+                    last = bisect.bisect_left(keys, edges[part]) - 1 if part < len(edges) else len(keys) - 1
+                    if first <= last:
+                        out.append((part, run, first, last))
+            columns = list(zip(*out)) or [[]] * 4  # noqa: B905
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "run", "first", "last"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for run, *entry in zip(*(batch.column(c).to_pylist() for c in ("run", *keys, "offset", "length")), strict=True):
-                segments.setdefault(run, []).append((*entry, run))
-        part, at = TaskContext.get().partitionId(), 0
-        rows: list[tuple] = []
-        for entry in LoserTree(segments.values()):
-            rows.append((*entry, part, at))
-            at += 1
-            if len(rows) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)  # noqa: B905
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)  # noqa: B905
-
-    fields = "url_key string, captured long, page_id long, record_id string, offset long, length long, run string, part int, place long"
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in fields.split(", "))])
-    return written(ranged.select("run", *keys, "offset", "length").mapInArrow(merge, fields), "index")
+        edges = shared.value
+        rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+        for part, here in itertools.groupby(rows, key=lambda r: r[0]):
+            low, high = edges[part - 1] if part else None, edges[part] if part < len(edges) else None
+            open_ = [(f"{folder}/{run}.run", first, last) for _, run, first, last in here]
+            while len(open_) > fan_in:  # a pass of merges to longer runs
+                longer = []
+                for k in range(0, len(open_), fan_in):
+                    uri = f"{folder}/{uuid.uuid4().hex}.run"
+                    keys = store_run(uri, LoserTree(segment(*s, low, high) for s in open_[k : k + fan_in]), BLOCK)
+                    longer.append((uri, 0, len(keys) - 1))
+                open_ = longer
+            at = 0
+            for found in batches_of(LoserTree(segment(*s, low, high) for s in open_), 10 * BLOCK):
+                batch = capture_batch(found)
+                number = [pa.array([part] * len(found), pa.int32()), pa.array(range(at, at + len(found)), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *number], [*CAPTURE.names, "part", "place"])
+                at += len(found)
+
+    listed = runs.mapInArrow(segments, "part int, run string, first int, last int")
+    listed = listed.repartition(parts, "part").sortWithinPartitions("part", "run")
+    return written(listed.mapInArrow(merge, INDEX), "index")
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -267,7 +355,7 @@ def archived(pages: DataFrame, captured: Column, least_bytes: int = 0) -> DataFr
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
     runs = write(pages, captured, folder, least_bytes)
-    index = merged(runs)
+    index = merged(runs, folder)
     sizes = index.groupBy("part").agg(F.count("*").alias("n"))
     # One row for each part of the index, so this window is small however large the index.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -277,7 +365,7 @@ def archived(pages: DataFrame, captured: Column, least_bytes: int = 0) -> DataFr
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One row for each archive, dealt out to as many tasks as there are; its records are not to be broadcast.
-    names = runs.where("seq = 0").select("run").repartition(parts, "run")
+    names = runs.select("run").repartition(parts, "run")
     return read(spark, names, folder).join(placed.hint("merge"), ["run", "offset"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position"
     )
