@@ -155,43 +155,85 @@ def test_scattered_words_are_no_notice(spark):
     assert got == {1: "", 2: "mit", 3: "", 4: ""}
     assert got == {r[0]: r[6] for r in license_model(rows)}
 
-def test_lm_of_all_cases(spark):
+def lm_model(rows, least=lm.LEAST_STATE, priors=(lm.PRIOR, lm.TRIGRAM_PRIOR)):
+    """The scores by plain interpolation, without an automaton."""
     held = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 == 2
-    tokens = [(d, [*data.words(t, lower=True), None]) for d, t in ROWS]
-    c, pairs, texts = Counter(), Counter(), 0
+    tokens = [(d, [*data.words(t, lower=True), None]) for d, t in rows]
+    c, pairs, triples, texts = Counter(), Counter(), Counter(), 0
     for d, w in tokens:
         if not held(d):
             c.update(w)
-            pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
+            line = ["<s>", *w]
+            pairs.update(zip(line, w))
+            triples.update(zip(line, line[1:], w[1:]))
             texts += 1
     total, distinct = sum(c.values()), len(c)
     p = lambda w: (c[w] + 1) / (total + distinct + 1)
     want = []
     for d, w in tokens:
-        score = 0.0
-        for before, word in zip(["<s>", *w[:-1]], w, strict=True):
-            n = texts if before == "<s>" else c[before]
-            score += math.log10((pairs[before, word] + lm.PRIOR * p(word)) / (n + lm.PRIOR))
-        want.append((d, held(d), len(w), sum(c[x] > 0 for x in w), total, round(sum(math.log10(p(x)) for x in w), 6), round(score, 6)))
-    got = lm.scored(table(spark), lm.remainder("doc_id", 7) == 2).collect()
-    assert Counter((*tuple(r)[:5], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == Counter(want)
-    assert lm.scored(table(spark, []), lm.remainder("doc_id", 7) == 2).count() == 0
+        score, line = 0.0, ["<s>", *w]
+        for k, word in enumerate(w):
+            h = line[k]
+            prob = (pairs[h, word] + priors[0] * p(word)) / ((texts if h == "<s>" else c[h]) + priors[0])
+            if k and pairs[line[k - 1], h] >= least:
+                prob = (triples[line[k - 1], h, word] + priors[1] * prob) / (pairs[line[k - 1], h] + priors[1])
+            score += math.log10(prob)
+        want.append((d, held(d), len(w), sum(c[x] > 0 for x in w), total, round(sum(math.log10(p(x)) for x in w), 5), round(score, 5)))
+    return want
+
+
+def test_lm_of_all_cases(spark, monkeypatch):
+    from textloom.llm import wordblocks
+
+    scores = lambda df: Counter((*tuple(r)[:5], round(r["base_score"], 5), round(r["score"], 5)) for r in df.collect())
+    pick = random.Random(9)
+    rows = [*ROWS, *((100 + k, " ".join(pick.choices(["a", "b", "c", "d e", "f g h"], k=40))) for k in range(60))]
+    held = lm.remainder("doc_id", 7) == 2
+    assert scores(lm.scored(table(spark, rows), held)) == Counter(lm_model(rows))
+    monkeypatch.setattr(wordblocks, "BLOCK_CHARS", 500)  # many blocks
+    assert scores(lm.scored(table(spark, rows).repartition(5), held)) == Counter(lm_model(rows))
+    assert scores(lm.scored(table(spark, rows), held, least=4)) == Counter(lm_model(rows, 4))
+    assert lm.scored(table(spark, []), held).count() == 0
     nothing = lm.scored(table(spark, ROWS[:3]), F.lit(True)).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in nothing)
 
 
+def test_packed_keys():
+    import numpy as np
+
+    pick = np.random.default_rng(3)
+    for keys in (pick.integers(1, 2**64, 50, dtype=np.uint64), np.array([], np.uint64), np.array([1 << 48, (1 << 48) + 1, 3 << 48, 2**64 - 1], np.uint64), np.arange(1, 9, dtype=np.uint64)):
+        keys = np.unique(keys)
+        assert lm.unpack_keys(lm.pack_keys(keys)).tolist() == keys.tolist()
+
+
 def test_lm_continuations_sum_to_one():
     import numpy as np
 
-    block = lm.Block(["a b a c", "b a"])
-    words, bigrams = block.counts(np.array([True, True]))
-    automaton = lm.BackoffAutomaton(block, words, bigrams, int(words.sum()), len(words), 2.0)
+    block = lm.Block.of_texts(["a b a c a b a", "b a a b a"])
+    learn = np.array([True, True])
+    block.find_trigrams(np.ones(len(block.word), bool))
+    counts = [block.counts(learn, *x) for x in ((block.word, len(block.words)), (block.bigram, len(block.bigrams)), (block.trigram, len(block.trigrams)))]
+    words = counts[0]
+    automaton = lm.BackoffAutomaton(block, *counts, int(words.sum()), len(words), (2.0, 3.0))
     unknown = math.log10(1 / (words.sum() + len(words) + 1))
-    for state in range(1, len(words) + 2):
-        if state > 1 and block.words[state - 2] == lm.END:
+
+    def weight(state, word):
+        total = 0.0
+        while state:
+            if word is not None and (arc := automaton.arcs.get(state * automaton.size + word)):
+                return total + arc[0]
+            total += automaton.fail_weight[state]
+            state = automaton.fail_state[state]
+        return total + (unknown if word is None else automaton.root_weight[word])
+
+    end = int(np.searchsorted(block.words, lm.END))
+    states = {1} | {arc[1] for arc in automaton.arcs.values()}
+    assert max(states) > len(words) + 1  # bigrams among them
+    for state in states:
+        if state == end + 2 or (state > len(words) + 1 and block.word[block.first[state - 2 - len(words)]] == end):
             continue
-        known = [automaton.arcs.get(state * automaton.size + w, automaton.fail_weight[state] + automaton.root_weight[w]) for w in range(len(words))]
-        assert sum(10**x for x in [*known, automaton.fail_weight[state] + unknown]) == pytest.approx(1)
+        assert sum(10 ** weight(state, w) for w in [*range(len(words)), None]) == pytest.approx(1)
 
 
 def test_language_of_all_cases(spark):

@@ -1,6 +1,6 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark.
 
-Each block of documents hashes all its windows by one rolling polynomial over 64-bit word hashes. Windows that
+Documents are packed to stored blocks. Each block hashes all its windows by one rolling polynomial over 64-bit word hashes. Windows that
 repeat inside the block are known at once; each distinct window goes to its bucket once. Buckets find the
 hashes that several blocks hold and answer with their positions; blocks merge all repeated windows into maximal
 intervals of words and remove them. A window has 64 bits in its hash, and its bucket's number comes from a
@@ -9,11 +9,13 @@ second, independent sum, so windows are told apart by 64 bits plus the logarithm
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .wordblocks import deltas, hashes, in_blocks, mix, ordered, parts_for, positions, split_words
+from .wordblocks import contents, deltas, hashes, mix, parts_for, positions, runs_of, split_words, stored_blocks
 
 #: Words of a window in the contract.
 WINDOW = 35
@@ -21,8 +23,8 @@ WINDOW = 35
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 
-PACKED = "block int, bucket int, hashes binary, at binary"
-REPEATS = "block int, at binary"
+PACKED = "block long, bucket int, hashes binary, at binary"
+REPEATS = "block long, at binary"
 REMOVED = "doc_id long, n_words long, n_removed long, intervals array<struct<start:int,end:int>>, kept_text string"
 
 
@@ -48,6 +50,21 @@ def window_hashes(words: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np
     return starts, mix(main), mix(summed[starts + size] - summed[starts])
 
 
+def pack(rows: list[tuple]) -> bytes:
+    """A block's rows (doc_id, text), compressed."""
+    doc_ids, texts = zip(*rows, strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> list[tuple]:
+    with pa.ipc.open_stream(data) as stream:
+        return list(zip(*(c.to_pylist() for c in stream.read_all().columns), strict=True))
+
+
 def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, intervals, kept_text.
 
@@ -57,25 +74,25 @@ def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     on the input. Null and empty texts have no words; texts shorter than a window keep all. Rows that repeat a
     document remove each other's windows; a null doc_id is a document like any other; other columns are ignored.
     """
-    parts = parts_for(docs)
-    blocks = in_blocks(docs, parts)
-
-    def send(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        words = [hashes(split_words(text)) for _, text in ordered(table)]
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        starts, main, second = window_hashes(np.concatenate(words), lengths, size)
-        order = np.argsort(main)
-        same = main[order][1:] == main[order][:-1]
-        first = np.sort(order[np.append(True, ~same)] if len(order) else order)
-        inside = np.sort(order[np.append(same, False) | np.append(False, same)] if len(order) else order)
-        bucket = ((second[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-        groups = np.split(first[by], cuts[1:]) if len(cuts) else []
-        rows = [(block, int(b), main[g].tobytes(), deltas(starts[g])) for b, g in zip(bucket[by][cuts], groups, strict=True)]
-        rows.append((block, block % parts, None, deltas(starts[inside])))  # passed on as it is
-        return pa.Table.from_pylist([dict(zip(("block", "bucket", "hashes", "at"), r, strict=True)) for r in rows], packed)
+    blocks, folder = stored_blocks(docs.select("doc_id", "text"), "texts", pack)
+    tasks, buckets = parts_for(blocks)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in contents(batch, folder):
+                words = [hashes(split_words(text)) for _, text in unpacked(data)]
+                lengths = np.fromiter(map(len, words), np.int64, len(words))
+                starts, main, second = window_hashes(np.concatenate(words), lengths, size)
+                order = np.argsort(main)
+                same = main[order][1:] == main[order][:-1]
+                first = np.sort(order[np.append(True, ~same)] if len(order) else order)
+                inside = np.sort(order[np.append(same, False) | np.append(False, same)] if len(order) else order)
+                bucket = ((second[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                rows = [(b, main[first[by[at]]].tobytes(), deltas(starts[first[by[at]]])) for b, at in runs_of(bucket[by])]
+                rows.append((block % buckets, None, deltas(starts[inside])))  # passed on as it is
+                columns = [[block] * len(rows), *zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, packed.types, strict=True)], schema=packed)
 
     def answer(table: pa.Table) -> pa.Table:
         out_block, out_at, sent = [], [], []
@@ -95,10 +112,11 @@ def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 if mine.any():
                     out_block.append(block)
                     out_at.append(deltas(positions(at.as_py())[mine]))
-        return pa.table({"block": pa.array(out_block, pa.int32()), "at": pa.array(out_at, pa.binary())})
+        return pa.table({"block": pa.array(out_block, pa.int64()), "at": pa.array(out_at, pa.binary())})
 
     def cut(table: pa.Table, repeats: pa.Table) -> pa.Table:
-        docs_here = ordered(table)
+        (_, data), = contents(table, folder)
+        docs_here = unpacked(data)
         words = [split_words(text) for _, text in docs_here]
         bounds = np.append(0, np.cumsum([len(w) for w in words]))
         cover = np.zeros(bounds[-1] + 1, np.int64)
@@ -118,7 +136,7 @@ def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             out["kept_text"].append(b" ".join(kept).decode())
         return pa.table(out, removed)
 
-    packed = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("at", pa.binary())])
+    packed = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("at", pa.binary())])
     removed = pa.schema(
         [
             ("doc_id", pa.int64()),
@@ -128,6 +146,7 @@ def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             ("kept_text", pa.string()),
         ]
     )
-    sent = blocks.groupBy("block").applyInArrow(send, PACKED)
-    repeats = sent.groupBy("bucket").applyInArrow(answer, REPEATS)
-    return blocks.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(cut, REMOVED)
+    listed = blocks.repartition(tasks, "block")
+    sent = listed.mapInArrow(send, PACKED).repartition(buckets, "bucket")
+    repeats = sent.groupBy("bucket").applyInArrow(answer, REPEATS).repartition(tasks, "block")
+    return listed.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(cut, REMOVED)
