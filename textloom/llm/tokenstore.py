@@ -27,18 +27,19 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import slices
 from .common import free, scratch, small, written
 from .files import Reader, opened
 
@@ -47,7 +48,7 @@ from .files import Reader, opened
 ROLLING, MEAN, MOST = 8, 128, 1024
 #: Words and pieces that a worker remembers, rows and characters encoded at a time, and bytes of a pack read at once.
 #: They bound memory only.
-WORDS, ROWS, CHUNK, READ = 500_000, 2500, 2_000_000, 8_000_000
+WORDS, ROWS, CHUNK, READ = 800_000, 2500, 4_000_000, 8_000_000
 #: What stands between words in a line for the library.
 MARK = "\u2400"
 #: A chunk's place among all staging packs is one long: the task attempt that wrote the pack, then the byte in it.
@@ -112,7 +113,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
-        self.kind = np.dtype(f"<u{self.width}")
+        self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
+        self.model = self.tokenizer.model
         self.between = np.array(self.ids(MARK), self.kind)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)", regex.IGNORECASE)
@@ -123,11 +125,11 @@ class WordEncoder:
             # The library's letter for each byte of the plain characters.
             each = {c: level.pre_tokenize_str(chr(c)) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))}
             self.letters = {c: found[0][0] for c, found in each.items()}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[str, int] = {}
         # By word number: the place and number of its ids in flat.
         self.begin, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, self.kind)
@@ -135,9 +137,9 @@ class WordEncoder:
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def library(self, words: list[str]) -> list[list[int]]:
+    def library(self, words: list[str]) -> list[bytes]:
         """The ids of each word."""
-        out: list[list[int]] = []
+        out: list[bytes] = []
         for k in range(0, len(words), 2000):
             some = words[k : k + 2000]
             line = f" {MARK} ".join(some)
@@ -147,68 +149,72 @@ class WordEncoder:
                 marks &= ids[n : len(ids) - size + 1 + n] == x
             at = np.flatnonzero(marks)
             if line.count(MARK) != len(some) - 1 or len(at) != len(some) - 1:  # a word has the mark
-                out += [self.ids(w) for w in some]
+                out += [np.array(self.ids(w), self.kind).tobytes() for w in some]
                 continue
-            ids = ids.tolist()
-            out += [ids[a:b] for a, b in zip([0, *(at + size).tolist()], [*at.tolist(), len(ids)], strict=True)]
+            out += [ids[a:b].tobytes() for a, b in zip([0, *(at + size).tolist()], [*at.tolist(), len(ids)], strict=True)]
         return out
 
-    def piece(self, piece: str) -> list[int]:
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+    def piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+        ids = array(self.code, ids).tobytes()
         if len(self.pieces) > WORDS:
             self.pieces.clear()
         self.pieces[piece] = ids
         return ids
 
-    def new_words(self, words: list[bytes]) -> list[list[int]]:
+    def new_words(self, texts: list[str]) -> list[bytes]:
         """The ids of each word, by pieces where it is plain."""
-        texts = [w.decode() for w in words]
         if not self.pattern:
             return self.library(texts)
-        out: list[list[int] | None] = []
+        out: list[bytes | None] = []
         plain, find, known, added = _PLAIN.fullmatch, self.pattern.findall, self.pieces, self.added.search
         for text in texts:
             low = text.lower()
-            if not (low.isascii() and low.isprintable() or plain(low)):
+            if not text:
+                out.append(b"")
+            elif not (low.isascii() and low.isprintable() or plain(low)):
                 out.append(None)
             elif low.isalpha():
                 out.append(known.get(low) or self.piece(low))
             elif added(low):
                 out.append(None)
             else:
-                out.append([x for piece in find(low) for x in known.get(piece) or self.piece(piece)])
+                out.append(b"".join([known.get(piece) or self.piece(piece) for piece in find(low)]))
         rest = [k for k, ids in enumerate(out) if ids is None]
         for k, ids in zip(rest, self.library([texts[k] for k in rest]), strict=True):
             out[k] = ids
         return out
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
         if len(self.number) > WORDS:
             self.reset()
-        split = [t.encode().split() for t in texts]
-        words = list(chain.from_iterable(split))
+        # Arrow parts and tells the words; Python sees each once. Blank ends give empty words, which have no ids.
+        split = pc.ascii_split_whitespace(texts)
+        told = split.flatten().dictionary_encode()
+        words = told.dictionary.to_pylist()
         number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(number < 0).tolist()
-        if missing:
-            new = list(dict.fromkeys([words[k] for k in missing]))
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new = [words[k] for k in missing.tolist()]
             ids = self.new_words(new)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
             self.begin = np.append(self.begin, len(self.flat) + np.cumsum(lengths) - lengths)
             self.length = np.append(self.length, lengths)
-            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), self.kind, int(lengths.sum())))
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            number[missing] = [self.number[words[k]] for k in missing]
+            self.flat = np.append(self.flat, np.frombuffer(b"".join(ids), self.kind))
+            number[missing] = np.arange(len(self.number), len(self.number) + len(new))
+            self.number.update(zip(new, number[missing].tolist(), strict=True))
         # Each word's ids follow those of the word before.
+        number = number[np.array(told.indices)]
         n = self.length[number]
         stop = np.cumsum(n)
         where = np.repeat(self.begin[number] - (stop - n), n) + np.arange(int(n.sum()))
-        until = np.append(0, stop)[np.cumsum([0, *map(len, split)])]
+        until = np.append(0, stop)[np.append(0, np.cumsum(np.array(split.value_lengths(), np.int64)))]
         return self.flat[where], np.diff(until)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        ids, lengths = self.encode_all(texts)
+        ids, lengths = self.encode_all(pa.array(texts, pa.string()))
         yield from np.split(ids, np.cumsum(lengths)[:-1])
 
 
@@ -234,6 +240,14 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def parts_of(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """The texts in slices of about so many bytes; a longer text is one of its own."""
+    piece = np.cumsum(np.array(pc.binary_length(texts), np.int64)) // size
+    edges = [*np.flatnonzero(np.diff(piece, prepend=-1)).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):  # noqa: B905
+        yield texts.slice(a, b - a)
+
+
 STAGED = "doc_id long, file long, nth long, n_tokens long, chunks array<struct<digest:binary,place:long,size:int>>"
 CHUNKS = "digest binary, pack long, offset long, size int"
 RECIPES = (
@@ -272,12 +286,12 @@ def build(docs: DataFrame, tokenizer_path: str, end_id: int, store: str) -> None
         place = count = 0
         with where.open_output_stream(path) as raw, zstandard.ZstdCompressor(level=1).stream_writer(raw, closefd=False) as out:
             for batch in small(batches, ROWS):
-                texts = [t or "" for t in batch.column(1).to_pylist()]
+                texts = pc.fill_null(batch.column(1), "")
                 n_tokens, n_chunks, digests, places, sizes = [], [], [], [], []
                 # Digests of this batch's chunks: a copy of one needs no second place in the staging pack.
                 seen: dict[bytes, int] = {}
-                for a, b in slices(texts, CHUNK):
-                    ids, lengths = use.encode_all(texts[a:b])
+                for part in parts_of(texts, CHUNK):
+                    ids, lengths = use.encode_all(part)
                     stops = np.cumsum(lengths)
                     ids = np.insert(ids, stops, end_id)
                     stops += np.arange(1, len(stops) + 1)
