@@ -137,3 +137,73 @@ def test_collections_and_logs(spark, tmp_path):
     log = str(tmp_path / "log")
     io.append_events(spark.createDataFrame([("llm", "failure", "")], "component string, event string, reason string"), log)
     assert io.events(spark, log).first()["reason"] is None
+
+
+def test_trigram_pairs_against_brute_force(spark):
+    import random
+
+    from textloom.functions.text import trigrams
+    from textloom.operators import lexical
+
+    pick = random.Random(4)
+    names = sorted({"".join(pick.choices("abc ", k=pick.randrange(1, 12))) for _ in range(120)})
+    df = spark.createDataFrame([(k, n) for k, n in enumerate([*names, None])], "id long, name string")
+    sets = {r["id"]: set(r["g"]) for r in df.where("name IS NOT NULL").select("id", trigrams(F.col("name")).alias("g")).collect()}
+    for least in (0.3, 0.5, 0.92):
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-12 and sets[a] & sets[b]}
+        got = lexical.trigram_pairs(df, df, trigrams, least, ascending=True).collect()
+        assert len(got) == len(want) and {(r["left_id"], r["right_id"]) for r in got} == want
+
+
+def test_structured_answers_of_all_kinds(spark):
+    from textloom.operators.structured import COURSE, structured_answers
+
+    matrix = [{"semestre": "1º Semestre", "nome": "Cálculo", "Cr.": "4"}, {"semestre": "2º Semestre", "nome": "Redes", "Cr.": "2"}, {"nome": "Livre", "Cr.": "4"}]
+    row = (1, "Engenharia Civil", "graduação", "http://c/1", matrix, [("Ana", "IFM", None, "http://a"), (None, None, None, None)], [("Redes", ["Ana", "Bia"], "T1", "30", None)])
+    courses = spark.createDataFrame([row, (2, "Letras", None, None, None, None, None)], f"id long, title string, {COURSE}")
+    texts = ["matriz curricular do curso de engenharia civil", "disciplinas do 2º semestre do curso de engenharia civil", "disciplinas de 4 créditos do curso de engenharia civil",
+             "professores do curso de engenharia civil?", "turmas ofertadas do curso de engenharia civil", "onde fica a reitoria?", None, "professores do curso de letras"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    got = {r["query_id"]: r for r in structured_answers(asked, courses).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 7]
+    head = "Curso: Engenharia Civil (graduação)\nURL: http://c/1\n"
+    assert got[0]["context"] == head + "=== MATRIZ CURRICULAR COMPLETA ===\n\n1º Semestre:\n- Cálculo | Créditos: 4\n\n2º Semestre:\n- Redes | Créditos: 2\n\nSem semestre:\n- Livre | Créditos: 4"
+    assert got[1]["context"] == head + "=== DISCIPLINAS DO 2º SEMESTRE ===\n- Redes | Créditos: 2"
+    assert got[2]["context"] == head + "=== DISCIPLINAS COM 4 CRÉDITOS ===\n\n1º Semestre:\n- Cálculo | Créditos: 4\n\nSem semestre:\n- Livre | Créditos: 4"
+    assert got[3]["context"] == head + "=== CORPO DOCENTE ===\n  - Ana (IFM) | Perfil: http://a"
+    assert got[4]["context"] == head + "=== TURMAS OFERTADAS ===\n  - Redes | Prof: Ana, Bia | Turma T1 | Vagas: 30"
+    assert got[7]["context"].endswith("=== CORPO DOCENTE ===\n") and got[7]["sources"] is None
+
+
+def test_odd_markup_nulls_and_empties(spark):
+    import numpy as np
+
+    from textloom.functions import pages
+    from textloom.functions.text import capped_json, replaced_section
+    from textloom.operators import cache, evaluate, search
+
+    html = """<TITLE lang="pt">\n A </TITLE> <a class='x>y' HREF='/b.html#z'>1</a><A href=c.pdf?x=1>2</A><a href="http://o.org/q/b">3</a><abbr href="no">"""
+    df = spark.createDataFrame([("http://h.org/a/", html), ("http://h.org/", None)], "url string, html string")
+    assert [r[0] for r in df.select(F.trim(pages.page_title(F.col("html")), F.lit("\n "))).collect()] == ["A", None]
+    assert df.select(pages.page_links(F.col("html"))).first()[0] == ["/b.html#z", "c.pdf?x=1", "http://o.org/q/b"]
+    assert {r[0] for r in pages.listed_links(df, "b").collect()} == {"http://h.org/b.html", "http://o.org/q/b"}
+    assert pages.listed_links(df, "c.pdf").count() == 0
+    texts = spark.createDataFrame([("a b", None), (None, None), ("a b", "b a")], "x string, y string")
+    assert [r[0]["f1"] for r in texts.select(evaluate.rouge_l(F.col("x"), F.col("y"))).collect()] == [0.0, 0.0, 0.5]
+    empty = spark.createDataFrame([], "id long, embedding array<double>")
+    index, centres = search.ann_index(empty, 4)
+    assert index.count() == 0 and len(centres) == 0
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    index, centres = search.ann_index(some, 2)
+    assert {r["id"]: r["cell"] is None for r in index.collect()} == {1: False, 2: True, 3: False}
+    found = search.ann(some.where("id = 1").withColumnRenamed("id", "query_id"), index, centres, 2, 2).collect()
+    assert [r["id"] for r in sorted(found, key=lambda r: r["rank"])] == [1, 3]
+    assert search.ann(some.withColumnRenamed("id", "query_id"), empty.withColumn("cell", F.lit(1)), np.empty((0, 0)), 2, 2).count() == 0
+    parts = spark.createDataFrame([("A\n\nDocentes:\nold\n\nnão\n\nFim", "x $0 \\ y"), ("Docentes: old", "n"), ("none", "n")], "t string, b string")
+    assert [r[0] for r in parts.select(replaced_section(F.col("t"), "Docentes:", F.col("b"))).collect()] == ["A\n\nDocentes:\nx $0 \\ y\n\nFim", "Docentes:\nn", "none"]
+    cut = parts.select(capped_json(F.struct("t", "b"), 20)).first()[0]
+    assert cut.endswith("\n... (truncado)") and cut.startswith("{\n")
+    ranks = spark.range(1, 130).select("id", evaluate.truncated_rank(1 / F.col("id")).alias("r")).where("id <> r").collect()
+    assert [r["id"] for r in ranks] == [k for k in range(1, 130) if int(1 / (1 / k)) != k]
+    answers = spark.createDataFrame([("retrieval", "a"), ("retrieval", None), ("title", "a")], "strategy string, route string")
+    assert cache.storable(answers).count() == 1

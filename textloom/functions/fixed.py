@@ -234,3 +234,8 @@ NEGATIVE_WORDS = ("ruim", "péssimo", "horrível", "odiei", "terrível")
 
 # Parts of a page that are no content.
 NOISE_TAGS = ("script", "style", "noscript", "iframe", "nav", "header", "footer", "aside", "form", "button")
+
+# Links to files with these extensions are not followed.
+SKIPPED_EXTENSIONS = (
+    ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".zip", ".rar", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".mp4", ".mp3", ".ico",
+)

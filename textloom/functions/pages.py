@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,13 +184,27 @@ def joined_url(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", x or "") for b, x in zip(base, link, strict=True)])
 
 
+#: A link's start tag, its attributes in any order, and its target in either kind of quotes or none.
+LINK = r"""(?is)<a(?=\s)(?:[^>"']|"[^"]*"|'[^']*')*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def page_title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1))
+    return F.trim(F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1))
 
 
 def page_links(html: Column) -> Column:
     """The targets of all links, as they are written, in order."""
-    return F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), F.lit(1))
+    return F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda x: F.trim(F.trim(x, F.lit("\"'"))))
+
+
+def listed_links(pages: DataFrame, pattern: str, dropped: Sequence[str] = fixed.SKIPPED_EXTENSIONS) -> DataFrame:
+    """link: of pages (url, html) the targets that contain the pattern and whose path has no dropped extension, made
+    absolute, without fragments, each once."""
+    links = pages.select("url", F.explode(page_links(F.col("html"))).alias("link")).where(F.contains("link", F.lit(pattern)))
+    path = F.lower(F.regexp_extract("link", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1))
+    for extension in dropped:
+        links = links.where(~F.endswith(path, F.lit(extension)))
+    return links.select(normalized_url(joined_url("url", "link")).alias("link")).distinct()
 
 
 def normalized_url(url: Column) -> Column:

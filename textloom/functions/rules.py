@@ -35,6 +35,14 @@ def route(query: Column) -> Column:
     return first_found(query, fixed.ROUTES)
 
 
+def route_with(query: Column, provided: Column, least: float = fixed.ROUTE_CONFIDENCE) -> Column:
+    """The rules' collection, else that of a provider's JSON answer {collection, confidence} if it names a known
+    collection and is sure enough, else null (all collections). An answer that is no such JSON counts as none."""
+    answer = F.from_json(provided, "collection string, confidence double")
+    known = answer["collection"].isin(*sorted({name for _, name in fixed.ROUTES} | set(fixed.COLLECTIONS.values())))
+    return F.coalesce(route(query), F.when(known & (answer["confidence"] >= least), answer["collection"]))
+
+
 def collection_of(kind: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in fixed.COLLECTIONS.items() for x in pair])
     return F.coalesce(F.try_element_at(table, kind), F.lit(fixed.GENERAL_COLLECTION))

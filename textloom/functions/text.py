@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -165,3 +167,18 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 def f_measure(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+
+
+def replaced_section(text: Column, heading: str, body: Column) -> Column:
+    """The section that begins with heading has body instead, up to the next paragraph that begins with a capital or
+    to the end. A text without the heading stays as it is."""
+    pattern = F.lit(rf"(?s){re.escape(heading)}.*?(?=\n\n[A-Z]|\z)")
+    # What is put in is no pattern: its backslashes and dollars are escaped.
+    literal = F.regexp_replace(F.concat(F.lit(heading + "\n"), body), r"([\\$])", r"\\$1")
+    return F.regexp_replace(text, pattern, literal)
+
+
+def capped_json(value: Column, most: int = 4000) -> Column:
+    """A struct, map or array as JSON with a line for each field, cut after so many characters, which it then says."""
+    pretty = F.to_json(value, {"pretty": "true", "ignoreNullFields": "false"})
+    return F.when(F.length(pretty) > most, F.concat(F.left(pretty, F.lit(most)), F.lit("\n... (truncado)"))).otherwise(pretty)

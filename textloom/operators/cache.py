@@ -42,6 +42,12 @@ def fuzzy_hits(queries: DataFrame, entries: DataFrame, least: float = fixed.CACH
     )
 
 
+def storable(answers: DataFrame) -> DataFrame:
+    """Of answers with their strategy and route those that the cache may keep: retrieved ones with a route. Blocked,
+    cached, looked-up and structured answers, and those from all collections, are made anew each time."""
+    return answers.where((F.col("strategy") == "retrieval") & F.col("route").isNotNull())
+
+
 def kept(entries: DataFrame, most: int = fixed.CACHE_MOST_ENTRIES + 1) -> DataFrame:
     """The newest entries; in the long run one more than the limit stays, as room is made before an entry is added."""
     return entries.orderBy(F.desc("created_at"), F.desc("entry_id")).limit(most)

@@ -35,6 +35,30 @@ def ranking_quality(details: DataFrame) -> DataFrame:
     )
 
 
+def truncated_rank(reciprocal: Column) -> Column:
+    """The rank that int(1 / rr) gives. In floating point it is one too small at some ranks, 93 the first."""
+    return F.when(reciprocal > 0, F.floor(1 / reciprocal).cast("int")).otherwise(0)
+
+
+def compared(results: dict[str, DataFrame], wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """config, queries, mrr, recall, precision: the quality of each configuration's results, side by side.
+
+    results: of each configuration query_id, doc_id, rank. wanted: query_id, text. docs: doc_id, text. A question
+    without any result counts in all means.
+    """
+    parts = []
+    for name, found in results.items():
+        joined = wanted.select("query_id", F.col("text").alias("wanted")).join(found.select("query_id", "doc_id", "rank"), "query_id", "left")
+        joined = joined.join(docs.select("doc_id", "text"), "doc_id", "left")
+        relevant = F.coalesce(relevant_by_text(F.col("text"), F.col("wanted")), F.lit(False))
+        quality = ranking_quality(ranking_details(joined.select("query_id", "rank", relevant.alias("relevant"))))
+        parts.append(quality.select(F.lit(name).alias("config"), *quality.columns))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def recall_at(relevant: Column, returned: Column, k: int) -> Column:
     """The share of relevant ids among the first k returned; 0 if none is relevant."""
     hits = F.size(F.filter(F.slice(returned, 1, max(k, 0)), lambda x: F.array_contains(relevant, x)))
@@ -67,8 +91,8 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def rouge_l(candidate: Column, reference: Column) -> Column:
-    """A struct of precision, recall and f1 of the longest common subsequence of words."""
-    a, b = ascii_tokens(candidate), ascii_tokens(reference)
+    """A struct of precision, recall and f1 of the longest common subsequence of words. Null counts as empty."""
+    a, b = ascii_tokens(F.coalesce(candidate, F.lit(""))), ascii_tokens(F.coalesce(reference, F.lit("")))
     common = _common(a, b)
     precision = F.when(F.size(a) > 0, common / F.size(a)).otherwise(0.0)
     recall = F.when(F.size(b) > 0, common / F.size(b)).otherwise(0.0)

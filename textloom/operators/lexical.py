@@ -20,22 +20,27 @@ def bm25(
     terms count each time. Documents without any of a query's terms are not ranked. Ties to nine decimals go to
     the smaller doc_id. Only postings of terms that some query has are joined.
     """
-    token = docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
-    postings = token.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lengths = docs.select("doc_id", F.size(tokenize(F.coalesce("text", F.lit("")))).alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    words = docs.select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("words"))
+    corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
+    # A document names each of its terms once, so terms are counted where the documents are read.
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     # One row each, so these joins broadcast a row.
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus))
+    df = df.join(F.broadcast(corpus))
     idf = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "avgdl")
     mean = idf.agg(F.avg("raw").alias("mean"))
     idf = idf.join(F.broadcast(mean)).select(
         "term", "avgdl", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")
     )
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(idf, "term")
+    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    # Only postings of asked terms are made: others never leave the task that reads them.
+    token = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    token = token.join(asked.select("term").distinct(), "term", "left_semi")
+    postings = token.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    asked = asked.join(idf, "term")
     k1, b = fixed.BM25_K1, fixed.BM25_B
     tf, share = F.col("tf"), 1 - b + b * F.col("dl") / F.col("avgdl")
-    scored = asked.join(postings, "term").join(lengths, "doc_id")
+    scored = asked.join(postings, "term")
     weight = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * share)
     scores = scored.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
     return ranked(scores, k)
@@ -57,28 +62,56 @@ def searchable_terms(terms: list[str]) -> list[str]:
     return [t for t in terms if len(t) >= 4] or terms
 
 
-def trigram_pairs(left: DataFrame, right: DataFrame, grams: Callable[[Column], Column], least: float) -> DataFrame:
-    """left_id, right_id, similarity of the names (id, name) whose trigram sets have at least this Jaccard index.
+def trigram_pairs(
+    left: DataFrame, right: DataFrame, grams: Callable[[Column], Column], least: float, ascending: bool = False
+) -> DataFrame:
+    """left_id, right_id, similarity of the names (id, name; ids once each) whose trigram sets have at least this
+    Jaccard index; with ascending only pairs with left_id < right_id.
 
-    Candidates share a trigram and have sizes that allow the index; no pair without a common trigram is made.
+    A set-similarity join: trigrams are ordered by how many names have them, rarest first. Sets of n trigrams that
+    are similar enough share one of their n - ceil(least * n) + 1 rarest (prefix filter), have sizes that allow
+    it (length filter), and enough trigrams from there on (positional filter). What passes is counted in full.
     """
-    a = left.select(F.col("id").alias("left_id"), grams(F.col("name")).alias("a"))
-    b = right.select(F.col("id").alias("right_id"), grams(F.col("name")).alias("b"))
-    a = a.select("left_id", F.size("a").alias("na"), F.explode("a").alias("gram"))
-    b = b.select("right_id", F.size("b").alias("nb"), F.explode("b").alias("gram"))
-    sizes = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
-    common = a.join(b, "gram").where(sizes).groupBy("left_id", "right_id").agg(
-        F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb")
-    )
-    similarity = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return common.select("left_id", "right_id", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    a = left.select(F.col("id").alias("left_id"), F.array_distinct(grams(F.col("name"))).alias("a"))
+    b = right.select(F.col("id").alias("right_id"), F.array_distinct(grams(F.col("name"))).alias("b"))
+    every = a.select(F.explode("a").alias("gram")).unionAll(b.select(F.explode("b").alias("gram")))
+    counts = every.groupBy("gram").agg(F.count("*").alias("n"))
+
+    def sorted_sets(sets: DataFrame, id: str, name: str) -> DataFrame:
+        each = sets.select(id, F.explode(name).alias("gram")).join(counts, "gram")
+        found = each.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("by"))
+        return found.select(id, F.transform("by", lambda x: x["gram"]).alias(name), F.size("by").alias(f"n{name}"))
+
+    a, b = sorted_sets(a, "left_id", "a"), sorted_sets(b, "right_id", "b")
+
+    def prefixes(sets: DataFrame, id: str, name: str, place: str) -> DataFrame:
+        n = F.col(f"n{name}")
+        prefix = F.slice(name, F.lit(1), (n - F.ceil(least * n - 1e-9) + 1).cast("int"))
+        return sets.select(id, n, F.posexplode(prefix).alias(place, "gram"))
+
+    na, nb = F.col("na"), F.col("nb")
+    fits = F.least(na, nb) >= least * F.greatest(na, nb) - 1e-9
+    needed = F.ceil(least / (1 + least) * (na + nb) - 1e-9)
+    fits = fits & (1 + F.least(na - 1 - F.col("i"), nb - 1 - F.col("j")) >= needed)
+    if ascending:
+        fits = fits & (F.col("left_id") < F.col("right_id"))
+    # The filters are met by a pair's first common trigram; later ones can only be stricter, so pairs are told apart after.
+    pairs = prefixes(a, "left_id", "a", "i").join(prefixes(b, "right_id", "b", "j"), "gram").where(fits)
+    pairs = pairs.select("left_id", "right_id").distinct()
+    both = pairs.join(a, "left_id").join(b, "right_id")
+    common = F.size(F.array_intersect("a", "b"))
+    counted = both.select("left_id", "right_id", (common / (na + nb - common)).alias("similarity"))
+    return counted.where(F.col("similarity") >= least)
 
 
 def title_lookup(
-    queries: DataFrame, titles: DataFrame, k: int = fixed.TITLE_TOP_K, least: float = fixed.TITLE_THRESHOLD
+    queries: DataFrame, titles: DataFrame, k: int = fixed.TITLE_TOP_K, least: float = fixed.TITLE_THRESHOLD, others: bool = False
 ) -> DataFrame:
-    """query_id, doc_id, similarity, rank of the titles (id, name) most like each query (id, name)."""
+    """query_id, doc_id, similarity, rank of the titles (id, name) most like each query (id, name); with others only
+    titles of other ids."""
     found = trigram_pairs(queries, titles, word_trigrams, least).toDF("query_id", "doc_id", "similarity")
+    if others:
+        found = found.where("query_id <> doc_id")
     return ranked(found, k, "similarity")
 
 

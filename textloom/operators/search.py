@@ -115,11 +115,17 @@ def centroids(corpus: DataFrame, by: str) -> DataFrame:
 def ann_index(corpus: DataFrame, cells: int, sample_rows: int = 20_000, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
     """An inverted-file index: every row of the corpus with its cell, and the cells' centres.
 
-    The centres come from k-means on a bounded sample (sample_rows, by the hash of the id); every row is indexed.
+    The centres come from k-means on a bounded sample (sample_rows, by the hash of the id); every row is indexed, but
+    rows without a vector have no cell. An empty table has no centres.
     """
-    total = max(corpus.count(), 1)
-    chance = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0 < sample_rows / total
-    drawn = corpus.where(chance).select("embedding").limit(2 * sample_rows).toArrow().column(0)
+    usable = corpus.where("embedding IS NOT NULL AND size(embedding) > 0")
+    total = max(usable.count(), 1)
+    # Half as many again as asked for, so that the least hashes among them are those of the whole table.
+    chance = F.pmod(F.xxhash64("id"), F.lit(1_000_003))
+    drawn = usable.select("embedding", chance.alias("h"), "id").where(chance < 1.5 * sample_rows / total * 1_000_003)
+    drawn = drawn.orderBy("h", "id").limit(sample_rows).select("embedding").toArrow().column(0)
+    if not len(drawn):
+        return corpus.withColumn("cell", F.lit(None).cast("int")), np.empty((0, 0))
     points = np.stack(drawn.to_numpy(zero_copy_only=False)).astype(np.float64)
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
     random = np.random.default_rng(seed)
@@ -140,8 +146,13 @@ def nearest_cells(vector: Column, centres: np.ndarray, n: int) -> Column:
     def cells(vectors):
         import pandas as pd
 
-        x = np.stack(vectors.to_numpy()).astype(np.float64)
-        return pd.Series(list(np.argsort(-(x @ centres.T), axis=1)[:, :n].astype(np.int32)))
+        out: list[np.ndarray | None] = [None] * len(vectors)
+        there = [k for k, v in enumerate(vectors) if v is not None and len(v)]
+        if there and len(centres):
+            x = np.stack([vectors.iloc[k] for k in there]).astype(np.float64)
+            for k, near in zip(there, np.argsort(-(x @ centres.T), axis=1)[:, :n].astype(np.int32), strict=True):
+                out[k] = near
+        return pd.Series(out, index=vectors.index)
 
     return cells(vector)
 

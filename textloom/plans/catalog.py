@@ -10,6 +10,7 @@ from . import (  # noqa: F401  importing registers
     page_queries,
     reliability_queries,
     rule_queries,
+    structured_queries,
     vector_queries,
 )
 from .registry import ORACLES, QUERIES

@@ -222,7 +222,7 @@ def keyword_union_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def trigram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("id"), F.col("p_name").alias("name")).distinct()
-    found = lexical.trigram_pairs(names, names, trigrams, 0.3).where("left_id < right_id")
+    found = lexical.trigram_pairs(names, names, trigrams, 0.3, ascending=True)
     return found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -234,15 +234,14 @@ WORD_TRIGRAMS = r"""
     s AS (
         SELECT q.id AS query_id, d.id AS doc_id, d.name AS doc_name,
                len(list_intersect(q.g, d.g)) / len(list_distinct(list_concat(q.g, d.g))) AS s
-        FROM g q, g d WHERE q.name LIKE 'small%' AND d.name NOT LIKE 'small%')"""
+        FROM g q, g d WHERE q.id <> d.id)"""
 NAMES = "names AS (SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name)"
 
 
 def title_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Part names that begin with `small` as questions, the others as titles."""
+    """Every part name as a question, and as a title of other names."""
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-    small = F.col("name").startswith("small")
-    return names.where(small), names.where(~small)
+    return names, names
 
 
 @query(
@@ -253,7 +252,7 @@ def title_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     SELECT query_id, doc_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 3""",
 )
 def pgtrgm_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexical.title_lookup(*title_sides(spark, sf_dir))
+    found = lexical.title_lookup(*title_sides(spark, sf_dir), others=True)
     return found.select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -271,7 +270,7 @@ def pgtrgm_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def entity_best_tie_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, titles = title_sides(spark, sf_dir)
-    found = lexical.title_lookup(asked, titles, k=5, least=0.3)
+    found = lexical.title_lookup(asked, titles, k=5, least=0.3, others=True)
     found = found.join(titles.select(F.col("id").alias("doc_id"), "name"), "doc_id")
     picked = lexical.best_in_tie_band(found, F.col("name").endswith("ring"))
     return picked.select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"))
