@@ -67,6 +67,7 @@ def test_near_groups_of_many_variants(spark):
 
 def test_blocks_of_a_bucket_agree(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "HUB", 5)
     test_near_groups_of_many_variants(spark)
 
 

@@ -37,8 +37,8 @@ PERCENT = 80
 PERMUTATIONS, ROWS = 120, 6
 #: Permutations of a sketch, and how far under the threshold it rules pairs out.
 SKETCH, SIGMAS = 960, 5.2
-#: Classes in a block of sketches.
-BLOCK = 1024
+#: Classes in a block of sketches, and classes that are paired with one.
+BLOCK, HUB = 1024, 256
 #: Shingles hashed at a time; bounds memory only.
 CHUNK = 2048
 
@@ -129,6 +129,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
+def stars(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: in each bucket the pairs of its smallest class and the others that their sizes don't rule out.
+
+    In a bucket of over HUB classes these are dealt to groups: classes are paired with their group's smallest, and
+    these with the bucket's, so no class is in very many pairs. members: band, rep, n, hub, n_hub, size.
+    """
+    few = members.where(F.col("size") <= HUB).select(F.col("hub").alias("a"), F.col("n_hub").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+    # Powers of two, so that a class is in one and the same group in buckets of about one size.
+    groups = F.pow(F.lit(2), F.ceil(F.log2(F.col("size") / HUB))).cast("long")
+    many = members.where(F.col("size") > HUB).withColumn("part", F.pmod(F.xxhash64("rep"), groups))
+    heads = many.groupBy("band", "hub", "n_hub", "part").agg(F.min("rep").alias("head"), F.min_by("n", "rep").alias("n_head"))
+    inner = many.join(heads.select("band", "part", "head", "n_head"), ["band", "part"]).select("head", "n_head", "rep", "n")
+    pairs = few.union(inner).union(heads.select("hub", "n_hub", "head", "n_head")).where("a <> b")
+    # Sets of too different sizes can't be linked, so a set is never sent to a much smaller one.
+    return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+
+
 def sketches(sets: DataFrame) -> DataFrame:
     """rep, sketch."""
 
@@ -200,8 +217,10 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     )
     classes = written(classes, "classes")  # stored, so numbers stay
     spread = classes.select("rep", "n", F.posexplode("bands").alias("nth", "band"))
-    shared = spread.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("size"))
-    shared = shared.where("hub <> last").select("band", "hub", "size")
+    shared = spread.groupBy("band").agg(
+        F.min("rep").alias("hub"), F.min_by("n", "rep").alias("n_hub"), F.max("rep").alias("last"), F.count("*").alias("size")
+    )
+    shared = shared.where("hub <> last").drop("last")
     members = written(spread.join(shared, "band"), "band-members")
     # The same plan at every size: texts go by doc_id to the list of those that share a bucket.
     needed = members.select("rep").distinct()
@@ -212,11 +231,7 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # Rows that repeat a document have one text.
     texts = texts.groupBy("id", "key", "rep").agg(F.max("text").alias("text"))
     sets = written(shingle_sets(texts, size), "shingle-sets")
-    sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("n_hub"))
-    stars = members.where("rep <> hub").groupBy("hub", "rep").agg(F.max("n").alias("n")).join(sizes, "hub")
-    # Sets of too different sizes can't be linked, so a hub's set is hardly larger than the one that it is sent to.
-    stars = stars.where(100 * F.least("n", "n_hub") >= percent * F.greatest("n", "n_hub"))
-    links = written(confirmed(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")), sets, percent), "star-links")
+    links = written(confirmed(stars(members, percent), sets, percent), "star-links")
     labels = components(links)
     labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select(
         "band", "nth", "rep", "n", "size", F.coalesce("component", "rep").alias("component")
