@@ -16,6 +16,7 @@ the same way, but for those that can't stand in another block, as one of their b
 
 from __future__ import annotations
 
+import gc
 import io
 from collections.abc import Iterator
 
@@ -320,6 +321,7 @@ def scored(docs: DataFrame, held_out, priors: tuple[float, float] = (PRIOR, TRIG
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         ((_, data),) = contents(table, folder)
+        gc.disable()  # the automaton has no cycles, and its many arcs are slow to go through
         found, block = unpack_block(data)
         first = np.array(answers.column("kind"), np.int64) != TRIGRAM
         counts = answered(block, found, answers.filter(pa.array(first)))
@@ -330,6 +332,9 @@ def scored(docs: DataFrame, held_out, priors: tuple[float, float] = (PRIOR, TRIG
         automaton = BackoffAutomaton(block, words, counts[BIGRAM][0], third, total, distinct, priors, least)
         base = np.log10((words.astype(np.float64) + 1) / (total + distinct + 1))[block.word]
         known = np.add.reduceat((words > 0)[block.word].astype(np.int64), block.firsts)
+        scores = [automaton.score(x.tolist()) for x in np.split(block.word, block.firsts[1:])]
+        del automaton
+        gc.enable()
         n = len(block.lengths)
         return pa.table(
             {
@@ -339,7 +344,7 @@ def scored(docs: DataFrame, held_out, priors: tuple[float, float] = (PRIOR, TRIG
                 "n_known": pa.array(known, pa.int64()),
                 "train_tokens": pa.array([total] * n, pa.int64()),
                 "base_score": pa.array(np.add.reduceat(base, block.firsts), pa.float64()),
-                "score": pa.array([automaton.score(x.tolist()) for x in np.split(block.word, block.firsts[1:])], pa.float64()),
+                "score": pa.array(scores, pa.float64()),
             }
         )
 
