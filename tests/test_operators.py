@@ -207,3 +207,51 @@ def test_odd_markup_nulls_and_empties(spark):
     assert [r["id"] for r in ranks] == [k for k in range(1, 130) if int(1 / (1 / k)) != k]
     answers = spark.createDataFrame([("retrieval", "a"), ("retrieval", None), ("title", "a")], "strategy string, route string")
     assert cache.storable(answers).count() == 1
+
+
+def test_whole_records_of_pages(spark):
+    import json
+
+    from textloom.operators.records import all_records
+
+    card = lambda **f: "<div class='ficha-dados'>" + "".join(f"<p class='ficha-label'>{k}:</p><p class='ficha-campo'>{v}</p>" for k, v in f.items()) + "</div>"
+    course = (
+        "<h1>Engenharia</h1>" + card(Grau="graduação", Unidade="CENG", Extra="x")
+        + "<div id='informacoes'><div class='accordion'><h3>Objetivos</h3><div class='accordion-content'>Formar gente</div></div></div>"
+        "<div id='curriculo'><h3 class='cor-fundo'>1º Semestre</h3><div data-content='1'><table><tr><th>Código</th><th>Disciplina / Pré-requisitos</th><th>Caráter</th></tr>"
+        "<tr><td>11</td><td><a href='/disciplinas/cod/11'>Cálculo</a></td><td>OB</td></tr></table></div>"
+        "<h3 class='cor-fundo'></h3><table><tr><th>Código</th><th>Disciplina / Pré-requisitos</th></tr><tr><td>12</td><td>Redes</td></tr></table></div>"
+        "<table id='professores'><tr><td class='h-card'><a class='u-url' href='/servidores/id/1'><span class='p-name'>Ana</span> <span class='p-org'>IFM</span></a></td></tr></table>"
+        "<div id='turmas'><table><tr><th>Disciplina</th><th>Turma</th><th>Vagas</th><th>Matric.</th></tr><tr><td><a href='/disciplinas/cod/11'>Cálculo</a>"
+        "<span class='tabela-detalhe-info'>Professor Regente: Bia</span><table><tr><td>seg</td></tr></table></td><td>T1</td><td>40</td><td>38</td></tr></table></div>"
+    )
+    person = card(Nome="Ana", Cargo="Docente") + (
+        "<div id='lattes'><a href='http://lattes.cnpq.br/1'>ver</a><h3>Resumo</h3><p>Estuda redes.</p><h3>Formação</h3><p>Doutora</p></div>"
+        "<div id='projetos'><a href='/projetos/id/7#x'>Rios</a><a href='/outro'>não</a></div>"
+    )
+    unit = "<h1>Centro</h1>" + card(Sigla="CE") + "<div id='telefones'>Fones (53) 3921-1401 e 53 99999-1234</div><div id='quadro'><ul><li>Ana</li><li>Bia</li></ul></div><div id='estrutura'>Dois setores</div>"
+    old = card(Nome="Velho", Situação="Concluído")
+    new = card(Nome="Novo", Status="Ativo") + "<div id='equipe'><table><tr><th>Nome</th><th>Papel</th></tr><tr><td>Ana</td><td>chefe</td></tr></table></div><div id='financeiro'>R$ 5</div>"
+    subject = card(Disciplina="Redes") + "<div id='informacoes'><div class='accordion'><h4>Ementa</h4><div></div><div>Camadas</div></div></div><div id='equivalencias'><ul><li>12</li></ul></div>"
+    rows = [("http://h/c", course, "curso"), ("http://h/s", person, "servidor"), ("http://h/u", unit, "unidade"), ("http://h/o", old, "projeto"),
+            ("http://h/n", new, "projeto"), ("http://h/d", subject, "disciplina"), ("http://h/g", "<h2>A</h2><p>b</p>", "gestao"), (None, None, "sobre"), ("http://h/x", "y", "unknown"), ("http://h/z", None, None)]
+    found = all_records(spark.createDataFrame(rows, "url string, html string, k string"), F.col("k"), F.lit("2025-01-01").cast("date")).collect()
+    assert sorted(r["tipo"] for r in found) == ["curso", "disciplina", "gestao", "projeto", "servidor", "sobre", "unidade"]
+    r = {x["tipo"]: x for x in found}
+    data = {k: json.loads(x["dados_completos"]) for k, x in r.items()}
+    c = data["curso"]
+    assert c["matriz_curricular"] == [{"semestre": "1º Semestre", "Código": "11", "Disciplina / Pré-requisitos": "Cálculo", "Disciplina / Pré-requisitos_url": "http://h/disciplinas/cod/11", "Caráter": "OB"},
+                                      {"semestre": "2º Semestre", "Código": "12", "Disciplina / Pré-requisitos": "Redes"}]
+    assert c["professores"] == [{"nome": "Ana", "unidade": "IFM", "url": "http://h/servidores/id/1", "lattes": ""}]
+    assert c["turmas_ofertadas"] == [{"disciplina": "Cálculo", "disciplina_url": "http://h/disciplinas/cod/11", "professores": ["Bia"], "turma": "T1", "vagas": "40", "matriculados": "38"}]
+    assert (c["objetivos"], c["nivel"], c["Extra"], "Grau" in c, r["curso"]["metadata"]["unidade"]) == ("Formar gente", "graduação", "x", False, "CENG")
+    assert "\n  - Ana (IFM)\n" in r["curso"]["embedding_text"] and r["curso"]["embedding_text"].endswith("\n  - Cálculo [1º Semestre] (OB)\n  - Redes [2º Semestre] ()")
+    s = data["servidor"]
+    assert (s["curriculo"], s["lattes_url"]) == ("Resumo: Estuda redes.\nFormação: Doutora", "http://lattes.cnpq.br/1")
+    assert s["projetos_vigentes"] == [{"titulo": "Rios", "url": "http://h/projetos/id/7"}]
+    assert r["servidor"]["embedding_text"] == "Professor/Servidor: Ana\nCargo: Docente\n\nResumo:\nEstuda redes."
+    u = data["unidade"]
+    assert (u["telefones"], u["servidores"], r["unidade"]["embedding_text"]) == (["(53) 3921-1401", "53 99999-1234"], ["Ana", "Bia"], "Centro CE Dois setores")
+    assert (r["projeto"]["titulo"], data["projeto"]["equipe"], data["projeto"]["financeiro"]) == ("Novo", ["Ana — chefe"], {"info": "R$ 5"})
+    assert (data["disciplina"]["ementa"], data["disciplina"]["equivalencias"], r["disciplina"]["embedding_text"]) == ("Camadas", ["12"], "Camadas")
+    assert data["gestao"]["secoes"] == {"A": "b"} and r["sobre"]["id"] is None

@@ -48,6 +48,13 @@ class Node:
     def text(self) -> str:
         return cleaned(" ".join(self.texts()))
 
+    @classmethod
+    def around(cls, node: Node) -> Node:
+        """A tree of this node alone."""
+        root = cls("", {})
+        root.children = [node]
+        return root
+
 
 class _Builder(HTMLParser):
     """Builds the tree; noise is left out. Tags that are never closed end with their parents."""

@@ -114,11 +114,23 @@ def is_current(end_date: Column, status: Column, as_of: Column) -> Column:
     )
 
 
-def label_value(labels: Column, *keys: str) -> Column:
-    """A map's value by the first key that it has: as it is, else without parentheses, spacing and case."""
-    plain = lambda k: F.trim(F.regexp_replace(F.regexp_replace(F.lower(k), r"\(.*?\)", ""), r"\s+", " "))
-    loose = F.transform_keys(labels, lambda k, _: plain(k))
-    return F.coalesce(*[c for k in keys for c in (F.try_element_at(labels, F.lit(k)), F.try_element_at(loose, plain(F.lit(k))))])
+def _plain(label: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(label), r"\(.*?\)", ""), r"\s+", " "))
+
+
+def loosely_keyed(labels: Column) -> Column:
+    """The map by its keys without parentheses, spacing and case; of keys that become equal, the first stays."""
+    keys = F.transform(F.map_keys(labels), _plain)
+    firsts = F.filter(F.map_entries(labels), lambda e: F.array_position(keys, _plain(e["key"])) == F.array_position(F.map_keys(labels), e["key"]))
+    return F.transform_keys(F.map_from_entries(firsts), lambda k, _: _plain(k))
+
+
+def label_value(labels: Column, *keys: str, loose: Column | None = None) -> Column:
+    """A map's value by the first key that it has: as it is, else without parentheses, spacing and case.
+
+    loose is `loosely_keyed(labels)` where it is at hand."""
+    loose = loosely_keyed(labels) if loose is None else loose
+    return F.coalesce(*[c for k in keys for c in (F.try_element_at(labels, F.lit(k)), F.try_element_at(loose, _plain(F.lit(k))))])
 
 
 def expanded(text: Column) -> Column:
