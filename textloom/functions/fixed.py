@@ -239,3 +239,8 @@ NOISE_TAGS = ("script", "style", "noscript", "iframe", "nav", "header", "footer"
 SKIPPED_EXTENSIONS = (
     ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".zip", ".rar", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".mp4", ".mp3", ".ico",
 )
+
+# How a text mentions a semester.
+SEMESTER_SYMBOL = r"(\d{1,2})[°ºo]\s*sem(?:estre)?\.?"
+SEMESTER_WORD = rf"({'|'.join(ORDINALS)})\s+sem(?:estre)?\.?"
+SEMESTER_AFTER = r"semestre\s+(\d{1,2})"

@@ -97,9 +97,7 @@ def semester(text: Column) -> Column:
     """'4º Semestre' and the like. The first kind of mention decides, even where its number is none we know."""
     label = lambda n: F.when(n.between(1, 10), F.concat(n.cast("string"), F.lit("º Semestre")))
     number = lambda p: label(F.regexp_extract(text, f"(?iu){p}", 1).try_cast("int"))
-    symbol = r"(\d{1,2})[°ºo]\s*sem(?:estre)?\.?"
-    word = rf"({'|'.join(fixed.ORDINALS)})\s+sem(?:estre)?\.?"
-    after = r"semestre\s+(\d{1,2})"
+    symbol, word, after = fixed.SEMESTER_SYMBOL, fixed.SEMESTER_WORD, fixed.SEMESTER_AFTER
     ordinals = F.array(*[F.lit(w) for w in fixed.ORDINALS])
     spelled = label(F.array_position(ordinals, F.lower(F.regexp_extract(text, f"(?iu){word}", 1))).cast("int"))
     return F.when(found(text, symbol), number(symbol)).when(found(text, word), spelled).when(found(text, after), number(after))
