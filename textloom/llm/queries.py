@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, langid, licenses, lm, minhash, substring, tokenstore, warc
+from . import bpe, decontam, exact, langid, licenses, lm, minhash, periodic, substring, tokenstore, warc
 from .common import table
 from .decontam import SLOP
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words, word_count
@@ -66,6 +66,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = periodic.looped(table(spark, sf_dir, "documents"), lambda h: h % 10 == 0)
+    best = F.col("best")
+    return periodic.periodic_runs(texts).select(
+        "doc_id",
+        "n_runs",
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        "runs_sha256",
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_near_dedup": op2_near_dedup,
@@ -77,10 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
-
 def sql_list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
