@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact, langid, licenses, lm, minhash, periodic, substring, tokenstore, warc
+from . import bpe, collocations, decontam, exact, langid, licenses, lm, minhash, periodic, substring, tokenstore, warc
 from .common import table
 from .decontam import SLOP
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words, word_count
@@ -66,6 +66,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = periodic.looped(table(spark, sf_dir, "documents"), lambda h: h % 10 == 0)
     best = F.col("best")
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
+    "op11_collocations": op11_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -192,4 +197,35 @@ ORACLES: dict[str, str] = {
                coalesce(array_to_string(list_sort(list_distinct(list_concat(base.ls, found.ls))), ','), '') AS labels,
                CASE WHEN n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
         FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op11_collocations": rf"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        d AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        f AS (
+            SELECT lang, list_slice(w, s, s + k - 1) AS p, count(*) AS a FROM (
+                SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)
+            GROUP BY ALL),
+        totals AS (SELECT lang, sum(a) AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE len(p) > 1 AND a >= 10),
+        parts AS (
+            SELECT lang, p, a, k, list_slice(p, 1, k) AS left_part, list_slice(p, k + 1, len(p)) AS right_part
+            FROM (SELECT *, unnest(range(1, len(p))) AS k FROM c)),
+        cuts AS (
+            SELECT parts.lang, parts.p, parts.a, k, x.a AS l, y.a AS r,
+                   (1000000::HUGEINT * parts.a * parts.a) // (x.a::HUGEINT * y.a) AS score
+            FROM parts JOIN f x ON x.lang = parts.lang AND x.p = left_part JOIN f y ON y.lang = parts.lang AND y.p = right_part),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        longer AS (
+            SELECT lang, p, max(a) AS longest FROM (
+                SELECT lang, list_slice(p, 1, 2) AS p, a FROM c WHERE len(p) = 3
+                UNION ALL SELECT lang, list_slice(p, 2, 3) AS p, a FROM c WHERE len(p) = 3)
+            GROUP BY ALL),
+        ranked AS (
+            SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score
+            FROM best LEFT JOIN longer USING (lang, p) WHERE longest IS NULL OR 100 * longest < 50 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+        FROM ranked JOIN totals USING (lang) QUALIFY rank <= 2000""",
 }
