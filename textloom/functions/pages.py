@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 
 from . import fixed
 
+#: Elements inside one another.
+MAX_DEPTH = 256
 VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
@@ -30,20 +33,23 @@ class Node:
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes, self.children = tag, attributes, []
 
-    def walk(self):
-        yield self
-        for child in self.children:
-            if isinstance(child, Node):
-                yield from child.walk()
+    def parts(self) -> Iterator[Node | str]:
+        """This element and all elements and texts in it, in the order of the page."""
+        ahead: list[Node | str] = [self]
+        while ahead:
+            part = ahead.pop()
+            yield part
+            if isinstance(part, Node):
+                ahead += reversed(part.children)
+
+    def walk(self) -> Iterator[Node]:
+        return (p for p in self.parts() if isinstance(p, Node))
 
     def all(self, *tags: str) -> list[Node]:
         return [n for n in self.walk() if n.tag in tags]
 
     def texts(self) -> list[str]:
-        parts: list[str] = []
-        for child in self.children:
-            parts += child.texts() if isinstance(child, Node) else [child.strip()]
-        return [p for p in parts if p]
+        return [t for t in (p.strip() for p in self.parts() if isinstance(p, str)) if t]
 
     def text(self) -> str:
         return cleaned(" ".join(self.texts()))
@@ -56,40 +62,71 @@ class Node:
         return root
 
 
+class _Open(list):
+    """A stack of tags, or of elements, that knows which tags are in it."""
+
+    def __init__(self):
+        super().__init__()
+        self.tags: Counter[str] = Counter()
+
+    def push(self, item: Node | str) -> None:
+        self.append(item)
+        self.tags[self._tag(item)] += 1
+
+    def pop_to(self, tag: str) -> None:
+        """Takes everything off down to the last one of this tag; nothing if there is none."""
+        while self.tags[tag]:
+            found = self._tag(self.pop())
+            self.tags[found] -= 1
+            if found == tag:
+                return
+
+    @staticmethod
+    def _tag(item: Node | str) -> str:
+        return item.tag if isinstance(item, Node) else item
+
+
 class _Builder(HTMLParser):
-    """Builds the tree; noise is left out. Tags that are never closed end with their parents."""
+    """Builds the tree; noise is left out. Tags that are never closed end with their parents. Elements that are nested
+    deeper than MAX_DEPTH become children of the one at that depth, as in browsers, so no text is lost."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
-        self.open = [self.root]
-        self.skipped: list[str] = []
+        self.open = _Open()
+        self.skipped = _Open()
+
+    @property
+    def last(self) -> Node:
+        return self.open[-1] if self.open else self.root
+
+    @property
+    def parent(self) -> Node:
+        """Where the next element goes."""
+        return self.open[MAX_DEPTH - 1] if len(self.open) >= MAX_DEPTH else self.last
 
     def handle_starttag(self, tag, attrs):
         if self.skipped or tag in fixed.NOISE_TAGS:
             if tag not in VOID:
-                self.skipped.append(tag)
+                self.skipped.push(tag)
             return
-        if tag == "p" and self.open[-1].tag == "p" or tag == "li" and self.open[-1].tag == "li":
-            self.open.pop()
+        if tag in ("p", "li") and self.last.tag == tag:
+            self.open.pop_to(tag)
         node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
+        self.parent.children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self.open.push(node)
 
     def handle_endtag(self, tag):
-        if self.skipped:
-            if tag in self.skipped:
-                while self.skipped.pop() != tag:
-                    pass
-            return
-        if any(n.tag == tag for n in self.open[1:]):
-            while self.open.pop().tag != tag:
-                pass
+        (self.skipped or self.open).pop_to(tag)
 
     def handle_data(self, data):
-        if not self.skipped:
-            self.open[-1].children.append(data)
+        if self.skipped:
+            return
+        last, parent = self.last, self.parent
+        # After an element that became a sibling, text of the one around it goes behind it.
+        behind = last is not parent and parent.children[-1] is not last
+        (parent if behind else last).children.append(data)
 
 
 def parsed(html: str | None) -> Node:
@@ -119,19 +156,18 @@ def labels(root: Node) -> dict[str, str]:
 def headed_sections(root: Node) -> dict[str, str]:
     """Heading to the text up to the next heading."""
     found: dict[str, list[str]] = {}
-    at: list[str | None] = [None]
-
-    def visit(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, Node) and child.tag in ("h2", "h3"):
-                at[0] = child.text()
-                found.setdefault(at[0], [])
-            elif isinstance(child, Node):
-                visit(child)
-            elif at[0] is not None and child.strip():
-                found[at[0]].append(child.strip())
-
-    visit(root)
+    at = None
+    ahead = list(reversed(root.children))
+    while ahead:
+        part = ahead.pop()
+        if isinstance(part, str):
+            if at is not None and part.strip():
+                found[at].append(part.strip())
+        elif part.tag in ("h2", "h3"):
+            at = part.text()
+            found.setdefault(at, [])
+        else:
+            ahead += reversed(part.children)
     return {k: cleaned(" ".join(v)) for k, v in found.items()}
 
 
