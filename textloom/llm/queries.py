@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontam, exact, langid, licenses, lm, minhash, periodic, substring, tokenstore, warc
+from . import bpe, cells, collocations, decontam, exact, langid, licenses, lm, minhash, periodic, substring, tokenstore, warc
 from .common import table
 from .decontam import SLOP
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words, word_count
@@ -70,6 +70,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = periodic.looped(table(spark, sf_dir, "documents"), lambda h: h % 10 == 0)
     best = F.col("best")
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
     "op11_collocations": op11_collocations,
+    "op12_embedding_dedup": op12_embedding_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
