@@ -96,7 +96,7 @@ def test_filters_judge_each_row_by_its_own_text(spark):
 
 
 def license_model(rows):
-    templates = [(label, set(licenses.template_words(t)), 2 * len(data.alnum(t))) for label, t in licenses.TEMPLATES]
+    templates = [(label, set(licenses.template_words(t)), 2 * len(data.alnum(t)), f" {mark} ") for label, t, mark in licenses.TEMPLATES]
     out = []
     for d, t in rows:
         w = data.alnum(t)
@@ -106,16 +106,17 @@ def license_model(rows):
             places = [k for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
             at += places
             base |= {label} if places else set()
-        found, best = set(base), 0.0
+        found, best = set(), 0.0
         for paragraph in re.split(licenses.BLANK_LINE, t or ""):
             have = data.alnum(paragraph)
-            for label, words, block in templates:
+            for label, words, block, mark in templates:
                 if not words <= set(have) and len(words & set(have)) < math.ceil(licenses.THRESHOLD * len(words) - 1e-9):
                     continue
-                most = max(len(set(have[k : k + block]) & words) for k in range(len(have)))
+                most = max(len(set(have[k : k + block]) & words) if mark in f" {' '.join(have[k : k + block])} " else 0 for k in range(len(have)))
                 if most >= math.ceil(licenses.THRESHOLD * len(words) - 1e-9):
                     found.add(label)
                     best = max(best, most / len(words))
+        found = base | {x for x in found if not found & set(licenses.VERSIONS.get(x, ()))}
         out.append((d, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(found)), 1.0 if base else best))
     return out
 
@@ -141,6 +142,35 @@ def test_wrapped_notices_are_found(spark):
     )
 
 
+def test_labels_of_licenses_that_are_alike(spark):
+    cc = "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."
+    boost = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display"
+    rows = [
+        (1, cc),
+        (2, "Licensed under the GNU Lesser General Public License, version 3"),
+        (3, "Licensed under the GNU Affero General Public License, version 3"),
+        (4, boost),
+        (5, "Released under the BSD license, MIT and the GPL are others"),
+        (6, cc.replace("-NonCommercial-ShareAlike", "") + "\n\n" + cc.replace("NonCommercial-", "")),
+        (7, "Licensed under the GNU General Public License, version 2. This program is free software: you can redistribute it under the GNU General Public License"),
+        (8, "Licensed under CC BY-NC-SA 4.0."),
+        (9, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(table(spark, rows)).collect()}
+    assert got == {1: "cc-by-nc-sa", 2: "lgpl-3", 3: "agpl-3", 4: "bsl-1", 5: "", 6: "cc-by,cc-by-sa", 7: "gpl-2", 8: "cc-by-nc,cc-by-nc-sa", 9: "mit"}  # 8: "cc by nc" is a phrase of the contract
+    assert got == {r[0]: r[6] for r in license_model(rows)}
+    assert all(r["labels"] == r["base_labels"] for r in licenses.license_scan(table(spark, rows), templates=()).collect())
+
+
+def test_every_notice_has_its_own_label(spark):
+    rows = [(k, f"Before it. {notice}.\n\nAfter it.") for k, (_, notice, _) in enumerate(licenses.TEMPLATES)]
+    phrases = (("no such phrase", "none"),)
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.license_scan(table(spark, rows), phrases).collect()}
+    for k, (label, notice, mark) in enumerate(licenses.TEMPLATES):
+        assert label in got[k] or set(got[k]) & set(licenses.VERSIONS.get(label, ())), notice
+        assert len(got[k]) == 1 and f" {mark} " in f" {' '.join(data.alnum(notice))} "
+
+
 def test_scattered_words_are_no_notice(spark):
     pick = random.Random(2)
     filler = lambda n: " ".join(pick.choices(["river", "stone", "of", "and", "tree"], k=n))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small
@@ -30,6 +30,8 @@ ROWS_PER_LANGUAGE, SAMPLE_BYTES = 1000, 20_000
 #: Bound of the whole sample: with more languages than SAMPLE_ROWS / ROWS_PER_LANGUAGE each gets an equal share of it.
 #: Every language that a label names is learned, so labels must be a set that a driver can hold.
 SAMPLE_ROWS = 40_000
+#: And so many bytes.
+TOTAL_BYTES = 200_000_000
 BUCKET_BITS, DIMENSIONS, LONGEST = 16, 16, 4
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: The share of good texts that a threshold lets fall, and as many standard deviations under a normal mean.
@@ -203,24 +205,27 @@ def thresholds(model: Model, rows: list[tuple[str, str]], random: np.random.Gene
 def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
     """Of each language the `rows` distinct texts with the smallest hashes, or all if there are fewer.
 
-    However often a text is repeated, it counts once. Of a text over SAMPLE_BYTES a piece from its middle is taken.
+    However often a text is repeated, it counts once. Of a text over SAMPLE_BYTES, or over its
+    share of TOTAL_BYTES if that is less, a piece from its middle is taken. What reaches the driver is at most SAMPLE_ROWS texts and
+    TOTAL_BYTES in all, whatever the number of languages; beyond SAMPLE_ROWS languages the commonest are learned.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = usable.select("lang", "h").distinct().groupBy("lang").count().collect()
+    counts = usable.select("lang", "h").distinct().groupBy("lang").count()
+    counts = counts.orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()
     if not counts:
         return []
     rows = max(min(rows, SAMPLE_ROWS // len(counts)), 1)
     # So many more that, as hashes are even, a language hardly ever gets fewer than `rows` of its distinct texts.
     shares = docs.sparkSession.createDataFrame([(r["lang"], (1.2 * rows + 50) / r["count"]) for r in counts], "lang string, share double")
     chance = F.pmod("h", F.lit(1_000_003)) / 1_000_003.0
-    size = SAMPLE_BYTES // 4  # characters have at most four bytes
+    most = min(SAMPLE_BYTES, TOTAL_BYTES // (rows * len(counts)))
+    size = most // 4  # characters have at most four bytes
     middle = F.substring("text", F.floor((F.char_length("text") - size) / 2).cast("int") + 1, F.lit(size))
-    piece = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(middle)
+    piece = F.when(F.octet_length("text") <= most, F.col("text")).otherwise(middle)
     some = usable.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select("lang", "h", chance.alias("chance"), piece.alias("text"))
-    found: dict[str, list[tuple[float, int, str]]] = {}
-    for r in some.groupBy("lang", "h").agg(F.min("chance").alias("chance"), F.min("text").alias("text")).collect():
-        found.setdefault(r["lang"], []).append((r["chance"], r["h"], r["text"]))
-    return [(text, lang) for lang, texts in found.items() for _, _, text in sorted(texts)[:rows]]
+    some = some.groupBy("lang", "h").agg(F.min("chance").alias("chance"), F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "h", "text"))
+    return [(r["text"], r["lang"]) for r in some.withColumn("nth", nth).where(F.col("nth") <= rows).orderBy("lang", "nth").collect()]
 
 
 def train(docs: DataFrame, learn: Column) -> Model | None:

@@ -3,7 +3,8 @@
 A block is a run of a paragraph's words, twice as long as the template that it is held against, so a notice is
 found however it is wrapped and with as many other words between as it has itself, while words scattered over a
 long text or line are none. Blank lines part paragraphs. A template matches a block if at least `threshold` of the
-template's distinct words stand in it, in any order. Blocks are looked for in windows: three times as long as the
+template's distinct words stand in it, in any order, and its mark, consecutive words that notices of other licenses
+don't have, stands in it as it is. A label without a version goes where its license is found with one. Blocks are looked for in windows: three times as long as the
 longest template, beginning as many words apart as it has, so every block lies whole in one. The join finds every
 matching pair without comparing all pairs:
 
@@ -22,12 +23,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM_BREAK, ascii_lower, text_key
+from .notices import TEMPLATES, VERSIONS
 
 #: Phrases of consecutive words and their labels (fixed by the contract).
 PHRASES = (
@@ -36,41 +38,6 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Usual notices of public licenses and our labels for them.
-TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mit", "Released under the MIT License"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2", "You may not use this file except in compliance with the Apache License"),
-    ("gpl-3", "Licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it under the GNU General Public License"),
-    ("lgpl", "Licensed under the GNU Lesser General Public License"),
-    ("agpl", "Licensed under the GNU Affero General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    (
-        "mit",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
-        "to permit persons to whom the Software is furnished to do so, subject to the following conditions",
-    ),
-    (
-        "apache-2",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
-        'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
-    ),
-    (
-        "gpl",
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
-        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
-    ),
-    ("cc-by", "Licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("public-domain", "This is free and unencumbered software released into the public domain"),
-)
-
 #: What parts paragraphs: lines without anything but white space.
 BLANK_LINE = r"\n[ \t\r]*\n"
 
@@ -84,6 +51,10 @@ def spaced(text: Column) -> Column:
     return F.regexp_replace(line, ALNUM_BREAK, " ")
 
 
+def line(words: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
 def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -115,15 +86,19 @@ def word_counts(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
 
 
 def license_blocks(
-    docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD
+    docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
     """Every (window, template) with a block at or above the threshold: doc_id, text_key, paragraph, place,
     template_no, label, containment (that of the best block).
 
-    text_key tells rows with one doc_id apart. Repeated rows give repeated answers' keys once each; null and empty
-    texts have no blocks.
+    templates: label, notice, mark (empty: none). text_key tells rows with one doc_id apart. Repeated rows give
+    repeated answers' keys once each; null and empty texts have no blocks, and without templates there are none.
     """
-    words = [template_words(t) for _, t in templates]
+    if not templates:
+        none = {"paragraph": "int", "place": "int", "template_no": "int", "label": "string", "containment": "double"}
+        keys = docs.select("doc_id", text_key(docs).alias("text_key")).where("false")
+        return keys.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()])
+    words = [template_words(t) for _, t, _ in templates]
     counts = word_counts(docs, sorted({w for ws in words for w in ws}))
     order = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
     words = [sorted(ws, key=order.__getitem__) for ws in words]
@@ -135,8 +110,8 @@ def license_blocks(
     rare = sorted({w for w, _, _ in prefixes})
     index = spark.createDataFrame(prefixes, "word string, template_no int, i int")
     full = spark.createDataFrame(
-        [(k, label, ws, needed[k], 2 * word_count(t)) for k, ((label, t), ws) in enumerate(zip(templates, words, strict=True))],
-        "template_no int, label string, template array<string>, needed int, block int",
+        [(k, label, ws, needed[k], 2 * word_count(t), f" {mark} " if mark else "") for k, ((label, t, mark), ws) in enumerate(zip(templates, words, strict=True))],
+        "template_no int, label string, template array<string>, needed int, block int, mark string",
     )
     ranks = F.create_map(*[F.lit(x) for w, k in order.items() for x in (w, k)])
     vocabulary = F.array(*[F.lit(w) for w in order])
@@ -145,7 +120,7 @@ def license_blocks(
     paragraphs = paragraphs.select(
         "doc_id", "text_key", F.col("pos").alias("paragraph"), F.split(F.trim(spaced(F.col("col"))), " ").alias("words")
     ).where(has_rare)
-    step = max((word_count(notice) for _, notice in templates), default=1)
+    step = max(word_count(notice) for _, notice, _ in templates)
     begins = F.sequence(F.lit(1), F.size("words"), F.lit(step))
     windows = F.transform(begins, lambda k: F.slice("words", k, 3 * step))
     blocks = paragraphs.select("doc_id", "text_key", "paragraph", F.posexplode(windows).alias("place", "words")).where(has_rare)
@@ -168,10 +143,13 @@ def license_blocks(
             >= F.col("needed")
         )
         .where(F.size(F.array_intersect("template", F.transform("known", lambda s: s["word"]))) >= F.col("needed"))
+        .where(F.contains(line(F.col("words")), F.col("mark")))
     )
     # Blocks that begin with a word of the template: others hold no more than the next one of these.
     starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda k: F.array_contains("template", F.get("words", k - 1)))
-    common = F.transform(starts, lambda k: F.size(F.array_intersect("template", F.slice("words", k, F.col("block")))))
+    block = lambda k: F.slice("words", k, F.col("block"))
+    held = lambda k: F.size(F.array_intersect("template", block(k)))
+    common = F.transform(starts, lambda k: F.when(F.contains(line(block(k)), F.col("mark")), held(k)).otherwise(0))
     counted = pairs.withColumn("common", F.array_max(common)).where("common >= needed")
     return counted.select(*keys, "template_no", "label", (F.col("common") / F.size("template")).alias("containment"))
 
@@ -179,12 +157,13 @@ def license_blocks(
 def license_scan(
     docs: DataFrame,
     phrases: Sequence[tuple[str, str]] = PHRASES,
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
+    templates: Sequence[tuple[str, str, str]] = TEMPLATES,
     threshold: float = THRESHOLD,
+    versions: Mapping[str, Sequence[str]] = VERSIONS,
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is 1 for a phrase, else the best containment, else 0. Null and empty texts have no words, no places
+    versions: labels that go where one of the labels listed with them is found. score is 1 for a phrase, else the best containment, else 0. Null and empty texts have no words, no places
     (null first_word and last_word) and empty labels. Rows with one doc_id are told apart by their texts; a
     null doc_id is a document like any other; other columns are ignored.
     """
@@ -220,7 +199,10 @@ def license_scan(
     joined = base.join(
         marks, base["doc_id"].eqNullSafe(marks["id"]) & base["text_key"].eqNullSafe(marks["key"]), "left"
     )
-    labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
+    found = F.coalesce("found", F.array().cast("array<string>"))
+    for general, specific in versions.items():
+        found = F.when(F.arrays_overlap(found, F.array(*map(F.lit, specific))), F.array_remove(found, general)).otherwise(found)
+    labels = F.array_sort(F.array_union("base", found))
     return joined.select(
         "doc_id",
         "n_words",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from . import bpe, cells, collocations, decontam, exact, langid, licenses, lm, minhash, periodic, substring, tokenstore, warc
 from .common import table
 from .decontam import SLOP
-from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words, word_count
+from .licenses import PHRASES, THRESHOLD, template_words, word_count
+from .notices import TEMPLATES, VERSIONS
 
 #: Runs of alphanumeric words in the SQL twins.
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,12 +107,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def sql_list(words: list[str]) -> str:
+def sql_list(words: Sequence[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
 PHRASE_ROWS = ", ".join(f"('{label}', {sql_list(p.split())})" for p, label in PHRASES)
-TEMPLATE_ROWS = ", ".join(f"('{label}', {sql_list(template_words(t))}, {2 * word_count(t)})" for label, t in TEMPLATES)
+TEMPLATE_ROWS = ", ".join(f"('{label}', {sql_list(template_words(t))}, {2 * word_count(t)}, ' {mark} ')" for label, t, mark in TEMPLATES)
+GENERAL_ROWS = ", ".join(f"('{general}', {sql_list(specific)})" for general, specific in VERSIONS.items())
 
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": r"""
@@ -176,7 +178,8 @@ ORACLES: dict[str, str] = {
                    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS w
             FROM documents),
         p(label, ws) AS (VALUES {PHRASE_ROWS}),
-        m(label, ws, block) AS (VALUES {TEMPLATE_ROWS}),
+        m(label, ws, block, mark) AS (VALUES {TEMPLATE_ROWS}),
+        g(label, versions) AS (VALUES {GENERAL_ROWS}),
         places AS (
             SELECT doc_id, label, s - 1 AS place FROM (
                 SELECT doc_id, label, w, ws, unnest(range(1, len(w) - len(ws) + 2)) AS s
@@ -189,14 +192,20 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, regexp_extract_all(paragraph, '{ALNUM}') AS ws
             FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\\n[ \\t\\r]*\\n')) AS paragraph FROM d)),
         likely AS (
-            SELECT doc_id, label, paragraphs.ws AS w, m.ws AS ws, block, ceil({THRESHOLD} * len(m.ws) - 1e-9) AS needed
+            SELECT doc_id, label, paragraphs.ws AS w, m.ws AS ws, block, mark, ceil({THRESHOLD} * len(m.ws) - 1e-9) AS needed
             FROM paragraphs, m WHERE len(list_intersect(m.ws, paragraphs.ws)) >= ceil({THRESHOLD} * len(m.ws) - 1e-9)),
         joined AS (
             SELECT doc_id, label, c / len(ws) AS c FROM (
                 SELECT doc_id, label, ws, needed, len(list_intersect(ws, list_slice(w, s, s + block - 1))) AS c
-                FROM (SELECT *, unnest(range(1, len(w) + 1)) AS s FROM likely))
+                FROM (SELECT *, unnest(range(1, len(w) + 1)) AS s FROM likely)
+                WHERE contains(' ' || array_to_string(list_slice(w, s, s + block - 1), ' ') || ' ', mark))
             WHERE c >= needed),
-        found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(c) AS best FROM joined GROUP BY doc_id)
+        best AS (SELECT doc_id, list(DISTINCT label) AS ls, max(c) AS best FROM joined GROUP BY doc_id),
+        gone AS (
+            SELECT doc_id, list(DISTINCT g.label) AS ls FROM joined, g WHERE list_contains(versions, joined.label) GROUP BY doc_id),
+        found AS (
+            SELECT doc_id, best, list_filter(best.ls, lambda x: gone.ls IS NULL OR NOT list_contains(gone.ls, x)) AS ls
+            FROM best LEFT JOIN gone USING (doc_id))
         SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word,
                coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
                coalesce(array_to_string(list_sort(list_distinct(list_concat(base.ls, found.ls))), ','), '') AS labels,
