@@ -244,3 +244,18 @@ SKIPPED_EXTENSIONS = (
 SEMESTER_SYMBOL = r"(\d{1,2})[°ºo]\s*sem(?:estre)?\.?"
 SEMESTER_WORD = rf"({'|'.join(ORDINALS)})\s+sem(?:estre)?\.?"
 SEMESTER_AFTER = r"semestre\s+(\d{1,2})"
+
+# Vector index: links of a node, and the beam of a search.
+HNSW_LINKS = 16
+HNSW_BEAM = 40
+
+# What marks a link to the next page: words and whole texts of the link, parts of its class.
+NEXT_WORDS = ("próxima", "próximo", "next")
+NEXT_MARKS = ("»", ">")
+NEXT_CLASSES = ("next", "proxima", "pagination-next")
+
+# Searching by keywords: least results of each keyword, beside the one more that each is asked for.
+LEAST_PER_KEYWORD = 2
+
+# Abbreviations whose full stop ends no sentence, beside single letters.
+ABBREVIATIONS = ("Sr", "Sra", "Srta", "Dr", "Dra", "Prof", "Profa", "Eng", "Av", "Art", "Exmo", "Ltda", "pág", "ex", "etc", "Mr", "Mrs", "Ms", "vs")

@@ -7,7 +7,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,6 +86,31 @@ class _Open(list):
         return item.tag if isinstance(item, Node) else item
 
 
+class _Links(HTMLParser):
+    """All links of a page, those in navigation too: href, text, rel and class."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[dict[str, str]] = []
+        self.inside = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            at = dict(attrs)
+            # A link without an address ends the one before and is none itself.
+            self.inside = at.get("href") is not None
+            if self.inside:
+                self.found.append({"href": at["href"].strip(), "text": "", "rel": at.get("rel") or "", "class": at.get("class") or ""})
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.inside = False
+
+    def handle_data(self, data):
+        if self.inside:
+            self.found[-1]["text"] += data.strip()
+
+
 class _Builder(HTMLParser):
     """Builds the tree; noise is left out. Tags that are never closed end with their parents. Elements that are nested
     deeper than MAX_DEPTH become children of the one at that depth, as in browsers, so no text is lost."""
@@ -227,6 +252,28 @@ def joined_url(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", x or "") for b, x in zip(base, link, strict=True)])
 
 
+def next_address(html: str | None, url: str) -> str | None:
+    """Where the first link that leads to the next page leads, made absolute and without its fragment; links to the
+    page itself lead nowhere."""
+    links = _Links()
+    links.feed(html or "")
+    links.close()
+    for link in links.found:
+        text, style = link["text"].lower(), link["class"].lower()
+        leads = "next" in link["rel"] or any(w in text for w in fixed.NEXT_WORDS) or text in fixed.NEXT_MARKS
+        if leads or any(w in style for w in fixed.NEXT_CLASSES):
+            target = urldefrag(urljoin(url, link["href"])).url
+            if target != url:
+                return target
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def following(html: pd.Series, url: pd.Series) -> pd.Series:
+    """The address of the page after this one; null if there is none."""
+    return pd.Series([next_address(h, u or "") for h, u in zip(html, url, strict=True)])
+
+
 #: A link's start tag, its attributes in any order, and its target in either kind of quotes or none.
 LINK = r"""(?is)<a(?=\s)(?:[^>"']|"[^"]*"|'[^']*')*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
@@ -240,14 +287,14 @@ def page_links(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda x: F.trim(F.trim(x, F.lit("\"'"))))
 
 
-def listed_links(pages: DataFrame, pattern: str, dropped: Sequence[str] = fixed.SKIPPED_EXTENSIONS) -> DataFrame:
-    """link: of pages (url, html) the targets that contain the pattern and whose path has no dropped extension, made
+def listed_links(pages: DataFrame, pattern: str, dropped: Sequence[str] = fixed.SKIPPED_EXTENSIONS, by_page: bool = False) -> DataFrame:
+    """link, with by_page also its page's url: of pages (url, html) the targets that contain the pattern and whose path has no dropped extension, made
     absolute, without fragments, each once."""
     links = pages.select("url", F.explode(page_links(F.col("html"))).alias("link")).where(F.contains("link", F.lit(pattern)))
     path = F.lower(F.regexp_extract("link", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1))
     for extension in dropped:
         links = links.where(~F.endswith(path, F.lit(extension)))
-    return links.select(normalized_url(joined_url("url", "link")).alias("link")).distinct()
+    return links.select(*(["url"] if by_page else []), normalized_url(joined_url("url", "link")).alias("link")).distinct()
 
 
 def normalized_url(url: Column) -> Column:

@@ -27,6 +27,40 @@ def ascii_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+#: Ends of sentences: a full stop behind a word that is no abbreviation or initial, before a capital, a quote or the end.
+_STOP = r"(?<!(?:^|[\s(])(?:\p{L}|(?i:" + "|".join(fixed.ABBREVIATIONS) + r")))\.(?=[)\]}>\"'”»]*(?:\s+[\p{Lu}\p{N}\"'“«(]|\s*\z))"
+#: What is cut off from words, in this order: pattern and replacement.
+_CUTS = (
+    (r"[“”«»\"]|``|\'\'", " \" "),
+    (r"\.{3}|…", " ... "),
+    (_STOP, " . "),
+    (r"([:,])(?=\D)|([:,])\z", " , "),
+    (r"[;@#$%&?!]", " ; "),
+    (r"[\[\](){}<>]", " ( "),
+    (r"--", " -- "),
+    (r"(?<=^|\s)'(?=\S)", " ' "),
+    (r"(?i)(?<=[^' ])(n't)(?=\s|\z)", " $1"),
+    (r"(?i)(?<=[^' ])('(?:s|m|d|ll|re|ve)?)(?=\s|\z)", " $1"),
+    (r"(?i)\b(can)(not)\b", "$1 $2"),
+    (r"(?i)\b(gon|got|wan)(na|ta)\b", "$1 $2"),
+    (r"(?i)\b(gim|lem)(me)\b", "$1 $2"),
+)
+
+
+def word_tokens(text: Column) -> Column:
+    """Lower-cased words as a tokenizer of words and sentences cuts them; only those of letters and digits alone stay.
+
+    Punctuation is cut off, contractions fall apart, a full stop goes with the end of a sentence, but stays with
+    abbreviations, initials and numbers. So `2024.2`, `RS/SC`, `pós-graduação` and `Dr.` are one word each, which has other
+    characters than letters and digits, and is left out. Null has no words.
+    """
+    line = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
+    for pattern, replacement in _CUTS:
+        line = F.regexp_replace(line, pattern, replacement)
+    words = F.split(F.trim(F.lower(line)), r"\s+")
+    return F.filter(words, lambda w: w.rlike(r"^[\p{L}\p{N}]+$"))
+
+
 def normalized_query(query: Column) -> Column:
     """Lower-cased, white space collapsed, one closing mark dropped."""
     line = F.trim(F.regexp_replace(F.trim(F.lower(query)), r"\s+", " "))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +100,66 @@ def rouge_l(candidate: Column, reference: Column) -> Column:
     return F.struct(precision.alias("precision"), recall.alias("recall"), f_measure(precision, recall).alias("f1"))
 
 
+class TrigramTokens:
+    """Token vectors without a model: a token's three-character windows, at unit length. Equal tokens have similarity 1,
+    and tokens that share a stem are alike; vectors don't depend on what stands around them."""
+
+    def vectors(self, tokens: list[str]) -> np.ndarray:
+        windows = [{f"  {t} "[k : k + 3] for k in range(len(t) + 1)} for t in tokens]
+        places = {w: k for k, w in enumerate(sorted(set().union(*windows)))}
+        out = np.zeros((len(tokens), len(places)))
+        for k, own in enumerate(windows):
+            out[k, [places[w] for w in own]] = 1 / np.sqrt(len(own))
+        return out
+
+
+def token_weights(texts: DataFrame) -> DataFrame:
+    """token, weight: ln((n + 1) / (df + 1)) over texts (text), n in all, df with the token."""
+    cut = texts.select(F.array_distinct(ascii_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
+    total = cut.agg(F.count("*").alias("n"))
+    df = cut.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(total)).select("token", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("weight"))  # one row
+
+
+def aligned_score(pairs: DataFrame, weights: DataFrame | None = None, embedder=TrigramTokens()) -> DataFrame:
+    """id, precision, recall, f1 of pairs (id, candidate, reference) by greedy alignment of token vectors.
+
+    Each token is aligned with the most similar one of the other text; precision is the weighted mean over the
+    candidate's tokens, recall over the reference's, each token as often as it stands. weights: of token_weights;
+    without them, and for all others, tokens weigh the same: 1, and in a text whose tokens all weigh 0 too. Null counts as
+    empty; without tokens in either text all three are 0. Each id is one pair. embedder: vectors(tokens) gives unit rows.
+    """
+    cut = lambda c, side: pairs.select("id", F.lit(side).alias("side"), F.explode(ascii_tokens(F.coalesce(c, F.lit("")))).alias("token"))
+    token = cut("candidate", 0).unionByName(cut("reference", 1)).groupBy("id", "side", "token").agg(F.count("*").alias("times"))
+    token = token.join(weights, "token", "left") if weights is not None else token.withColumn("weight", F.lit(1.0))
+    token = token.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    lists = token.groupBy("id").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("token", "times", "weight")))).alias(n) for k, n in enumerate("ab")]
+    )
+
+    @F.pandas_udf("struct<precision:double,recall:double>")
+    def align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if not len(x) or not len(y):
+                out.append((0.0, 0.0))
+                continue
+            v = embedder.vectors([t["token"] for t in x] + [t["token"] for t in y])
+            similar = v[: len(x)] @ v[len(x) :].T
+            out.append((weighted_mean(similar.max(1), x), weighted_mean(similar.max(0), y)))
+        return pd.DataFrame(out, columns=["precision", "recall"])
+
+    found = lists.select("id", align("a", "b").alias("s")).select("id", "s.precision", "s.recall")
+    p, r = (F.coalesce(c, F.lit(0.0)) for c in ("precision", "recall"))
+    return pairs.select("id").join(found, "id", "left").select("id", p.alias("precision"), r.alias("recall"), f_measure(p, r).alias("f1"))
+
+
+def weighted_mean(values: np.ndarray, tokens: list) -> float:
+    times = np.array([t["times"] for t in tokens], np.float64)
+    weight = times * [t["weight"] for t in tokens]
+    return float((values * (weight if weight.sum() > 0 else times)).sum() / (weight if weight.sum() > 0 else times).sum())
+
+
 def groundedness(answer: Column, context: Column) -> Column:
     """The share of the answer's distinct words that the context has: a stand-in for a judge model."""
     words = F.array_distinct(ascii_tokens(answer))

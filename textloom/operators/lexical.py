@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import contains_any, snippet, space_tokens, word_trigrams
+from ..sources.stored import spread, stored
+
+
+#: Rows of its rarest terms that a query's first bound comes from, for each row that is asked for.
+SEED_ROWS = 20
 
 
 def bm25(
@@ -18,32 +23,85 @@ def bm25(
 
     Okapi weights; a term in over half of the documents takes BM25_EPSILON of the mean idf. A query's repeated
     terms count each time. Documents without any of a query's terms are not ranked. Ties to nine decimals go to
-    the smaller doc_id. Only postings of terms that some query has are joined.
+    the smaller doc_id. The result is exact, though most documents are never scored in full: see bounded_scores.
     """
-    words = docs.select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("words"))
-    corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    # A document names each of its terms once, so terms are counted where the documents are read.
-    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    # One row each, so these joins broadcast a row.
-    df = df.join(F.broadcast(corpus))
-    idf = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "avgdl")
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.join(F.broadcast(mean)).select(
-        "term", "avgdl", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")
-    )
+    return ranked(bounded_scores(weighted_postings(queries, docs, tokenize), k), k)
+
+
+def weighted_postings(queries: DataFrame, docs: DataFrame, tokenize: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(asked, postings): query_id, term, factor (idf and times), df, most (the largest weight in any document); and
+    doc_id, term, weight of the documents' terms that some query has. All are stored. Texts are gone through
+    twice: for the frequencies of all terms, counted where the documents are read, and for the postings of asked terms."""
+    words = spread(docs.select("doc_id", "text")).select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("words"))
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    # Only postings of asked terms are made: others never leave the task that reads them.
-    token = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    token = token.join(asked.select("term").distinct(), "term", "left_semi")
-    postings = token.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    asked = asked.join(idf, "term")
+    asked = stored(asked.groupBy("query_id", "term").agg(F.count("*").alias("times")), "query-terms")
+    # Each document also names a null term, which counts the documents and their words.
+    each = words.select(F.size("words").alias("dl"), F.explode(F.array_append(F.array_distinct("words"), F.lit(None).cast("string"))).alias("term"))
+    df = stored(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words")), "term-frequencies")
+    n, total = (df.where("term IS NULL").select("df", "words").first() or (0, 0))
+    raw = df.where("term IS NOT NULL").select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
+    terms = asked.select("term").distinct()
+    idf = raw.join(terms, "term", "left_semi").join(F.broadcast(mean))
+    idf = idf.select("term", "df", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    token = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms, "term", "left_semi")
+    tf = token.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     k1, b = fixed.BM25_K1, fixed.BM25_B
-    tf, share = F.col("tf"), 1 - b + b * F.col("dl") / F.col("avgdl")
-    scored = asked.join(postings, "term")
-    weight = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * share)
-    scores = scored.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
-    return ranked(scores, k)
+    share = 1 - b + b * F.col("dl") / (total / n if n else 1.0)
+    postings = stored(tf.select("doc_id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * share)).alias("weight")), "postings")
+    most = postings.groupBy("term").agg(F.max("weight").alias("most"))
+    asked = asked.join(idf, "term").join(most, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("factor"), "df", "most")
+    return stored(asked, "asked-terms"), postings
+
+
+def essential_terms(asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """asked with bound, least (a score that k documents of the query reach), rest, and essential.
+
+    Documents of a query's rarest terms are scored in full; the k-th best of these scores is a bound from below. Terms
+    whose largest weights together stay under this bound are not essential: a document with no other terms can't be
+    among the k best. rest is what they can add.
+    """
+    query = Window.partitionBy("query_id")
+    rarest = query.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    asked = asked.withColumn("bound", F.greatest(F.col("factor") * F.col("most"), F.lit(0.0)))
+    seeds = asked.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("before") < SEED_ROWS * k)
+    some = seeds.select("query_id", "term").join(postings, "term").select("query_id", "doc_id").distinct()
+    first = scored_in_full(some, asked, postings)
+    reached = first.withColumn("nth", F.row_number().over(query.orderBy(F.desc("score")))).where(F.col("nth") == k)
+    asked = asked.join(reached.select("query_id", F.col("score").alias("least")), "query_id", "left")
+    weakest = query.orderBy("bound", F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    # Ties to nine decimals count as reached.
+    out = asked.withColumn("essential", F.coalesce(F.sum("bound").over(weakest) >= F.col("least") - 1e-8, F.lit(True)))
+    return out.withColumn("rest", F.sum(F.when(~F.col("essential"), F.col("bound")).otherwise(0.0)).over(query))
+
+
+def scored_in_full(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of the pairs (query_id, doc_id) by the terms that are asked for."""
+    found = pairs.join(asked.select("query_id", "term", "factor"), "query_id").join(postings, ["doc_id", "term"])
+    return found.groupBy("query_id", "doc_id").agg(F.sum(F.col("factor") * F.col("weight")).alias("score"))
+
+
+def candidates(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """query_id, doc_id, part: scores by essential terms of the documents that can still reach the bound."""
+    found = asked.where("essential").join(postings, "term").groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("factor") * F.col("weight")).alias("part"), F.first("rest").alias("rest"), F.first("least").alias("least")
+    )
+    return found.where("least IS NULL OR part + rest >= least - 1e-8").select("query_id", "doc_id", "part")
+
+
+def bounded_scores(index: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+    """query_id, doc_id, score of all documents that can be among a query's k best.
+
+    Only lists of essential terms are joined whole. The others, stop words among them, are looked up by document and
+    term for the candidates that are left, so no frequent term is a key of its own.
+    """
+    asked, postings = index
+    asked = stored(essential_terms(asked, postings, k), "essential-terms")
+    left = stored(candidates(asked, postings), "candidates")
+    others = asked.where("NOT essential").select("query_id", "term", "factor")
+    looked_up = left.join(others, "query_id").join(postings, ["doc_id", "term"])
+    looked_up = looked_up.select("query_id", "doc_id", (F.col("factor") * F.col("weight")).alias("part"))
+    return left.unionByName(looked_up).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
 def ranked(scores: DataFrame, k: int, score: str = "score", id: str = "doc_id") -> DataFrame:

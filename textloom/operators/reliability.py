@@ -37,22 +37,62 @@ def mean_time_between_failures(events: DataFrame) -> DataFrame:
     return spans.where("failures > 1").select("component", "failures", (span / (F.col("failures") - 1)).alias("mtbf_s"))
 
 
-def outages(events: DataFrame, order: str) -> DataFrame:
+#: Length of the slices that outages are first found in, in seconds.
+SLICE = 3600
+
+
+def outages(events: DataFrame, order: str, length: int = SLICE) -> DataFrame:
     """component, outage, failed_at, recovered_at: from the first failure to the next success (null if open).
 
-    events: component, ts, event; of equal times the order column decides. Other events are ignored.
+    events: component, ts, event; of equal times the order column decides. Other events are ignored. A component's
+    log is never one task's work: time is cut to slices, each is read for itself, and what slices tell of themselves
+    (see slice_summaries) is put together in order, a row a slice. An outage over several slices has a part in
+    each. A null ts comes before all others.
     """
-    by_time = Window.partitionBy("component").orderBy("ts", order)
-    known = events.where("event IN ('failure', 'success')").withColumn("failed", F.col("event") == "failure")
-    known = known.withColumn("before", F.lag("failed", 1, False).over(by_time))
-    # A new outage opens at a failure after a success; the success that closes it belongs to it.
-    opens = (F.col("failed") & ~F.col("before")).cast("int")
-    known = known.withColumn("outage", F.sum(opens).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    known = known.where("outage > 0 AND (failed OR before)")
-    return known.groupBy("component", "outage").agg(
+    log = events.where("event IN ('failure', 'success')").withColumn("failed", F.col("event") == "failure")
+    log = log.withColumn("slice", F.floor(F.unix_micros("ts") / (length * 1_000_000)))
+    by_time = Window.partitionBy("component", "slice").orderBy("ts", order)
+    log = log.withColumn("before", F.lag("failed").over(by_time))
+    # Numbers within a slice; part 0 goes on with what the slice before left, or opens if that is nothing.
+    opens = F.coalesce(F.col("failed") & ~F.col("before"), F.lit(False)).cast("long")
+    log = log.withColumn("part", F.sum(opens).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = log.groupBy("component", "slice", "part").agg(
         F.min(F.when(F.col("failed"), F.col("ts"))).alias("failed_at"),
-        F.min(F.when(~F.col("failed"), F.col("ts"))).alias("recovered_at"),
+        F.max("failed").alias("fails"),
+        F.min(F.when(~F.col("failed") & F.col("before"), F.col("ts"))).alias("recovered_at"),
+        # The slice's first event, where that is a success: it ends what came in open.
+        F.min(F.when(~F.col("failed") & F.col("before").isNull(), F.struct("ts"))).alias("first_success"),
+        F.max_by("failed", F.struct(F.col("ts").isNotNull(), "ts", order)).alias("last_failed"),
+        F.min_by("failed", F.struct(F.col("ts").isNotNull(), "ts", order)).alias("first_failed"),
+    )
+    parts = parts.join(slice_summaries(parts), (F.col("component") == F.col("c")) & F.col("slice").eqNullSafe(F.col("s")))
+    enters = F.col("carried") & (F.col("part") == 0)
+    parts = parts.where(F.col("fails") | enters).select(
+        "component",
+        (F.col("offset") + F.col("part")).alias("outage"),
+        "failed_at",
+        F.coalesce("recovered_at", F.when(enters, F.col("first_success.ts"))).alias("recovered_at"),
+    )
+    found = parts.groupBy("component", "outage").agg(F.min("failed_at").alias("failed_at"), F.min("recovered_at").alias("recovered_at"))
+    return found.select("component", "outage", "failed_at", "recovered_at")
+
+
+def slice_summaries(parts: DataFrame) -> DataFrame:
+    """c, s (component and slice), carried (whether it begins in an outage), offset (of its outages' numbers).
+
+    A slice is summed up by its first and last state and the outages that open inside; of these summaries each
+    component has one row a slice, so the window over them sees no events.
+    """
+    slices = parts.groupBy(F.col("component").alias("c"), F.col("slice").alias("s")).agg(
+        F.min_by("first_failed", "part").alias("first_failed"),
+        F.max_by("last_failed", "part").alias("last_failed"),
+        F.max("part").alias("inside"),
     )
+    in_order = Window.partitionBy("c").orderBy("s")
+    slices = slices.withColumn("carried", F.lag("last_failed", 1, False).over(in_order))
+    fresh = (F.col("first_failed") & ~F.col("carried")).cast("long")
+    before = F.coalesce(F.sum(F.col("inside") + fresh).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return slices.select("c", "s", "carried", (before + fresh).alias("offset"))
 
 
 def mean_time_to_recovery(islands: DataFrame) -> DataFrame:

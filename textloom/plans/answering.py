@@ -15,9 +15,10 @@ from ..functions import fixed
 from ..functions.rules import entity, input_guard, output_guard, route
 from ..functions.text import normalized_query, truncated
 from ..operators.cache import exact_hits, keyed
-from ..operators.fusion import hybrid_weights, overlap_rerank, reciprocal_rank_fusion
+from ..operators.fusion import first_by_prefix, hybrid_weights, overlap_rerank, reciprocal_rank_fusion
 from ..operators.lexical import bm25, ranked, title_lookup
 from ..operators.search import knn
+from ..sources.stored import stored
 from .providers import Embedder, ExtractiveGenerator, Generator, HashingEmbedder
 
 
@@ -57,6 +58,28 @@ def retrieved(queries: DataFrame, docs: DataFrame, config: Config) -> DataFrame:
     return found
 
 
+def keyword_search(keywords: DataFrame, docs: DataFrame, config: Config, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank: the best k of what each keyword finds by itself.
+
+    keywords: query_id, keywords (an array, in order of importance). Each of a query's n keywords brings
+    max(2, ceil(k / n)) + 1 documents; of those that begin alike, the one that the first keyword brings stays, with its
+    score. Null and empty keywords bring none; a keyword that repeats brings nothing new.
+    """
+    each = keywords.select("query_id", F.posexplode(F.filter("keywords", lambda w: F.trim(w) != "")).alias("nth", "text"))
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    quota = F.greatest(F.lit(fixed.LEAST_PER_KEYWORD), F.ceil(k / n)).cast("int") + 1
+    # Equal keywords are embedded and searched once.
+    each = stored(each.select("query_id", "nth", "text", quota.alias("quota"), F.xxhash64("text").alias("word")), "keywords")
+    asked = config.embedder.embed(each.groupBy("word").agg(F.min("text").alias("text")), "word").withColumnRenamed("word", "query_id")
+    corpus = config.embedder.embed(docs, "doc_id").withColumnRenamed("doc_id", "id")
+    found = knn(asked, corpus, max(fixed.LEAST_PER_KEYWORD, k) + 1).withColumnRenamed("query_id", "word")
+    found = each.join(found, "word").where(F.col("rank") <= F.col("quota"))
+    found = found.select("query_id", "nth", "rank", F.col("id").alias("doc_id"), (1 - F.col("distance")).alias("score"))
+    found = found.join(docs.select("doc_id", "text"), "doc_id")
+    firsts = first_by_prefix(found, "text", [F.col("nth"), F.col("rank")])
+    return ranked(firsts.select("query_id", "doc_id", "score"), k)
+
+
 def context_of(results: DataFrame, docs: DataFrame, most: int, full: DataFrame | None = None) -> DataFrame:
     """query_id, context: the results' texts in order of rank under their titles and sources, joined by a rule.
 

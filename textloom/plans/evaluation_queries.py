@@ -77,6 +77,44 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: In SQL: answers and the questions before them as lists of words, and each word's trigrams.
+ALIGNED = r"""
+    pairs AS (
+        SELECT a.conv_id * 1000 + a.turn AS id, regexp_extract_all(lower(a.text), '[a-z0-9]+') AS a, regexp_extract_all(lower(q.text), '[a-z0-9]+') AS b
+        FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1
+        WHERE a.role = 'assistant' AND q.role = 'user'),
+    total AS (SELECT count(*) AS n FROM pairs),
+    df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(b)) AS token FROM pairs) GROUP BY token),
+    w AS (SELECT token, ln((n + 1) / (df + 1)) AS weight FROM df, total),
+    t AS (
+        SELECT id, side, token, count(*) AS times,
+               list_distinct(list_transform(range(1, length(token) + 2), lambda i: substr('  ' || token || ' ', i, 3))) AS g
+        FROM (SELECT id, 0 AS side, unnest(a) AS token FROM pairs UNION ALL SELECT id, 1 AS side, unnest(b) AS token FROM pairs) GROUP BY ALL),
+    best AS (
+        SELECT x.id, x.side, x.token, x.times, max(len(list_intersect(x.g, y.g)) / sqrt(len(x.g) * len(y.g))) AS s
+        FROM t x JOIN t y ON y.id = x.id AND y.side = 1 - x.side GROUP BY ALL),
+    sums AS (
+        SELECT id, side, sum(times * coalesce(weight, 1)) AS total, sum(times * coalesce(weight, 1) * s) AS got, sum(times) AS plain, sum(times * s) AS plain_got
+        FROM best LEFT JOIN w USING (token) GROUP BY id, side),
+    m AS (SELECT id, side, CASE WHEN total > 0 THEN got / total ELSE plain_got / plain END AS v FROM sums),
+    pr AS (SELECT id, coalesce(max(v) FILTER (side = 0), 0) AS p, coalesce(max(v) FILTER (side = 1), 0) AS r FROM pairs LEFT JOIN m USING (id) GROUP BY id)"""
+
+
+@query(
+    "aligned_token_score",
+    f"""WITH {ALIGNED} SELECT id, round(p, 6) AS precision, round(r, 6) AS recall,
+    round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM pr""",
+)
+def aligned_token_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer against the question before it, by greedily aligned token vectors; rare words weigh more."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
+    pairs = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    pairs = pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("candidate"), "reference")
+    found = evaluate.aligned_score(pairs, evaluate.token_weights(pairs.select(F.col("reference").alias("text"))))
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query(
     "lcs_of_part_names",
     """

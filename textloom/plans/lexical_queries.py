@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cites, trigrams
+from ..functions.text import cites, tokens, trigrams
 from ..operators import fusion, lexical
 from ..operators.nested import projects_of
 from ..sources.io import table
-from .answering import Config, dense
+from .answering import Config, dense, keyword_search
 from .registry import query
 
 #: In SQL: BM25 of every benchmark text and document with a common word.
@@ -345,3 +345,29 @@ def related_members_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("start"),
     )
     return projects_of(names, projects, 10)
+
+
+@query(
+    "keyword_vector_search",
+    rf"""
+    WITH {hashed("d", "documents", "doc_id")},
+    words AS (
+        SELECT item_id AS query_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 6)))[1:3] AS ws FROM benchmark),
+    kw AS (SELECT query_id, len(ws) AS n, unnest(ws) AS text, unnest(range(len(ws))) AS nth FROM words),
+    uniq AS (SELECT DISTINCT text, text AS word FROM kw),
+    {hashed("k", "uniq", "word")},
+    s AS (SELECT word, doc_id, list_cosine_similarity(k_v.v, d_v.v) AS score FROM k_v, d_v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY round(1 - score, 9), doc_id) AS rank FROM s),
+    f AS (
+        SELECT query_id, nth, rank, doc_id, score, documents.text FROM kw JOIN r ON r.word = kw.text JOIN documents USING (doc_id)
+        WHERE rank <= greatest(2, ceil(4 / n)) + 1),
+    u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, left(text, 150) ORDER BY nth, rank) = 1)
+    SELECT query_id, doc_id, round(score, 6) AS score, place AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM u) WHERE place <= 4""",
+)
+def keyword_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question by its first three long words in order of the alphabet, one vector search a word."""
+    long_words = F.filter(F.array_distinct(tokens(F.col("text"))), lambda w: F.length(w) > 6)
+    asked = questions(spark, sf_dir).select("query_id", F.slice(F.array_sort(long_words), 1, 3).alias("keywords"))
+    found = keyword_search(asked, table(spark, sf_dir, "documents"), Config(), 4)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pages
+from ..operators import listing
 from ..sources.io import table
 from .registry import query
 
@@ -107,3 +108,46 @@ def people_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     people, projects = docs.where("doc_id % 2 = 0").drop("doc_id"), docs.where("doc_id % 2 = 1").drop("doc_id")
     return records.people_in_area(people, projects, ["secret", "token"])
+
+
+def order_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url, html: each customer's orders as a listing, a page for every two of them. A page names the next one in one of
+    several ways; the last one leads back to the first, to itself or nowhere."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    page = orders.withColumn("page", F.floor(place / 2)).groupBy("o_custkey", "page").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    page = page.withColumn("last", F.max("page").over(Window.partitionBy("o_custkey")))
+    address = lambda n: F.concat(F.lit("https://x.org/c/"), F.col("o_custkey"), F.lit("/"), n)
+    back = F.when(F.col("o_custkey") % 3 == 0, F.lit("0")).when(F.col("o_custkey") % 3 == 1, F.col("page").cast("string")).otherwise("gone")
+    to = F.when(F.col("page") < F.col("last"), (F.col("page") + 1).cast("string")).otherwise(back)
+    way = F.element_at(F.array(*map(F.lit, ("rel='next'>on", ">Next page", ">&raquo;", "class='pag-proxima'>on"))), (F.col("page") % 4 + 1).cast("int"))
+    links = F.array_join(F.transform("keys", lambda k: F.concat(F.lit("<li><a href='/orders/"), k, F.lit("#top'>order</a></li>"))), "")
+    html = F.concat(F.lit("<nav><a href='/'>home</a><a href='"), to, F.lit("' "), way, F.lit("</a></nav><ul>"), links, F.lit("</ul><a href='/orders/list.pdf'>pdf</a>"))
+    return page.select(address(F.col("page")).alias("url"), html.alias("html"))
+
+
+@query(
+    "listing_chain",
+    """
+    WITH p AS (SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 2 AS page FROM orders)
+    SELECT DISTINCT o_custkey AS listing, page::BIGINT AS place, 'https://x.org/c/' || o_custkey || '/' || page AS url FROM p""",
+)
+def listing_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of every listing in order, from its first one on."""
+    pages_ = order_listings(spark, sf_dir)
+    starts = pages_.where(F.endswith("url", F.lit("/0"))).select(F.col("url").alias("start"))
+    found = listing.chains(starts, listing.successors(pages_))
+    return found.select(F.split_part("start", F.lit("/"), F.lit(5)).cast("long").alias("listing"), "place", "url")
+
+
+@query(
+    "listing_links",
+    "SELECT o_custkey AS listing, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY o_custkey",
+)
+def listing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all pages of every listing."""
+    pages_ = order_listings(spark, sf_dir)
+    starts = pages_.where(F.endswith("url", F.lit("/0"))).select(F.col("url").alias("start"))
+    found = listing.chain_links(pages_, starts, "/orders/")
+    number = lambda c, n: F.split_part(c, F.lit("/"), F.lit(n)).cast("long")
+    return found.groupBy(number("start", 5).alias("listing")).agg(F.count("*").alias("n"), F.sum(number("link", 5)).alias("keys"))

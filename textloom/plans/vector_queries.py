@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
-from ..operators import search
+from ..operators import graph, search
 from ..sources.io import table
 from .registry import query
 
@@ -166,3 +166,17 @@ def ann_ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, centres = search.ann_index(corpus, cells=16)
     found = search.ann(asked, index, centres, k=5, probes=10)
     return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(
+    "ann_graph_topk",
+    f"""
+    WITH {PAIRS},
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9), id) AS rank FROM pairs)
+    SELECT query_id, id, round(cosine, 6) AS distance, rank FROM r WHERE rank <= 5""",
+)
+def ann_graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by layered graphs; the twin has the exact ones, and the tests measure recall and comparisons."""
+    asked, corpus = sides(spark, sf_dir)
+    found = graph.graph_search(asked, *graph.graph_index(corpus), k=5)
+    return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
