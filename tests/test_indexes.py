@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import graph, lexical, search
+from textloom.operators import graph, lexical, pruned, search
 
 
 def vectors(spark, rows, dim, seed, groups=None):
@@ -80,3 +81,25 @@ def test_bm25_of_nothing(spark):
     docs, asked = corpus_of_words(spark, 3)
     assert lexical.bm25(asked.where("false"), docs, 3).count() == 0
     assert lexical.bm25(asked, docs.where("false"), 3).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "l1"])
+def test_pruned_search_is_exact_and_skips(spark, metric):
+    corpus = vectors(spark, 4000, 8, 5, groups=40)
+    asked = corpus.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["distance"], 8)) for r in df.collect())
+    got = pruned.pruned_knn(asked, corpus, 5, metric)
+    assert key(got) == key(search.knn(asked, corpus, 5, metric))
+    assert got.agg(F.avg("compared")).first()[0] < 0.6 * 4000
+
+
+def test_pruned_search_of_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (None, [1.0, 1.0]), (4, []), (5, [1.0, 0.0]), (6, [-1.0, 0.0])]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.1]), (8, None), (7, [0.0, 0.0])], "query_id long, embedding array<double>")
+    for k in (1, 3, 10):
+        got, want = pruned.pruned_knn(asked, corpus, k), search.knn(asked.where("embedding IS NOT NULL"), corpus.where("size(embedding) > 0"), k)
+        assert sorted((r["query_id"], r["rank"], r["id"]) for r in got.collect()) == sorted((r["query_id"], r["rank"], r["id"]) for r in want.collect())
+    assert pruned.pruned_knn(asked, corpus.where("id > 99"), 2).count() == 0
+    with pytest.raises(ValueError):
+        pruned.pruned_knn(asked, corpus, 1, "neg_ip")

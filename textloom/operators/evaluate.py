@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import ascii_tokens, f_measure
+from ..functions.vector import cosine
 
 
 def relevant_by_text(text: Column, wanted: Column) -> Column:
@@ -164,3 +165,41 @@ def groundedness(answer: Column, context: Column) -> Column:
     """The share of the answer's distinct words that the context has: a stand-in for a judge model."""
     words = F.array_distinct(ascii_tokens(answer))
     return F.when(F.size(words) > 0, F.size(F.array_intersect(words, ascii_tokens(context))) / F.size(words)).otherwise(0.0)
+
+
+def composed(
+    questions: DataFrame, results: DataFrame, docs: DataFrame, answers: DataFrame, embedder, tokens=TrigramTokens(), weights: DataFrame | None = None
+) -> DataFrame:
+    """query_id, reciprocal_rank, hits, returned, cosine, aligned_f1, rouge_f1: all measures of each question.
+
+    questions: query_id, wanted (a text that a right document holds), reference (the right answer). results: query_id,
+    doc_id, rank. docs: doc_id, text. answers: query_id, answer. embedder: embed(rows, id), see plans.providers. A question
+    without results, answer or reference has zeros there, and counts in the means.
+    """
+    asked = questions.select("query_id", "wanted", "reference")
+    judged = results.join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
+    judged = judged.select("query_id", "rank", F.coalesce(relevant_by_text(F.col("text"), F.col("wanted")), F.lit(False)).alias("relevant"))
+    pairs = asked.join(answers.select("query_id", "answer"), "query_id", "left")
+    # Both sides of a pair are embedded as rows of one table, told apart by the side.
+    side = lambda c, k: pairs.select((F.xxhash64("query_id", F.lit(k))).alias("row"), F.coalesce(c, F.lit("")).alias("text"))
+    vectors = embedder.embed(side("answer", 0).unionByName(side("reference", 1)), "row")
+    vector = lambda k, name: pairs.select("query_id", F.xxhash64("query_id", F.lit(k)).alias("row")).join(vectors, "row").select("query_id", F.col("embedding").alias(name))
+    near = vector(0, "a").join(vector(1, "b"), "query_id").select("query_id", cosine(F.col("a"), F.col("b")).alias("cosine"))
+    aligned = aligned_score(pairs.select(F.col("query_id").alias("id"), F.col("answer").alias("candidate"), "reference"), weights, tokens)
+    rouge = pairs.select("query_id", rouge_l(F.col("answer"), F.col("reference"))["f1"].alias("rouge_f1"))
+    out = rouge.join(ranking_details(judged), "query_id", "left").join(near, "query_id", "left")
+    out = out.join(aligned.select(F.col("id").alias("query_id"), F.col("f1").alias("aligned_f1")), "query_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select(
+        "query_id", zero(1 / F.col("first_rank")).alias("reciprocal_rank"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"),
+        F.coalesce("returned", F.lit(0)).cast("long").alias("returned"), zero(F.col("cosine")).alias("cosine"), zero(F.col("aligned_f1")).alias("aligned_f1"), "rouge_f1",
+    )
+
+
+def means(measures: DataFrame) -> DataFrame:
+    """questions, mrr, recall (any hit), precision, cosine, aligned_f1, rouge_f1 over all of `composed`."""
+    share = F.when(F.col("returned") > 0, F.col("hits") / F.col("returned")).otherwise(0.0)
+    return measures.agg(
+        F.count("*").alias("questions"), F.avg("reciprocal_rank").alias("mrr"), F.avg(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)).alias("recall"),
+        F.avg(share).alias("precision"), *[F.avg(c).alias(c) for c in ("cosine", "aligned_f1", "rouge_f1")],
+    )

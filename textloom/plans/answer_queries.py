@@ -48,7 +48,16 @@ def answer_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answered(asked.select("query_id", "text"), docs, titles, cached, Config(guard_input=True))
 
 
-@query("keyword_extraction")
+@query(
+    "keyword_extraction",
+    r"""
+    WITH df AS (
+        SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM documents) GROUP BY w),
+    q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM benchmark),
+    r AS (
+        SELECT query_id, w, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n, 0), w) AS k FROM q LEFT JOIN df USING (w) WHERE length(w) > 3)
+    SELECT query_id, string_agg(w, ',' ORDER BY k) AS keywords FROM r WHERE k <= 3 GROUP BY query_id""",
+)
 def keyword_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = rarest_words(questions(spark, sf_dir), table(spark, sf_dir, "documents"))
     return words.select("query_id", F.array_join("keywords", ",").alias("keywords"))

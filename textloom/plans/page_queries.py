@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import pages
+from ..functions import fixed, pages
 from ..operators import listing
 from ..sources.io import table
 from .registry import query
@@ -42,37 +44,100 @@ def page_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("n"))
 
 
-@query("page_absolute_links")
+@query(
+    "page_absolute_links",
+    """
+    SELECT DISTINCT page_id, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href
+        WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE url END AS link
+    FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)""",
+)
 def page_absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(pages.page_links(F.col("html"))).alias("link"))
     return links.select("page_id", pages.joined_url("url", "link").alias("link")).distinct()
 
 
-@query("page_text_strip_noise")
+#: In SQL: what is no text of a page.
+MARKUP = "|".join([*(rf"<{t}\b.*?</{t}>" for t in fixed.NOISE_TAGS), "<!--.*?-->", "<!DOCTYPE[^>]*>", "</?[a-z][^>]*>"])
+
+
+@query(
+    "page_text_strip_noise",
+    rf"""
+    WITH a AS (SELECT page_id, regexp_replace(html, '(?is)(?:{MARKUP})', chr(1), 'g') AS t FROM pages),
+    b AS (
+        SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x, E' \t\n\r')), lambda x: x <> ''), ' ') AS t
+        FROM a)
+    SELECT page_id, regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t]+', ' ', 'g') AS text
+    FROM b""",
+)
 def page_text_strip_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", pages.page_text("html").alias("text"))
 
 
-@query("page_label_map")
+def marked_up(rows: DataFrame, page_id: str, *parts: str) -> DataFrame:
+    """page_id, html: rows' columns put into markup; in parts, {x} stands for the column x. The given pages have no
+    label maps, sections, tables or lists, so these queries make pages of columns whose contents SQL knows too."""
+    pieces = [p for part in parts for p in re.split(r"({\w+})", part) if p]
+    html = F.concat(*[F.col(p[1:-1]).cast("string") if p.startswith("{") else F.lit(p) for p in pieces])
+    page = F.concat(F.lit("<html><head><script>x</script></head><body><nav><ul><li>menu</ul></nav>"), html, F.lit("<footer>foot</footer>"))
+    return rows.select(F.col(page_id).alias("page_id"), page.alias("html"))
+
+
+@query(
+    "page_label_map",
+    """
+    SELECT p_partkey AS page_id, unnest(['Nome', 'Marca', 'Tipo']) AS label, unnest([p_name, p_brand, 'é ' || p_type]) AS value FROM part""",
+)
 def page_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select("page_id", F.explode(pages.page_labels("html")).alias("label", "value"))
-    return found
+    """Parts as pages with a list of labels and a table row."""
+    html = "<dl><dt>Nome:</dt><dd><b>{p_name}</b></dd><dt>Marca :</dt><dd>{p_brand}</dd></dl>", "<table><tr><th>Tipo:</th><td>&eacute;  {p_type}</td></tr><tr><td>a</td><td>b</td></tr></table>"
+    found = marked_up(table(spark, sf_dir, "part"), "p_partkey", *html)
+    return found.select("page_id", F.explode(pages.page_labels("html")).alias("label", "value"))
 
 
-@query("page_sections")
+@query(
+    "page_sections",
+    """
+    SELECT c_custkey AS page_id, unnest([c_mktsegment, 'Nação']) AS heading, unnest([c_name || ' de ' || c_custkey, 'n ' || c_nationkey]) AS body
+    FROM customer""",
+)
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(pages.page_sections("html")).alias("heading", "body"))
+    """Customers as pages of two headed sections."""
+    html = "before<h2>{c_mktsegment}</h2><p>{c_name}<div>de <i>{c_custkey}</i></div>", "<div><h3>Na&ccedil;&atilde;o</h3>n</div> {c_nationkey}"
+    found = marked_up(table(spark, sf_dir, "customer"), "c_custkey", *html)
+    return found.select("page_id", F.explode(pages.page_sections("html")).alias("heading", "body"))
 
 
-@query("page_table_rows")
+@query(
+    "page_table_rows",
+    """
+    SELECT l_orderkey AS page_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::INT AS row_no,
+           '{"Linha":"' || l_linenumber || '","Peça":"' || l_partkey || '"}' AS row FROM lineitem""",
+)
 def page_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(pages.page_tables("html")).alias("row_no", "row"))
-    return rows.select("page_id", "row_no", F.to_json("row").alias("row"))
+    """Orders as pages with a table of their lines; a row of missing values is none."""
+    line = F.struct("l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    cells = lambda x: F.concat(F.lit("<tr><td>"), x["l_linenumber"], F.lit("</td><td><a href='/p'>"), x["l_partkey"], F.lit("</a></td></tr>"))
+    rows = lines.withColumn("rows", F.array_join(F.transform("lines", cells), ""))
+    html = "<table><tr><th>Linha</th><th>Pe&ccedil;a</th></tr>{rows}<tr><td> </td><td></td></tr></table>"
+    found = marked_up(rows, "l_orderkey", html).select("page_id", F.posexplode(pages.page_tables("html")).alias("row_no", "row"))
+    return found.select("page_id", "row_no", F.to_json("row").alias("row"))
 
 
-@query("page_list_items")
+@query(
+    "page_list_items",
+    """
+    SELECT o_custkey AS page_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS item_no,
+           'order ' || o_orderkey AS item FROM orders""",
+)
 def page_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(pages.page_list_items("html")).alias("item_no", "item"))
+    """Customers as pages with a list of their orders; items that are empty are none."""
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    item = lambda k: F.concat(F.lit("<li>order <b>"), k, F.lit("</b>"))
+    rows = lists.withColumn("items", F.array_join(F.transform("keys", item), ""))
+    found = marked_up(rows, "o_custkey", "<ul>{items}<li> </li></ul>")
+    return found.select("page_id", F.posexplode(pages.page_list_items("html")).alias("item_no", "item"))
 
 
 @query("page_records")

@@ -124,7 +124,22 @@ def asks_for_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("conv_id", "turn", rules.asks_for_area(F.col("text")).alias("area"))
 
 
-@query("entity_of_question")
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_KINDS = " ".join(f"WHEN contains(t, {_sql(word)}) THEN {_sql(kind)}" for word, kind in fixed.TYPE_HINTS.items())
+_NAMED = ", ".join(f"CASE WHEN regexp_matches(t, {_sql(p)}) THEN regexp_extract(t, {_sql(p)}, 1) END" for p in fixed.ENTITY_PATTERNS)
+_GENERIC = ", ".join(map(_sql, fixed.GENERIC_WORDS))
+
+
+@query(
+    "entity_of_question",
+    rf"""
+    WITH a AS (SELECT conv_id, turn, lower(trim(text)) AS t, regexp_split_to_array(lower(trim(text)), '\s+') AS w FROM {_SQL_ASK}),
+    e AS (SELECT *, coalesce({_NAMED}, CASE WHEN len(list_intersect(w, [{_GENERIC}])) = 0 AND len(w) <= 6 THEN t END) AS named FROM a)
+    SELECT conv_id, turn, CASE {_KINDS} END AS kind, nullif(rtrim(trim(named), '?. '), '') AS entity FROM e""",
+)
 def entity_of_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir)
     return asked.select("conv_id", "turn", rules.type_hint(F.col("text")).alias("kind"), rules.entity(F.col("text")).alias("entity"))

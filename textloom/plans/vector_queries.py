@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
-from ..operators import graph, search
+from ..operators import graph, pruned, search
 from ..sources.io import table
 from .registry import query
 
@@ -180,3 +180,17 @@ def ann_graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, corpus = sides(spark, sf_dir)
     found = graph.graph_search(asked, *graph.graph_index(corpus), k=5)
     return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(
+    "knn_pruned",
+    f"""
+    WITH {PAIRS},
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(l2, 9), id) AS rank FROM pairs)
+    SELECT query_id, id, round(l2, 6) AS distance, rank FROM r WHERE rank <= 5""",
+)
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours by cells that bounds don't rule out."""
+    asked, corpus = sides(spark, sf_dir)
+    found = pruned.pruned_knn(asked, corpus, 5, "l2")
+    return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
