@@ -371,3 +371,48 @@ def test_loser_tree_merges():
     runs = [[1, 4, 9], [], [2, 3, 3], [0], [9, 10]]
     assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
     assert list(warc.LoserTree([])) == [] and list(warc.LoserTree([[1, 2]])) == [1, 2]
+
+
+def subword_buckets(text):
+    """By plain Python: the buckets of all subwords of 1 to LONGEST letters and single spaces."""
+    line, out = [], []
+    for char in text:
+        letter = char.lower()[0] if char.isalpha() else " "
+        if letter != " " or not line or line[-1] != " ":
+            line.append(letter)
+    for n in range(1, langid.LONGEST + 1):
+        for k in range(len(line) - n + 1):
+            h = 0x811C9DC5
+            for letter in line[k : k + n]:
+                h = (h ^ ord(letter)) * 0x01000193 % 2**32
+                h ^= h >> 15
+            out.append((h * 0x9E3779B1 % 2**32) >> (32 - langid.BUCKET_BITS))
+    return out
+
+
+def test_language_scores_by_plain_python():
+    rows = [(f"the house number {k} and the garden of {k * 7} roses", "en") for k in range(60)]
+    rows += [(f"das haus mit nummer {k} und der garten der {k * 7} rosen", "de") for k in range(60)]
+    model = langid.fit(rows)
+    texts = ["the garden", "Der Garten, das Haus!", "É  x\t\ty", "a", "7 roses 7", *(t for t, _ in rows[:5])]
+    logits, usual, n = model.measures(texts)
+    best, p, rejected = model.predict(texts)
+    for k, text in enumerate(texts):
+        buckets = subword_buckets(text)
+        assert n[k] == len(buckets)
+        want = [sum(model.scores[b, j] for b in buckets) / len(buckets) + model.bias[j] for j in range(2)]
+        assert logits[k] == pytest.approx(want, abs=1e-5)
+        assert usual[k] == pytest.approx(sum(model.usual[b] for b in buckets) / len(buckets), abs=1e-9)
+        e = [math.exp((w - max(want)) / model.temperature) for w in want]
+        assert best[k] == want.index(max(want)) and p[k] == pytest.approx(max(e) / sum(e), abs=1e-5)
+        least = model.thresholds[min(int(math.log2(len(buckets))), len(model.thresholds) - 1)]
+        assert rejected[k] == (math.log(p[k]) < least[0] or usual[k] < least[1])
+    assert [model.languages[b] for b in best[:2]] == ["en", "de"]
+
+
+def test_language_sample_has_its_bounds_with_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 300)
+    monkeypatch.setattr(langid, "TOTAL_BYTES", 6000)
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id, repeat(' word', 30)) AS text", "concat('l', id % 500) AS lang")
+    got = langid.sample(docs)
+    assert len(got) == 300 == len({lang for _, lang in got}) and sum(len(t.encode()) for t, _ in got) <= 6000

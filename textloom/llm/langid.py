@@ -70,7 +70,8 @@ def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for n in range(LONGEST):
         h = (h ^ line[n : n + len(owner)]) * np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
-        inside = line[n : n + len(owner)] != 0
+        # Both ends are in the text: what begins in the gap would reach into the next one.
+        inside = (line[n : n + len(owner)] != 0) & (line[: len(owner)] != 0)
         yield (h * np.uint32(0x9E3779B1) >> np.uint32(32 - BUCKET_BITS))[inside], owner[inside]
 
 
