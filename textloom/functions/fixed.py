@@ -259,3 +259,18 @@ LEAST_PER_KEYWORD = 2
 
 # Abbreviations whose full stop ends no sentence, beside single letters.
 ABBREVIATIONS = ("Sr", "Sra", "Srta", "Dr", "Dra", "Prof", "Profa", "Eng", "Av", "Art", "Exmo", "Ltda", "pág", "ex", "etc", "Mr", "Mrs", "Ms", "vs")
+
+# Labels of a course's structure in a context.
+COURSE_NAME, COURSE_URL = "Curso: ", ")\nURL: "
+NO_SEMESTER = "Sem semestre"
+WHOLE_MATRIX = "=== MATRIZ CURRICULAR COMPLETA ===\n"
+SUBJECTS, OF_SEMESTER, WITH_CREDITS, CREDITS_LABEL, HEADING_END = "=== DISCIPLINAS", " do ", " com ", " créditos", " ===\n"
+TEACHERS, CLASSES = "=== CORPO DOCENTE ===\n", "=== TURMAS OFERTADAS ===\n"
+TEACHER_RECORD, TEACHER_PAGE = " | Lattes: ", " | Perfil: "
+CLASS_TEACHERS, CLASS_NAME, CLASS_PLACES, CLASS_ENROLLED = " | Prof: ", " | Turma ", " | Vagas: ", " | Matrículas: "
+
+# Labels of contexts and prompts.
+TITLE_LABEL, SOURCE_AFTER_TITLE, SOURCE_LABEL = "[Título: ", " | Fonte: ", "[Fonte: "
+WHOLE_DOCUMENT = "\n\n[Dados completos do documento]\n"
+INSTRUCTION, CONTEXT_LABEL, QUESTION_LABEL = "Responda apenas com base no contexto.", "Contexto:", "Pergunta: "
+NOTHING_FOUND = "Não encontrei essa informação."

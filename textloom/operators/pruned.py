@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
-from .search import CORPUS_BLOCK, QUERY_BLOCK, _distances
+from .search import CORPUS_BLOCK, QUERY_BLOCK, _distances, least_of
 
 #: Pivots at most, and rows of the sample that they come from; both bound what reaches the driver.
 PIVOTS, SAMPLE_ROWS = 256, 20_000
@@ -147,12 +147,10 @@ def _within(asked: DataFrame, celled: DataFrame, cells: np.ndarray, n: np.ndarra
             return pa.schema([qs.schema.field("query_id"), cs.schema.field("id"), pa.field("distance", pa.float64())]).empty_table()
         matrix = lambda column: np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
         d = _distances(metric, matrix(qs.column("q")), matrix(cs.column("embedding")))
-        ids, rounded = np.array(cs.column("id")), np.round(d, 9)
+        ids = np.array(cs.column("id"))
         at_q, at_c = [], []
-        for i, row in enumerate(rounded):
-            # The k least and what ties with the last of them; of these, ties go by id.
-            some = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-            best = some[np.lexsort((ids[some], row[some]))[:k]]
+        for i, row in enumerate(np.round(d, 9)):
+            best = least_of(row, ids, k)
             at_q += [i] * len(best)
             at_c += best.tolist()
         return pa.table([qs.column("query_id").take(at_q), cs.column("id").take(at_c), pa.array(d[at_q, at_c])], names=names)

@@ -29,6 +29,15 @@ def _distances(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     raise ValueError(f"no metric {metric!r}")
 
 
+def least_of(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k least distances (rounded), ties by id. Only what ties with the last of them is sorted."""
+    distances = np.where(np.isnan(distances), np.inf, distances)
+    if len(distances) <= k:
+        return np.lexsort((ids, distances))
+    some = np.flatnonzero(distances <= np.partition(distances, k - 1)[k - 1])
+    return some[np.lexsort((ids[some], distances[some]))[:k]]
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", by: str | None = None) -> DataFrame:
     """query_id, id, distance, rank: the k nearest of the corpus (id, embedding) to each query (query_id, embedding).
 
@@ -63,7 +72,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", b
         for g in np.unique(groups):
             own = np.flatnonzero(groups == g)
             for i in range(len(d)):
-                best = own[np.lexsort((ids[own], np.round(d[i, own], 9)))[:k]]
+                best = own[least_of(np.round(d[i, own], 9), ids[own], k)]
                 at_q += [i] * len(best)
                 at_c += best.tolist()
         picked = [qs.column("query_id").take(at_q), *(cs.column(c).take(at_c) for c in names[1:-1])]

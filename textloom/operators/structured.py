@@ -21,7 +21,7 @@ COURSE = (
 
 def semesters(rows: Column) -> Column:
     """The semesters of a curriculum's rows, in order of first appearance, each followed by its subjects."""
-    of = lambda r: F.coalesce(F.try_element_at(r, F.lit("semestre")), F.lit("Sem semestre"))
+    of = lambda r: F.coalesce(F.try_element_at(r, F.lit("semestre")), F.lit(fixed.NO_SEMESTER))
     parts = F.transform(
         F.array_distinct(F.transform(rows, of)),
         lambda s: F.concat(F.lit("\n"), s, F.lit(":\n"), formatted_subjects(F.filter(rows, lambda r: of(r) == s))),
@@ -31,7 +31,7 @@ def semesters(rows: Column) -> Column:
 
 def teacher_line(t: Column) -> Column:
     page = F.coalesce(
-        F.concat(F.lit(" | Lattes: "), F.nullif(t["lattes"], F.lit(""))), F.concat(F.lit(" | Perfil: "), F.nullif(t["url"], F.lit(""))), F.lit("")
+        F.concat(F.lit(fixed.TEACHER_RECORD), F.nullif(t["lattes"], F.lit(""))), F.concat(F.lit(fixed.TEACHER_PAGE), F.nullif(t["url"], F.lit(""))), F.lit("")
     )
     unit = F.coalesce(F.concat(F.lit(" ("), known(t["unidade"]), F.lit(")")), F.lit(""))
     return F.concat(F.lit("  - "), t["nome"], unit, page)
@@ -42,10 +42,10 @@ def class_line(c: Column) -> Column:
     return F.concat(
         F.lit("  - "),
         F.coalesce(c["disciplina"], F.lit("?")),
-        part(" | Prof: ", F.nullif(F.array_join(c["professores"], ", "), F.lit(""))),
-        part(" | Turma ", c["turma"]),
-        part(" | Vagas: ", c["vagas"]),
-        part(" | Matrículas: ", c["matriculados"]),
+        part(fixed.CLASS_TEACHERS, F.nullif(F.array_join(c["professores"], ", "), F.lit(""))),
+        part(fixed.CLASS_NAME, c["turma"]),
+        part(fixed.CLASS_PLACES, c["vagas"]),
+        part(fixed.CLASS_ENROLLED, c["matriculados"]),
     )
 
 
@@ -53,26 +53,26 @@ def context_of_course() -> Column:
     """The context of a row with kind, semester, credits and a course's columns."""
     kind, term, credits = F.col("kind"), F.col("semester"), F.col("credits")
     matrix = F.coalesce("matrix", F.array().cast("array<map<string,string>>"))
-    head = F.concat(F.lit("Curso: "), "title", F.lit(" ("), F.coalesce("level", F.lit("")), F.lit(")\nURL: "), F.coalesce("url", F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit(fixed.COURSE_NAME), "title", F.lit(" ("), F.coalesce("level", F.lit("")), F.lit(fixed.COURSE_URL), F.coalesce("url", F.lit("")), F.lit("\n"))
     upper = lambda label: F.coalesce(F.upper(label), F.lit(""))
     fitting = subjects_with_credits(matrix, credits, term)
     filtered = F.concat(
-        F.lit("=== DISCIPLINAS"),
-        upper(F.concat(F.lit(" do "), term)),
-        upper(F.concat(F.lit(" com "), credits.cast("string"), F.lit(" créditos"))),
-        F.lit(" ===\n"),
+        F.lit(fixed.SUBJECTS),
+        upper(F.concat(F.lit(fixed.OF_SEMESTER), term)),
+        upper(F.concat(F.lit(fixed.WITH_CREDITS), credits.cast("string"), F.lit(fixed.CREDITS_LABEL))),
+        F.lit(fixed.HEADING_END),
         F.when(term.isNotNull(), formatted_subjects(fitting)).otherwise(semesters(fitting)),
     )
     lines = lambda items, line: F.array_join(F.transform(items, line), "\n")
     body = (
-        F.when(kind == "MATRIX_FULL", F.concat(F.lit("=== MATRIZ CURRICULAR COMPLETA ===\n"), semesters(matrix)))
+        F.when(kind == "MATRIX_FULL", F.concat(F.lit(fixed.WHOLE_MATRIX), semesters(matrix)))
         .when(
             kind == "MATRIX_SEMESTRE",
-            F.concat(F.lit("=== DISCIPLINAS DO "), F.upper(term), F.lit(" ===\n"), formatted_subjects(subjects_of_semester(matrix, term))),
+            F.concat(F.lit(fixed.SUBJECTS), F.upper(F.concat(F.lit(fixed.OF_SEMESTER), term)), F.lit(fixed.HEADING_END), formatted_subjects(subjects_of_semester(matrix, term))),
         )
         .when(kind == "CREDITOS_FILTER", filtered)
-        .when(kind == "PROFS_CURSO", F.concat(F.lit("=== CORPO DOCENTE ===\n"), F.coalesce(lines(named(F.col("teachers")), teacher_line), F.lit(""))))
-        .when(kind == "TURMAS_CURSO", F.concat(F.lit("=== TURMAS OFERTADAS ===\n"), F.coalesce(lines(F.col("classes"), class_line), F.lit(""))))
+        .when(kind == "PROFS_CURSO", F.concat(F.lit(fixed.TEACHERS), F.coalesce(lines(named(F.col("teachers")), teacher_line), F.lit(""))))
+        .when(kind == "TURMAS_CURSO", F.concat(F.lit(fixed.CLASSES), F.coalesce(lines(F.col("classes"), class_line), F.lit(""))))
     )
     return F.concat(head, body)
 

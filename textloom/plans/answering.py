@@ -89,20 +89,20 @@ def context_of(results: DataFrame, docs: DataFrame, most: int, full: DataFrame |
     joined = results.select("query_id", "doc_id", "rank").join(docs.select("doc_id", "text", "title", "source"), "doc_id")
     source = F.coalesce("source", F.lit("documento"))
     head = F.when(
-        F.coalesce("title", F.lit("")) != "", F.concat(F.lit("[Título: "), "title", F.lit(" | Fonte: "), source, F.lit("]"))
-    ).otherwise(F.concat(F.lit("[Fonte: "), source, F.lit("]")))
+        F.coalesce("title", F.lit("")) != "", F.concat(F.lit(fixed.TITLE_LABEL), "title", F.lit(fixed.SOURCE_AFTER_TITLE), source, F.lit("]"))
+    ).otherwise(F.concat(F.lit(fixed.SOURCE_LABEL), source, F.lit("]")))
     part = F.concat(head, F.lit("\n"), truncated(F.col("text"), most))
     if full is not None:
         first = Window.partitionBy("query_id", "doc_id").orderBy("rank")
         joined = joined.join(full.select("doc_id", "data"), "doc_id", "left").withColumn("_nth", F.row_number().over(first))
-        shown = F.concat(F.lit("\n\n[Dados completos do documento]\n"), truncated(F.col("data"), 4000))
+        shown = F.concat(F.lit(fixed.WHOLE_DOCUMENT), truncated(F.col("data"), 4000))
         part = F.concat(part, F.when((F.col("_nth") == 1) & F.col("data").isNotNull(), shown).otherwise(""))
     parts = joined.withColumn("part", part).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "part"))).alias("parts"))
     return parts.select("query_id", F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n---\n\n").alias("context"))
 
 
-def prompt(question: Column, context: Column, instruction: str = "Responda apenas com base no contexto.") -> Column:
-    return F.concat_ws("\n\n", F.lit(instruction), F.lit("Contexto:"), context, F.concat(F.lit("Pergunta: "), question))
+def prompt(question: Column, context: Column, instruction: str = fixed.INSTRUCTION) -> Column:
+    return F.concat_ws("\n\n", F.lit(instruction), F.lit(fixed.CONTEXT_LABEL), context, F.concat(F.lit(fixed.QUESTION_LABEL), question))
 
 
 def answered(queries: DataFrame, docs: DataFrame, titles: DataFrame, cached: DataFrame, config: Config = Config()) -> DataFrame:
@@ -127,7 +127,7 @@ def answered(queries: DataFrame, docs: DataFrame, titles: DataFrame, cached: Dat
     made = config.generator.answer(F.col("text"), F.col("context"))
     made = F.when(output_guard(made).isNull(), made) if config.guard_output else made
     by_retrieval = contexts.select("query_id", F.lit(3).alias("priority"), F.lit("retrieval").alias("strategy"), made.alias("answer"))
-    nothing = open_.select("query_id", F.lit(9).alias("priority"), F.lit("none").alias("strategy"), F.lit("Não encontrei essa informação.").alias("answer"))
+    nothing = open_.select("query_id", F.lit(9).alias("priority"), F.lit("none").alias("strategy"), F.lit(fixed.NOTHING_FOUND).alias("answer"))
     every = blocked.unionByName(from_cache).unionByName(by_title).unionByName(by_retrieval).unionByName(nothing)
     first = Window.partitionBy("query_id").orderBy("priority")
     chosen = every.where("answer IS NOT NULL").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")

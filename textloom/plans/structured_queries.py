@@ -46,7 +46,7 @@ _KINDS = (
 def structured_answers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as courses, their order lines as curricula, teachers and classes; five questions about each."""
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("id"))
-    lines = table(spark, sf_dir, "lineitem").join(F.broadcast(names.select("id")), F.col("l_partkey") == F.col("id"))
+    lines = table(spark, sf_dir, "lineitem").join(names.select("id"), F.col("l_partkey") == F.col("id"))
     row = F.struct(
         "l_orderkey",
         "l_linenumber",
