@@ -39,8 +39,8 @@ class Config:
 
 def dense(queries: DataFrame, docs: DataFrame, config: Config) -> DataFrame:
     """query_id, doc_id, score, rank by embeddings."""
-    asked = config.embedder.embed(queries, "query_id")
-    corpus = config.embedder.embed(docs, "doc_id").withColumnRenamed("doc_id", "id")
+    asked = stored(config.embedder.embed(queries, "query_id"), "query-vectors")
+    corpus = stored(config.embedder.embed(docs, "doc_id").withColumnRenamed("doc_id", "id"), "document-vectors")
     found = knn(asked, corpus, config.top_k_retrieve)
     return found.select("query_id", F.col("id").alias("doc_id"), (1 - F.col("distance")).alias("score"), "rank")
 
@@ -70,8 +70,8 @@ def keyword_search(keywords: DataFrame, docs: DataFrame, config: Config, k: int)
     quota = F.greatest(F.lit(fixed.LEAST_PER_KEYWORD), F.ceil(k / n)).cast("int") + 1
     # Equal keywords are embedded and searched once.
     each = stored(each.select("query_id", "nth", "text", quota.alias("quota"), F.xxhash64("text").alias("word")), "keywords")
-    asked = config.embedder.embed(each.groupBy("word").agg(F.min("text").alias("text")), "word").withColumnRenamed("word", "query_id")
-    corpus = config.embedder.embed(docs, "doc_id").withColumnRenamed("doc_id", "id")
+    asked = stored(config.embedder.embed(each.groupBy("word").agg(F.min("text").alias("text")), "word").withColumnRenamed("word", "query_id"), "query-vectors")
+    corpus = stored(config.embedder.embed(docs, "doc_id").withColumnRenamed("doc_id", "id"), "document-vectors")
     found = knn(asked, corpus, max(fixed.LEAST_PER_KEYWORD, k) + 1).withColumnRenamed("query_id", "word")
     found = each.join(found, "word").where(F.col("rank") <= F.col("quota"))
     found = found.select("query_id", "nth", "rank", F.col("id").alias("doc_id"), (1 - F.col("distance")).alias("score"))
@@ -120,7 +120,10 @@ def answered(queries: DataFrame, docs: DataFrame, titles: DataFrame, cached: Dat
     named = open_.select(F.col("query_id").alias("id"), F.upper(entity(F.col("text"))).alias("name")).where("name IS NOT NULL")
     found = title_lookup(named, titles, 1).join(titles.select(F.col("id").alias("doc_id"), "name"), "doc_id")
     by_title = found.select("query_id", F.lit(2).alias("priority"), F.lit("title").alias("strategy"), F.col("name").alias("answer"))
-    results = retrieved(open_, docs, config)
+    # Only questions that nothing of higher priority answers are searched for.
+    settled = stored(blocked.unionByName(from_cache).unionByName(by_title).where("answer IS NOT NULL"), "settled")
+    searched = stored(open_.join(settled.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "text"), "searched")
+    results = stored(retrieved(searched, docs, config), "retrieved")
     best = results.groupBy("query_id").agg(F.max("score").alias("best")).where(F.col("best") >= config.threshold)
     kept = results.where(F.col("rank") <= config.top_k_final).join(best.select("query_id"), "query_id", "left_semi")
     contexts = context_of(kept, docs, config.max_chars_per_doc).join(open_, "query_id")
@@ -128,7 +131,7 @@ def answered(queries: DataFrame, docs: DataFrame, titles: DataFrame, cached: Dat
     made = F.when(output_guard(made).isNull(), made) if config.guard_output else made
     by_retrieval = contexts.select("query_id", F.lit(3).alias("priority"), F.lit("retrieval").alias("strategy"), made.alias("answer"))
     nothing = open_.select("query_id", F.lit(9).alias("priority"), F.lit("none").alias("strategy"), F.lit(fixed.NOTHING_FOUND).alias("answer"))
-    every = blocked.unionByName(from_cache).unionByName(by_title).unionByName(by_retrieval).unionByName(nothing)
+    every = settled.unionByName(by_retrieval).unionByName(nothing)
     first = Window.partitionBy("query_id").orderBy("priority")
     chosen = every.where("answer IS NOT NULL").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
     routes = queries.select("query_id", route(normalized_query(F.col("text"))).alias("route"))
