@@ -56,7 +56,7 @@ def page_absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("page_id", pages.joined_url("url", "link").alias("link")).distinct()
 
 
-#: In SQL: what is no text of a page.
+#: In SQL: what is no text of a page. In page_text_strip_noise these references count without their semicolon too, as in browsers.
 MARKUP = "|".join([*(rf"<{t}\b.*?</{t}>" for t in fixed.NOISE_TAGS), "<!--.*?-->", "<!DOCTYPE[^>]*>", "</?[a-z][^>]*>"])
 
 
@@ -67,7 +67,8 @@ MARKUP = "|".join([*(rf"<{t}\b.*?</{t}>" for t in fixed.NOISE_TAGS), "<!--.*?-->
     b AS (
         SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x, E' \t\n\r')), lambda x: x <> ''), ' ') AS t
         FROM a)
-    SELECT page_id, regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t]+', ' ', 'g') AS text
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
+        '[ \t]+', ' ', 'g') AS text
     FROM b""",
 )
 def page_text_strip_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
