@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,10 +95,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("conv_id", "turn", F.concat(start, F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))).alias("text"))
 
 
-_ROUTES = [(p.replace(r"\b", ""), n) for p, n in fixed.ROUTES]
+#: In SQL: where words of any alphabet begin and end stands a mark, as the SQL engine's own boundaries know ASCII only.
+SQL_MARKED = r"regexp_replace(text, '([\p{L}\p{N}\p{M}_]+)', chr(1) || '\1' || chr(1), 'g')"
+_ROUTES = [(re.sub(r"\.\{0,(\d+)\}", r"(?:\\x01*[^\\x01\\n]){0,\1}\\x01*", p).replace(r"\b", r"\x01"), n) for p, n in fixed.ROUTES]
+#: In SQL: the collection of the first routing rule that is found in whole words.
+SQL_ROUTE = sql_first(_ROUTES, SQL_MARKED)
 
 
-@query("rule_route", f"SELECT conv_id, turn, {sql_first(_ROUTES)} AS route FROM {_SQL_ASK}")
+@query("rule_route", f"SELECT conv_id, turn, {SQL_ROUTE} AS route FROM {_SQL_ASK}")
 def rule_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("conv_id", "turn", rules.route(F.col("text")).alias("route"))
 

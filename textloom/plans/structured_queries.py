@@ -12,7 +12,7 @@ from ..operators.structured import structured_answers
 from ..sources.io import table
 from .lexical_queries import BM25, DENSE, questions, ranked_lists
 from .registry import query
-from .rule_queries import _ROUTES, _SQL_ASK, sql_first
+from .rule_queries import _SQL_ASK, SQL_ROUTE
 from .rule_queries import questions as asked_turns
 
 #: Questions about a course, one of each kind.
@@ -83,7 +83,7 @@ def structured_answers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "route_by_confidence",
     f"""
-    WITH q AS (SELECT conv_id, turn, {sql_first(_ROUTES)} AS rule FROM {_SQL_ASK})
+    WITH q AS (SELECT conv_id, turn, {SQL_ROUTE} AS rule FROM {_SQL_ASK})
     SELECT conv_id, turn, coalesce(rule, CASE WHEN conv_id % 3 < 2 AND (conv_id + turn) % 10 >= 6
         THEN ['{sorted(fixed.COLLECTIONS.values())[0]}', '{sorted(fixed.COLLECTIONS.values())[-1]}'][conv_id % 3 + 1] END) AS route FROM q""",
 )
