@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, pages
 from ..operators import listing
 from ..sources.io import table
+from ..sources.stored import spread
 from .registry import query
 
 
@@ -81,7 +82,7 @@ def marked_up(rows: DataFrame, page_id: str, *parts: str) -> DataFrame:
     pieces = [p for part in parts for p in re.split(r"({\w+})", part) if p]
     html = F.concat(*[F.col(p[1:-1]).cast("string") if p.startswith("{") else F.lit(p) for p in pieces])
     page = F.concat(F.lit("<html><head><script>x</script></head><body><nav><ul><li>menu</ul></nav>"), html, F.lit("<footer>foot</footer>"))
-    return rows.select(F.col(page_id).alias("page_id"), page.alias("html"))
+    return spread(rows).select(F.col(page_id).alias("page_id"), page.alias("html"))
 
 
 @query(
