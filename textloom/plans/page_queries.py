@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, pages
 from ..operators import listing
 from ..sources.io import table
-from ..sources.stored import spread
+from ..sources.stored import dealt, spread
 from .registry import query
 
 
@@ -82,7 +82,7 @@ def marked_up(rows: DataFrame, page_id: str, *parts: str) -> DataFrame:
     pieces = [p for part in parts for p in re.split(r"({\w+})", part) if p]
     html = F.concat(*[F.col(p[1:-1]).cast("string") if p.startswith("{") else F.lit(p) for p in pieces])
     page = F.concat(F.lit("<html><head><script>x</script></head><body><nav><ul><li>menu</ul></nav>"), html, F.lit("<footer>foot</footer>"))
-    return spread(rows).select(F.col(page_id).alias("page_id"), page.alias("html"))
+    return rows.select(F.col(page_id).alias("page_id"), page.alias("html"))
 
 
 @query(
@@ -93,7 +93,7 @@ def marked_up(rows: DataFrame, page_id: str, *parts: str) -> DataFrame:
 def page_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pages with a list of labels and a table row."""
     html = "<dl><dt>Nome:</dt><dd><b>{p_name}</b></dd><dt>Marca :</dt><dd>{p_brand}</dd></dl>", "<table><tr><th>Tipo:</th><td>&eacute;  {p_type}</td></tr><tr><td>a</td><td>b</td></tr></table>"
-    found = marked_up(table(spark, sf_dir, "part"), "p_partkey", *html)
+    found = marked_up(spread(table(spark, sf_dir, "part")), "p_partkey", *html)
     return found.select("page_id", F.explode(pages.page_labels("html")).alias("label", "value"))
 
 
@@ -106,7 +106,7 @@ def page_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as pages of two headed sections."""
     html = "before<h2>{c_mktsegment}</h2><p>{c_name}<div>de <i>{c_custkey}</i></div>", "<div><h3>Na&ccedil;&atilde;o</h3>n</div> {c_nationkey}"
-    found = marked_up(table(spark, sf_dir, "customer"), "c_custkey", *html)
+    found = marked_up(spread(table(spark, sf_dir, "customer")), "c_custkey", *html)
     return found.select("page_id", F.explode(pages.page_sections("html")).alias("heading", "body"))
 
 
@@ -119,7 +119,7 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages with a table of their lines; a row of missing values is none."""
     line = F.struct("l_linenumber", "l_partkey")
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    lines = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     cells = lambda x: F.concat(F.lit("<tr><td>"), x["l_linenumber"], F.lit("</td><td><a href='/p'>"), x["l_partkey"], F.lit("</a></td></tr>"))
     rows = lines.withColumn("rows", F.array_join(F.transform("lines", cells), ""))
     html = "<table><tr><th>Linha</th><th>Pe&ccedil;a</th></tr>{rows}<tr><td> </td><td></td></tr></table>"
@@ -135,7 +135,7 @@ def page_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as pages with a list of their orders; items that are empty are none."""
-    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    lists = dealt(table(spark, sf_dir, "orders"), "o_custkey").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
     item = lambda k: F.concat(F.lit("<li>order <b>"), k, F.lit("</b>"))
     rows = lists.withColumn("items", F.array_join(F.transform("keys", item), ""))
     found = marked_up(rows, "o_custkey", "<ul>{items}<li> </li></ul>")
