@@ -6,7 +6,7 @@ priority that has an answer; a single question is a table of one row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from ..operators.cache import exact_hits, keyed
 from ..operators.fusion import first_by_prefix, hybrid_weights, overlap_rerank, reciprocal_rank_fusion
 from ..operators.lexical import bm25, ranked, title_lookup
 from ..operators.search import knn
-from ..sources.stored import stored
+from ..sources.stored import spread, stored
 from .providers import Embedder, ExtractiveGenerator, Generator, HashingEmbedder
 
 
@@ -37,11 +37,39 @@ class Config:
     generator: Generator = field(default_factory=ExtractiveGenerator)
 
 
+def alike(rows: DataFrame, id: str, most: int | None = None) -> DataFrame:
+    """id, same: the smallest id among the rows (id, text) of the same text; with most only so many of the smallest ids of each text. Texts are told apart
+    by SHA-256; an id that repeats is like no other. Stored."""
+    each = rows.where(F.col(id).isNotNull() & F.col("text").isNotNull()).select(id, F.sha2("text", 256).alias("digest"))
+    keys = each.groupBy(id).agg(F.when(F.count("*") == 1, F.min("digest")).otherwise(F.concat(F.lit("id "), F.col(id).cast("string"))).alias("key"))
+    order = Window.partitionBy("key").orderBy(id)
+    ranked_ids = keys.withColumn("nth", F.row_number().over(order))
+    if most is not None:
+        ranked_ids = ranked_ids.where(F.col("nth") <= most)
+    return stored(ranked_ids.select(id, F.first(id).over(order).alias("same")), f"alike-{id}")
+
+
+def nearest_texts(queries: DataFrame, docs: DataFrame, k: int, embedder: Embedder) -> DataFrame:
+    """query_id, id, distance, rank: the k nearest of docs (doc_id, text) to each query (query_id, text) by embeddings.
+
+    Equal texts are embedded and compared once, and share what is found. Of documents of one text only the k smallest ids can be among
+    the k nearest; and if k other texts come before a text, by distance and then by smallest id, then k documents come before each of
+    its own. So the k nearest of the different texts are enough.
+    """
+    asked, known = alike(queries, "query_id"), alike(docs, "doc_id", k)
+    once = lambda rows, ids, id: rows.select(id, "text").join(ids.where(F.col(id) == F.col("same")).select(id), id, "left_semi")
+    vectors = stored(embedder.embed(once(queries, asked, "query_id"), "query_id"), "query-vectors")
+    corpus = stored(embedder.embed(once(spread(docs.select("doc_id", "text")), known, "doc_id"), "doc_id").withColumnRenamed("doc_id", "id"), "document-vectors")
+    found = knn(vectors, corpus, k).select(F.col("query_id").alias("asked"), F.col("id").alias("same"), "distance")
+    found = found.join(known.select("same", F.col("doc_id").alias("id")), "same")
+    every = found.select("asked", "id", "distance").join(asked.select(F.col("same").alias("asked"), "query_id"), "asked")
+    order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")
+    return every.select("query_id", "id", "distance", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+
+
 def dense(queries: DataFrame, docs: DataFrame, config: Config) -> DataFrame:
     """query_id, doc_id, score, rank by embeddings."""
-    asked = stored(config.embedder.embed(queries, "query_id"), "query-vectors")
-    corpus = stored(config.embedder.embed(docs, "doc_id").withColumnRenamed("doc_id", "id"), "document-vectors")
-    found = knn(asked, corpus, config.top_k_retrieve)
+    found = nearest_texts(queries, docs, config.top_k_retrieve, config.embedder)
     return found.select("query_id", F.col("id").alias("doc_id"), (1 - F.col("distance")).alias("score"), "rank")
 
 
@@ -70,9 +98,8 @@ def keyword_search(keywords: DataFrame, docs: DataFrame, config: Config, k: int)
     quota = F.greatest(F.lit(fixed.LEAST_PER_KEYWORD), F.ceil(k / n)).cast("int") + 1
     # Equal keywords are embedded and searched once.
     each = stored(each.select("query_id", "nth", "text", quota.alias("quota"), F.xxhash64("text").alias("word")), "keywords")
-    asked = stored(config.embedder.embed(each.groupBy("word").agg(F.min("text").alias("text")), "word").withColumnRenamed("word", "query_id"), "query-vectors")
-    corpus = stored(config.embedder.embed(docs, "doc_id").withColumnRenamed("doc_id", "id"), "document-vectors")
-    found = knn(asked, corpus, max(fixed.LEAST_PER_KEYWORD, k) + 1).withColumnRenamed("query_id", "word")
+    asked = each.groupBy("word").agg(F.min("text").alias("text")).withColumnRenamed("word", "query_id")
+    found = nearest_texts(asked, docs, max(fixed.LEAST_PER_KEYWORD, k) + 1, config.embedder).withColumnRenamed("query_id", "word")
     found = each.join(found, "word").where(F.col("rank") <= F.col("quota"))
     found = found.select("query_id", "nth", "rank", F.col("id").alias("doc_id"), (1 - F.col("distance")).alias("score"))
     found = found.join(docs.select("doc_id", "text"), "doc_id")
@@ -86,12 +113,14 @@ def context_of(results: DataFrame, docs: DataFrame, most: int, full: DataFrame |
     docs: doc_id, text, title, source (title and source may be null). full (doc_id, data) is added where a
     document comes first.
     """
-    joined = results.select("query_id", "doc_id", "rank").join(docs.select("doc_id", "text", "title", "source"), "doc_id")
+    # No more of a text is moved than is shown.
+    shown_docs = docs.select("doc_id", truncated(F.col("text"), most).alias("text"), "title", "source")
+    joined = results.select("query_id", "doc_id", "rank").join(shown_docs, "doc_id")
     source = F.coalesce("source", F.lit("documento"))
     head = F.when(
         F.coalesce("title", F.lit("")) != "", F.concat(F.lit(fixed.TITLE_LABEL), "title", F.lit(fixed.SOURCE_AFTER_TITLE), source, F.lit("]"))
     ).otherwise(F.concat(F.lit(fixed.SOURCE_LABEL), source, F.lit("]")))
-    part = F.concat(head, F.lit("\n"), truncated(F.col("text"), most))
+    part = F.concat(head, F.lit("\n"), "text")
     if full is not None:
         first = Window.partitionBy("query_id", "doc_id").orderBy("rank")
         joined = joined.join(full.select("doc_id", "data"), "doc_id", "left").withColumn("_nth", F.row_number().over(first))
@@ -111,7 +140,8 @@ def answered(queries: DataFrame, docs: DataFrame, titles: DataFrame, cached: Dat
     queries: query_id, text. docs: doc_id, text, title, source. titles: id, name. cached: entry_id, query,
     response, created_at. strategy is blocked, cache, title, retrieval or none.
     """
-    asked = queries.withColumn("blocked", input_guard(F.col("text")) if config.guard_input else F.lit(None).cast("string"))
+    # Judged once: the guard's patterns take longer than all else that is done to a question.
+    asked = stored(queries.withColumn("blocked", input_guard(F.col("text")) if config.guard_input else F.lit(None).cast("string")), "judged")
     open_ = asked.where("blocked IS NULL")
     blocked = asked.where("blocked IS NOT NULL").select("query_id", F.lit(0).alias("priority"), F.lit("blocked").alias("strategy"), F.col("blocked").alias("answer"))
     entries = keyed(cached)
@@ -123,7 +153,9 @@ def answered(queries: DataFrame, docs: DataFrame, titles: DataFrame, cached: Dat
     # Only questions that nothing of higher priority answers are searched for.
     settled = stored(blocked.unionByName(from_cache).unionByName(by_title).where("answer IS NOT NULL"), "settled")
     searched = stored(open_.join(settled.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "text"), "searched")
-    results = stored(retrieved(searched, docs, config), "retrieved")
+    # Without fusion and reranking no rank after the last that is shown counts.
+    ranks = config.top_k_retrieve if config.hybrid or config.rerank else max(min(config.top_k_retrieve, config.top_k_final), 1)
+    results = stored(retrieved(searched, docs, replace(config, top_k_retrieve=ranks)), "retrieved")
     best = results.groupBy("query_id").agg(F.max("score").alias("best")).where(F.col("best") >= config.threshold)
     kept = results.where(F.col("rank") <= config.top_k_final).join(best.select("query_id"), "query_id", "left_semi")
     contexts = context_of(kept, docs, config.max_chars_per_doc).join(open_, "query_id")

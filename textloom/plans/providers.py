@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap_share, tokens, truncated
 
-
 class Embedder(Protocol):
     def embed(self, rows: DataFrame, id: str) -> DataFrame:
         """id, embedding of rows with id and text."""
@@ -37,15 +39,23 @@ class HashingEmbedder:
         token = rows.select(id, F.explode(tokens(F.col("text"))).alias("token"))
         digits = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long")
         counts = token.groupBy(id, F.pmod(digits, F.lit(self.dimensions)).cast("int").alias("at")).agg(F.count("*").alias("n"))
-        vectors = counts.groupBy(id).agg(
-            F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("by"),
-            F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"),
-        )
-        filled = F.transform(
-            F.sequence(F.lit(0), F.lit(self.dimensions - 1)),
-            lambda k: F.coalesce(F.try_element_at("by", k), F.lit(0)) / F.col("norm"),
-        )
-        return vectors.select(id, filled.alias("embedding"))
+        return counts.groupBy(id).agg(F.collect_list(F.struct("at", "n")).alias("by")).select(id, filled(F.col("by"), self.dimensions).alias("embedding"))
+
+
+def filled(counts: Column, n: int) -> Column:
+    """The vector of n numbers, at unit length, of an array of (at, n) structs."""
+
+    @F.arrow_udf("array<double>")
+    def vectors(counts: pa.Array) -> pa.Array:
+        each = counts.flatten()
+        number = lambda k: each.field(k).to_numpy().astype(np.int64)
+        out = np.zeros((len(counts), n), np.int64)
+        out[pc.list_parent_indices(counts).to_numpy(), number(0)] = number(1)
+        size = np.sqrt((out * out).sum(1).astype(np.float64))
+        flat = pa.array((out / size[:, None]).ravel())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * n), flat)
+
+    return vectors(counts)
 
 
 class OverlapReranker:
