@@ -42,11 +42,14 @@ def alike(rows: DataFrame, id: str, most: int | None = None) -> DataFrame:
     by SHA-256; an id that repeats is like no other. Stored."""
     each = rows.where(F.col(id).isNotNull() & F.col("text").isNotNull()).select(id, F.sha2("text", 256).alias("digest"))
     keys = each.groupBy(id).agg(F.when(F.count("*") == 1, F.min("digest")).otherwise(F.concat(F.lit("id "), F.col(id).cast("string"))).alias("key"))
-    order = Window.partitionBy("key").orderBy(id)
-    ranked_ids = keys.withColumn("nth", F.row_number().over(order))
-    if most is not None:
-        ranked_ids = ranked_ids.where(F.col("nth") <= most)
-    return stored(ranked_ids.select(id, F.first(id).over(order).alias("same")), f"alike-{id}")
+    if most is None:
+        # No text's rows have to meet in one task.
+        keys = stored(keys, f"keys-{id}")
+        found = keys.join(keys.groupBy("key").agg(F.min(id).alias("same")), "key").select(id, "same")
+    else:
+        order = Window.partitionBy("key").orderBy(id)
+        found = keys.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select(id, F.first(id).over(order).alias("same"))
+    return stored(found, f"alike-{id}")
 
 
 def nearest_texts(queries: DataFrame, docs: DataFrame, k: int, embedder: Embedder) -> DataFrame:
